@@ -440,12 +440,11 @@ class Translator:
             df = df.where(F.col(k) == self.column(v))
         if r.hops is not None:
             df = self.walks(df, r)
-        ends = df.withColumnsRenamed({"src": "_a", "dst": "_b"})
-        if r.way == "<":
-            ends = ends.withColumnsRenamed({"_a": "_b", "_b": "_a"})
-        elif r.way == "-":
-            swapped = ends.withColumnsRenamed({"_a": "_b", "_b": "_a"}).where("_a <> _b").select(*ends.columns)
-            ends = ends.unionByName(swapped)
+            if r.way == "-":  # walks are in both directions already
+                r = RelPattern(r.var, r.types, r.props, ">", r.hops)
+        ways = {">": [("src", "dst")], "<": [("dst", "src")], "-": [("src", "dst"), ("dst", "src")]}[r.way]
+        parts = [df.where("src <> dst" if k else F.lit(True)).select(F.col(x).alias("_a"), F.col(y).alias("_b"), *df.columns) for k, (x, y) in enumerate(ways)]
+        ends = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
         rest = [F.col(f).alias(f"{r.var}.{f}") for f in EDGES.fieldNames() if f in ends.columns]
         return ends.select(F.col("_a").alias(f"{r.var}._a"), F.col("_b").alias(f"{r.var}._b"), *rest)
 
@@ -464,8 +463,6 @@ class Translator:
         out = found[0]
         for f in found[1:]:
             out = out.union(f)
-        if r.way == "-":  # walks are in both directions already
-            r.way = ">"
         return out
 
     def pattern_table(self, patterns: list[list], bound: set[str]) -> tuple[DataFrame, dict[str, str], set[str]]:
