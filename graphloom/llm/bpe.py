@@ -27,9 +27,9 @@ _BEYOND = re.compile(f"[{chr(LATIN_END)}-{chr(0x10FFFF)}]")
 
 
 class PieceEncoder:
-    """Keeps the ids of up to ``most`` distinct pieces, then starts anew."""
+    """Keeps the ids of up to ``most`` distinct pieces; when full, the half that was met most often stays."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 650_000):
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         spelled = self.tokenizer.get_vocab()
         self.widths = np.zeros(max(spelled.values()) + 1, np.int64)
@@ -38,8 +38,19 @@ class PieceEncoder:
 
     def fresh(self) -> None:
         self.known: dict[int, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.begins, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.flat, self.used = np.zeros(1 << 16, np.uint16 if len(self.widths) <= 1 << 16 else np.uint32), 0
+        self.begins, self.sizes, self.met = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+
+    def thin(self) -> None:
+        n = len(self.known)
+        stay = np.sort(np.argsort(-self.met[:n], kind="stable")[: n // 2])
+        number = np.full(n, -1, np.int64)
+        number[stay] = np.arange(len(stay))
+        sizes = self.sizes[stay]
+        self.flat = self.flat[np.repeat(self.begins[stay] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
+        self.used, self.sizes, self.begins, self.met = len(self.flat), sizes, np.cumsum(sizes) - sizes, self.met[stay] // 2
+        number = number.tolist()
+        self.known = {k: number[row] for k, row in self.known.items() if number[row] >= 0}
 
     def add(self, keys: list[int], texts: list[str]) -> None:
         # pieces of a blank and letters are split the same way when they stand one after the other: so encoded, they cost half
@@ -61,10 +72,10 @@ class PieceEncoder:
     def keep(self, keys: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
         row = len(self.known)
         if self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat) // 2, len(ids)), self.flat.dtype)])
         if row + len(keys) > len(self.begins):
-            more = np.zeros(max(len(self.begins), len(keys)), np.int64)
-            self.begins, self.sizes = np.concatenate([self.begins, more]), np.concatenate([self.sizes, more])
+            more = np.zeros(max(len(self.begins) // 2, len(keys)), np.int64)
+            self.begins, self.sizes, self.met = np.concatenate([self.begins, more]), np.concatenate([self.sizes, more]), np.concatenate([self.met, more.astype(np.int32)])
         self.flat[self.used : self.used + len(ids)] = ids
         self.begins[row : row + len(keys)] = self.used + np.cumsum(sizes) - sizes
         self.sizes[row : row + len(keys)] = sizes
@@ -123,7 +134,7 @@ class PieceEncoder:
         begins, keys, upto = (np.concatenate([p[i] for p in parts]) for i in range(3))
         which, distinct = pd.factorize(keys)
         if len(self.known) + len(distinct) > self.most:
-            self.fresh()
+            self.thin()
         listed, known = distinct.tolist(), self.known
         found = list(map(known.get, listed))
         missing = [i for i, row in enumerate(found) if row is None]
@@ -133,10 +144,12 @@ class PieceEncoder:
             self.add([listed[i] for i in missing], [joined[begins[at[i]] : begins[at[i] + 1] if at[i] + 1 < len(begins) else chars] for i in missing])
             for i in missing:
                 found[i] = known[listed[i]]
-        rows = np.asarray(found, np.int64)[which]
+        found = np.asarray(found, np.int64)
+        self.met[found] += 1
+        rows = found[which]
         sizes = self.sizes[rows]
         total = int(sizes.sum())
-        ids = self.flat[np.repeat(self.begins[rows] - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)]
+        ids = self.flat[np.repeat(self.begins[rows] - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)].astype(np.uint32)
         return ids, np.diff(np.concatenate([[0], np.cumsum(sizes)])[upto], prepend=0)
 
 

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -163,14 +164,14 @@ def pieces_of(docs: DataFrame, vocabulary: str, capacity: int = 1024) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).fill_null("").to_pylist()
-            low = 0
-            while low < len(texts):
-                high, chars = low, 0
-                while high < len(texts) and (high == low or chars < 2_000_000):
-                    chars += len(texts[high])
+            names, texts, low = batch.column(0).to_pylist(), batch.column(1).fill_null(""), 0
+            lengths = pc.binary_length(texts).to_pylist()
+            while low < len(names):
+                high, sized = low, 0
+                while high < len(names) and (high == low or sized < 2_000_000):
+                    sized += lengths[high]
                     high += 1
-                ids, counts = encode.encode(texts[low:high])
+                ids, counts = encode.encode(texts.slice(low, high - low).to_pylist())
                 ids = np.insert(ids, np.cumsum(counts), END_ID).astype("<u4")
                 sizes = counts + 1
                 n = -(-sizes // capacity)

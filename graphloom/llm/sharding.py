@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -20,3 +20,10 @@ def id_bounds(docs: DataFrame, shard_mb: int = 16) -> np.ndarray:
     cuts = [i / ranges for i in range(1, ranges)]
     found = docs.agg(F.percentile_approx("doc_id", cuts, 10 * ranges + 1000)).first()[0]
     return np.unique(np.asarray(found, np.int64))
+
+
+def range_number(key: Column, bounds: np.ndarray) -> Column:
+    """The number of the id range of ``key``, from 0; null is in the first."""
+    if not len(bounds):
+        return F.lit(0)
+    return F.coalesce(F.size(F.filter(F.lit(bounds.tolist()).cast("array<bigint>"), lambda b: b <= key)), F.lit(0))

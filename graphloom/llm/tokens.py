@@ -2,8 +2,8 @@
 
 Format, one Parquet row a block: ``shard`` (id range), ``block`` (its
 number there), ``earlier`` (ids in the shard's blocks before), the ids, token counts and offsets in the compressed sequence
-of its documents, and ``rules`` and ``body`` as little-endian unsigned 32-bit
-numbers. Symbols below ``base`` are token ids; symbol base + k stands for
+of its documents, ``rules`` as little-endian unsigned 32-bit numbers, and
+``body``: the low 16 bits of all symbols, then their next 8. Symbols below ``base`` are token ids; symbol base + k stands for
 rule k, the pair (left, right) of earlier symbols; ``widths`` holds the
 expansion length of each rule. A document's symbols begin at its offset, as
 no rule spans two documents: it can be decoded alone.
@@ -16,14 +16,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .sharding import id_bounds
+from .sharding import id_bounds, range_number
 
 END_ID = 2
-BLOCK_IDS = 2_000_000
+#: Ids of a block, and the size of its table of pairs.
+BLOCK_IDS, SLOT_BITS = 500_000, 17
 SCHEMA = "shard int, block int, earlier long, base long, doc_ids array<long>, sizes array<long>, offsets array<long>, rules binary, widths binary, body binary"
 
 
@@ -37,7 +39,7 @@ def leftmost(chosen: np.ndarray) -> np.ndarray:
     return at[(np.arange(len(at)) - begin) % 2 == 0]
 
 
-def repair(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = 3, pairs: int = 1024, least: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = 2, pairs: int = 1024, least: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(rules, widths, symbols)`` for ids; ``ends`` are the documents' end positions, which no pair spans.
 
     Each round counts neighbouring pairs in a hash table of which a slot counts
@@ -52,26 +54,29 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = 3, pairs:
     for _ in range(rounds):
         if len(body) < 2:
             break
-        pair = body[:-1].astype(np.uint64) << np.uint64(20) | body[1:]
-        slot = (pair * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(46)).astype(np.int32)
-        held = np.zeros(1 << 18, np.uint64)
+        pair = body[:-1].astype(np.uint64)
+        pair <<= np.uint64(32)
+        pair |= body[1:]
+        slot = (pair * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).astype(np.intp)
+        held = np.zeros(1 << SLOT_BITS, np.uint64)
         held[slot] = pair
         match = held[slot] == pair
         match &= ~closing[:-1]
-        often = np.bincount(slot[match], minlength=1 << 18)
+        often = np.bincount(slot[match], minlength=1 << SLOT_BITS)
         top = np.argsort(-often, kind="stable")[:pairs]
-        top = np.sort(top[often[top] >= least])
+        top = top[often[top] >= least]
         if not len(top):
             break
-        wanted = np.zeros(1 << 18, bool)
+        number = np.zeros(1 << SLOT_BITS, np.int32)
+        number[top] = np.arange(len(top))
+        wanted = np.zeros(1 << SLOT_BITS, bool)
         wanted[top] = True
         match &= wanted[slot]
         at = leftmost(match)
-        keys = np.sort(held[top])
-        of = np.searchsorted(keys, pair[at])
+        of = number[slot[at]]
         used, of = np.unique(of, return_inverse=True)
-        keys = keys[used]
-        new = np.stack([keys >> np.uint64(20), keys & np.uint64(0xFFFFF)], 1).astype(np.uint32)
+        keys = held[top[used]]
+        new = np.stack([keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
         body = body.copy()
         body[at] = (len(widths) + of).astype(np.uint32)
         widths = np.concatenate([widths, widths[new[:, 0]] + widths[new[:, 1]]])
@@ -83,34 +88,27 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = 3, pairs:
     return np.concatenate(rules), widths[base:], body
 
 
+def unpacked(body: bytes) -> np.ndarray:
+    """The symbols of a body in the file format."""
+    n = len(body) // 3
+    return np.frombuffer(body, "<u2", n).astype(np.uint32) | np.frombuffer(body, np.uint8, n, 2 * n).astype(np.uint32) << np.uint32(16)
+
+
 def expand(body: np.ndarray, rules: np.ndarray, widths: np.ndarray, base: int) -> np.ndarray:
-    """The ids that ``body``, or any slice of it, stands for."""
-    begins = np.concatenate([[0], np.cumsum(widths, dtype=np.int64)])
-    flat = np.zeros(int(begins[-1]), np.uint32)
+    """The ids that ``body``, or any slice of it, stands for: a row of the table of all symbols' expansions for each, without its padding."""
+    most = int(widths.max()) if len(widths) else 1
+    table, filled = np.zeros((base + len(rules), most), np.uint32), np.zeros((base + len(rules), most), bool)
+    table[:base, 0] = np.arange(base)
+    filled[:base, 0] = True
+    sizes = np.concatenate([np.ones(base, np.int64), widths.astype(np.int64)])
     for k, (left, right) in enumerate(rules.tolist()):  # rules use earlier symbols only
-        at = int(begins[k])
-        for symbol in (left, right):
-            if symbol < base:
-                flat[at] = symbol
-                at += 1
-            else:
-                a, b = begins[symbol - base], begins[symbol - base + 1]
-                flat[at : at + b - a] = flat[a:b]
-                at += int(b - a)
-    rule = body >= base
-    sizes = np.ones(len(body), np.int64)
-    sizes[rule] = widths[body[rule] - base]
-    total = int(sizes.sum())
-    first = np.cumsum(sizes) - sizes
-    out = np.zeros(total, np.uint32)
-    out[first[~rule]] = body[~rule]
-    inside = sizes[rule]
-    steps = np.arange(inside.sum()) - np.repeat(np.cumsum(inside) - inside, inside)
-    out[np.repeat(first[rule], inside) + steps] = flat[np.repeat(begins[body[rule] - base], inside) + steps]
-    return out
+        at, a, b = base + k, sizes[left], sizes[right]
+        table[at, :a], table[at, a : a + b] = table[left, :a], table[right, :b]
+        filled[at, : a + b] = True
+    return np.concatenate([np.zeros(0, np.uint32), *(table[part][filled[part]] for part in (body[i : i + 65536] for i in range(0, len(body), 65536)))])
 
 
-def write_token_files(docs: DataFrame, path: str, vocabulary: str, rounds: int = 3) -> None:
+def write_token_files(docs: DataFrame, path: str, vocabulary: str, rounds: int = 2) -> None:
     """Encode every text, append END_ID, and write the blocks below ``path``.
 
     Null text counts as empty (its ids are END_ID alone). Rows go in order of
@@ -120,11 +118,6 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, rounds: int =
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     bounds, spark = id_bounds(base), base.sparkSession
 
-    def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column(0).fill_null(-(1 << 63)).to_numpy()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.searchsorted(bounds, keys, "right"), pa.int32())], names=["doc_id", "text", "shard"])
-
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
         first_rule = len(encode.widths)
@@ -141,24 +134,24 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, rounds: int =
             inside = body >= first_rule
             spread[inside] = widths[body[inside] - first_rule]
             offsets = np.searchsorted(np.cumsum(spread) - spread, ends - sizes)
-            row = {"shard": [shard], "block": [block], "earlier": [earlier], "base": [first_rule], "doc_ids": [names], "sizes": [sizes], "offsets": [offsets], "rules": [rules.astype("<u4").tobytes()], "widths": [widths.astype("<u4").tobytes()], "body": [body.astype("<u4").tobytes()]}
+            row = {"shard": [shard], "block": [block], "earlier": [earlier], "base": [first_rule], "doc_ids": [names], "sizes": [sizes], "offsets": [offsets], "rules": [rules.astype("<u4").tobytes()], "widths": [widths.astype("<u4").tobytes()], "body": [body.astype("<u2").tobytes() + (body >> np.uint32(16)).astype(np.uint8).tobytes()]}
             kinds = {"shard": pa.int32(), "block": pa.int32(), "earlier": pa.int64(), "base": pa.int64(), "doc_ids": pa.list_(pa.int64()), "sizes": pa.list_(pa.int64()), "offsets": pa.list_(pa.int64()), "rules": pa.binary(), "widths": pa.binary(), "body": pa.binary()}
             return pa.RecordBatch.from_arrays([pa.array(row[k], kinds[k]) for k in kinds], names=list(kinds))
 
         for batch in batches:
-            names, texts, shards = (batch.column(i).to_pylist() for i in range(3))
-            low = 0
-            while low < len(texts):
-                high, chars = low, 0
-                while high < len(texts) and shards[high] == shards[low] and (high == low or chars < 2_000_000):
-                    chars += len(texts[high])
+            names, shards, low = batch.column(0).to_pylist(), batch.column(2).to_pylist(), 0
+            lengths = pc.binary_length(batch.column(1)).to_pylist()
+            while low < len(names):
+                high, sized = low, 0
+                while high < len(names) and shards[high] == shards[low] and (high == low or sized < 2_000_000):
+                    sized += lengths[high]
                     high += 1
                 if shards[low] != shard and held:
                     yield sealed()
                     held, size = [], 0
                 if shards[low] != shard:
                     shard, block, earlier = shards[low], 0, 0
-                ids, counts = encode.encode(texts[low:high])
+                ids, counts = encode.encode(batch.column(1).slice(low, high - low).to_pylist())
                 ids = np.insert(ids, np.cumsum(counts), END_ID)
                 held.append((names[low:high], ids, counts + 1))
                 size += len(ids)
@@ -170,7 +163,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, rounds: int =
             yield sealed()
 
     ranges = max(len(bounds) + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    placed = base.mapInArrow(ranged, "doc_id long, text string, shard int").repartition(ranges, "shard").sortWithinPartitions("shard", "doc_id", "text")
+    placed = base.withColumn("shard", range_number(F.col("doc_id"), bounds)).repartition(ranges, "shard").sortWithinPartitions("shard", "doc_id", "text")
     placed.mapInArrow(pack, SCHEMA).write.mode("overwrite").option("compression", "none").parquet(path)
 
 
@@ -189,7 +182,7 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                rules, widths, body = np.frombuffer(r["rules"], "<u4").reshape(-1, 2), np.frombuffer(r["widths"], "<u4"), np.frombuffer(r["body"], "<u4")
+                rules, widths, body = np.frombuffer(r["rules"], "<u4").reshape(-1, 2), np.frombuffer(r["widths"], "<u4"), unpacked(r["body"])
                 ids = expand(body, rules, widths, r["base"]).astype("<u4")
                 ends = np.cumsum(r["sizes"])
                 starts = ends - r["sizes"]
@@ -209,7 +202,7 @@ def read_document(spark: SparkSession, path: str, doc_id: int) -> list[list[int]
     """The ids of the documents of that id, decoded from their own symbols only."""
     out = []
     for r in spark.read.schema(SCHEMA).parquet(path).where(F.array_contains("doc_ids", F.lit(doc_id).cast("long"))).toLocalIterator():
-        rules, widths, body = np.frombuffer(r["rules"], "<u4").reshape(-1, 2), np.frombuffer(r["widths"], "<u4"), np.frombuffer(r["body"], "<u4")
+        rules, widths, body = np.frombuffer(r["rules"], "<u4").reshape(-1, 2), np.frombuffer(r["widths"], "<u4"), unpacked(r["body"])
         edges = [*r["offsets"], len(body)]
         out += [expand(body[edges[i] : edges[i + 1]], rules, widths, r["base"]).tolist() for i, d in enumerate(r["doc_ids"]) if d == doc_id]
     return out
