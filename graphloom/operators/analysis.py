@@ -147,3 +147,49 @@ def node_texts(nodes: DataFrame, edges: DataFrame, most: int = 8192) -> DataFram
     blank = lambda prefix, c: F.when(F.col(c) != "", F.concat(F.lit(prefix), F.col(c)))
     text = F.concat_ws("\n", F.concat_ws(" ", "label", "name"), blank("", "signature"), blank("class: ", "class_name"), blank("file: ", "file_path"), blank("members: ", "members"), "near")
     return rows.select("id", F.substring(text, 1, most).alias("text"))
+
+
+def executable_hunks(hunks: DataFrame, sources: DataFrame) -> DataFrame:
+    """Hunks (file_path, start, end) but those of Python files that touch comments, docstrings or blank lines only.
+
+    ``sources``: path, content, language. Files not given, or that don't
+    parse, keep all their hunks.
+    """
+    import pandas as pd
+
+    from graphloom.sources.python_extract import executable_lines
+
+    wanted = hunks.groupBy("file_path").agg(F.collect_list(F.struct("start", "end")).alias("h"))
+    rows = wanted.join(sources.where("language = 'python'").select(F.col("path").alias("file_path"), "content"), "file_path", "left")
+
+    def keep(batches):
+        for pdf in batches:
+            out = []
+            for path, spans, content in zip(pdf.file_path, pdf.h, pdf.content):
+                try:
+                    live = executable_lines(content) if content is not None else None
+                except (SyntaxError, ValueError):
+                    live = None
+                out += [(path, s["start"], s["end"]) for s in spans if live is None or any(x in live for x in range(s["start"], s["end"] + 1))]
+            yield pd.DataFrame(out, columns=["file_path", "start", "end"])
+
+    return rows.mapInPandas(keep, "file_path string, start long, end long")
+
+
+def narrowed_test_file(path: Column, config: dict[str, list[str]] | None) -> Column:
+    """Whether a path is a test under a runner's settings: below its test paths, outside its skipped folders and ignored files."""
+    hit = is_test_file(path)
+    if not config:
+        return hit
+    if config.get("testpaths"):
+        inside = F.lit(False)
+        for p in config["testpaths"]:
+            inside = inside | (path == p.strip("/")) | path.startswith(p.strip("/") + "/")
+        hit = hit & inside
+    from graphloom.sources.files import glob_regex
+
+    for pattern in config.get("norecursedirs") or []:
+        hit = hit & ~F.exists(F.split(path, "/"), lambda s: s.rlike(glob_regex(pattern)))
+    if config.get("collect_ignore"):
+        hit = hit & ~path.isin(config["collect_ignore"])
+    return hit

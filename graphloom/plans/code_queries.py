@@ -276,3 +276,71 @@ SELECT CAST(dead_code AS DOUBLE) AS dead_code, CAST(coupling AS DOUBLE) AS coupl
 def health_score(spark, sf_dir):
     """The health score of the code-like graph."""
     return analysis.health(*code_like(spark, sf_dir))
+
+
+_PATHS = ["src/a.py", "node_modules/x.js", "web/App.tsx", "pkg.egg-info/y.py", "build/z.py", "docs/keep.py", "docs/drop.py", "lib/t.min.js", "lib/t.mjs", "README.md", "a/tests/t.py", "conftest.py", "test_x/b.py", "attests/c.py"]
+
+
+@query(f"""WITH p(path) AS ({values([(x,) for x in _PATHS])}), e AS (SELECT path, lower(regexp_extract(path, '(\\.[^./]+)$', 1)) AS ext, string_split(path, '/') AS s FROM p)
+SELECT path, CASE ext WHEN '.py' THEN 'python' WHEN '.ts' THEN 'typescript' WHEN '.tsx' THEN 'tsx' WHEN '.js' THEN 'javascript' WHEN '.jsx' THEN 'javascript' WHEN '.mjs' THEN 'javascript' WHEN '.cjs' THEN 'javascript' END AS language,
+(regexp_matches(path, '(^|/)(node_modules|build)(/|$)') OR regexp_matches(path, '\\.egg-info(/|$)') OR ends_with(path, '.min.js') OR (starts_with(path, 'docs/') AND path <> 'docs/keep.py')) AS ignored,
+(list_has_any(s, ['tests', 'test']) OR regexp_matches(path, '(^|/)test_') OR ends_with(path, 'conftest.py')) AS is_test FROM e""")
+def file_rules(spark, sf_dir):
+    """Languages, ignore rules with an ignore file, and test files."""
+    from graphloom.sources import files
+
+    df = spark.createDataFrame([(x,) for x in _PATHS], "path string")
+    return df.select("path", files.language(F.col("path")).alias("language"), files.ignored(F.col("path"), "docs/*\n!docs/keep.py\n").alias("ignored"), dead_code.is_test_file(F.col("path")).alias("is_test"))
+
+
+_REPOS = [("/w/app",), ("/x/app",), ("/w/app/sub",), ("/w/lib",)]
+_ASKED = [("/w/app/src/a.py",), ("/w/app/sub/b.py",), ("/w/other/c.py",), ("/x/app",)]
+
+
+@query(f"""WITH r(path) AS ({values(_REPOS)}), s AS (SELECT path, CASE WHEN path = min(path) OVER (PARTITION BY list_last(string_split(path, '/'))) THEN list_last(string_split(path, '/')) ELSE list_last(string_split(path, '/')) || '-' || substr(sha256(path), 1, 8) END AS slug FROM r), q(path) AS ({values(_ASKED)}),
+m AS (SELECT q.path, s.slug, row_number() OVER (PARTITION BY q.path ORDER BY length(s.path) DESC) AS k FROM q JOIN s ON q.path = s.path OR starts_with(q.path, s.path || '/')) SELECT q.path, m.slug, CASE WHEN m.slug IS NOT NULL THEN m.slug || '::' || q.path END AS qualified FROM q LEFT JOIN m ON m.path = q.path AND m.k = 1""")
+def repo_routing(spark, sf_dir):
+    """Slugs of repositories and the owner of a path by longest prefix."""
+    from graphloom.sources import files
+
+    named = files.slugs(spark.createDataFrame(_REPOS, "path string"))
+    owned = files.owner_of(spark.createDataFrame(_ASKED, "path string"), named)
+    return owned.select("path", "slug", F.when(F.col("slug").isNotNull(), files.qualified(F.col("slug"), F.col("path"))).alias("qualified"))
+
+
+@query(f"""WITH {_EDGES}, {_NEAR} SELECT (SELECT count(*) FROM nation) AS files, (SELECT count(*) FROM supplier) + (SELECT count(*) FROM customer) AS symbols, (SELECT count(*) FROM nation) AS communities, 0::BIGINT AS processes, (SELECT count(*) FROM supplier WHERE s_acctbal < 0) AS dead, (SELECT count(*) FROM e) + (SELECT count(*) FROM supplier) + 2 * (SELECT count(*) FROM nr) AS relationships""")
+def pipeline_counters(spark, sf_dir):
+    """Counters of an index build."""
+    return analysis.pipeline_counters(*code_like(spark, sf_dir))
+
+
+@query("""SELECT 'c' || s_nationkey AS community, count(*) AS members FROM supplier GROUP BY 1""")
+def cypher_members(spark, sf_dir):
+    """Members collected and counted by a query."""
+    nodes, edges = code_like(spark, sf_dir)
+    return cypher("MATCH (n:Function)-[:MemberOf]->(c:Community) WITH c.id AS community, collect(DISTINCT n.id) AS m RETURN community, size(m) AS members", nodes, edges).select("community", F.col("members").cast("bigint").alias("members"))
+
+
+@query(f"""WITH {_EDGES}, o AS (SELECT e.src AS k, 'calls' AS w, x.s_name AS nm FROM e JOIN supplier x ON x.s_suppkey = e.dst UNION SELECT e.dst, 'called by', x.s_name FROM e JOIN supplier x ON x.s_suppkey = e.src),
+l AS (SELECT k, w || ': ' || string_agg(nm, ', ' ORDER BY nm) AS t, w FROM o GROUP BY k, w), j AS (SELECT k, string_agg(t, chr(10) ORDER BY w) AS near FROM l GROUP BY k)
+SELECT 's' || s_suppkey AS id, 'function ' || s_name || chr(10) || 'file: n' || s_nationkey || coalesce(chr(10) || near, '') AS text FROM supplier LEFT JOIN j ON k = s_suppkey""")
+def node_texts(spark, sf_dir):
+    """Texts of nodes with the sorted names around them."""
+    nodes, edges = code_like(spark, sf_dir)
+    return analysis.node_texts(nodes.where("label = 'function'"), edges.where("rel_type = 'calls'"))
+
+
+@query(f"""WITH p(d, s) AS ({values([("30s", 30), ("5m", 300), ("2h", 7200), ("7d", None)])}) SELECT d, CAST(s AS BIGINT) AS seconds FROM p""")
+def durations(spark, sf_dir):
+    """§2.13: durations as text."""
+    df = spark.createDataFrame([("30s",), ("5m",), ("2h",), ("7d",)], "d string")
+    return df.select("d", analysis.duration_seconds(F.col("d")).alias("seconds"))
+
+
+@query(f"""WITH {_FIXTURE} SELECT s.id, s.name, s.file_path, 'direct' AS reach FROM s WHERE false""")
+def test_impact_comments(spark, sf_dir):
+    """Hunks of comments and docstrings alone reach no test."""
+    text = '"""Doc."""\n\n\ndef validate():\n    # why\n    """Doc\n    more."""\n    return 1\n'
+    sources = spark.createDataFrame([("src/auth.py", text, "python")], "path string, content string, language string")
+    hunks = spark.createDataFrame([("src/auth.py", 1, 2), ("src/auth.py", 5, 7)], "file_path string, start long, end long")
+    return analysis.test_impact(_symbols(spark), spark.createDataFrame(CALL_EDGES, "src string, dst string"), analysis.executable_hunks(hunks, sources))

@@ -7,13 +7,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.schema import as_edges, as_nodes, node_id
 from graphloom.operators import analysis, communities, coupling, dead_code, flows, intervals, resolve
 from graphloom.sources import python_extract, script_extract
-from graphloom.sources.storage import materialize
+from graphloom.sources.storage import GraphStore, materialize
 
 _SYMBOL = "array<struct<name:string,kind:string,start_line:bigint,end_line:bigint,content:string,signature:string,class_name:string,decorators:array<string>,bases:array<string>>>"
 _CALL = "array<struct<name:string,line:bigint,receiver:string,receiver_type:string,arguments:array<string>,is_reference:boolean,metadata:string,dispatch_kind:string>>"
@@ -78,25 +78,41 @@ def build(sources: DataFrame, commits: DataFrame | None = None) -> Graph:
     """
     parsed = materialize(parse(sources), "parsed")
     symbols = materialize(symbol_rows(parsed), "symbols")
-    files = sources.select(F.col("path"), "language", "content", "ord")
-    file_id = lambda c: F.concat(F.lit("file:"), c, F.lit(":"))
+    graph = emit(sources, parsed, symbols, symbols, sources.select("path", "language"))
+    if commits is not None:
+        graph = Graph(graph.nodes, materialize(graph.edges.unionByName(coupling_edges(commits, sources.select("path"))), "edges"))
+    return refresh(graph)
+
+
+def file_id(path: Column) -> Column:
+    return F.concat(F.lit("file:"), path, F.lit(":"))
+
+
+def coupling_edges(commits: DataFrame, files: DataFrame) -> DataFrame:
+    pairs = coupling.coupling(commits.join(files.select(F.col("path").alias("file_path")), "file_path", "left_semi"))
+    return as_edges(pairs.select(F.lit("coupled_with").alias("rel_type"), file_id(F.col("a")).alias("src"), file_id(F.col("b")).alias("dst"), "strength", "co_changes"))
+
+
+def emit(sources: DataFrame, parsed: DataFrame, symbols: DataFrame, known: DataFrame, known_files: DataFrame) -> Graph:
+    """Nodes and edges of ``sources``, resolved against ``known`` symbols and ``known_files`` (path, language), its own among them."""
+    files = sources.select("path", "language", "content", "ord")
     folders, contains = analysis.folder_tree(files)
     folder_id = lambda c: F.concat(F.lit("folder:"), c, F.lit(":"))
     last_part = F.element_at(F.split("path", "/"), -1)
     file_nodes = files.select(file_id(F.col("path")).alias("id"), F.lit("file").alias("label"), last_part.alias("name"), F.col("path").alias("file_path"), "content", "language", "ord")
     folder_nodes = folders.select(folder_id(F.col("path")).alias("id"), F.lit("folder").alias("label"), last_part.alias("name"), F.col("path").alias("file_path"))
-    known = files.select(F.col("path").alias("dst"), F.lit(True).alias("is_file"))
-    tree = contains.join(known, "dst", "left").select(F.lit("contains").alias("rel_type"), folder_id(F.col("src")).alias("src"), F.when(F.col("is_file"), file_id(F.col("dst"))).otherwise(folder_id(F.col("dst"))).alias("dst"))
+    leaves = files.select(F.col("path").alias("dst"), F.lit(True).alias("is_file"))
+    tree = contains.join(leaves, "dst", "left").select(F.lit("contains").alias("rel_type"), folder_id(F.col("src")).alias("src"), F.when(F.col("is_file"), file_id(F.col("dst"))).otherwise(folder_id(F.col("dst"))).alias("dst"))
     owners = symbols.where("label in ('class', 'enum', 'interface')").select(F.col("name").alias("class_name"), "file_path", F.col("id").alias("owner")).groupBy("class_name", "file_path").agg(F.min("owner").alias("owner"))
     is_member = F.col("label").isin("enum_member", "class_attribute")
     defines = symbols.join(owners, ["class_name", "file_path"], "left").select(F.lit("defines").alias("rel_type"), F.when(is_member & F.col("owner").isNotNull(), F.col("owner")).otherwise(file_id(F.col("file_path"))).alias("src"), F.col("id").alias("dst"))
 
     imports = parsed.select("path", F.posexplode("imports").alias("k", "i")).select(F.concat_ws("#", "path", "k").alias("import_id"), F.col("path").alias("file_path"), "i.*")
-    resolved = materialize(resolve.resolve_imports(imports, files.select("path", "language")), "imports")
+    resolved = materialize(resolve.resolve_imports(imports, known_files), "imports")
     import_edges = resolve.import_edges(resolved).select(F.lit("imports").alias("rel_type"), file_id(F.col("src")).alias("src"), file_id(F.col("dst")).alias("dst"), "symbols")
     imported = materialize(resolved.select("file_path", F.explode(F.concat("names", F.when(F.size("names") == 0, F.array(F.lit("*"))).otherwise(F.expr("cast(array() as array<string>)")))).alias("name"), F.col("target").alias("target_file")), "imported")
 
-    callable_ = symbols.where(F.col("label").isin(resolve.LABEL_ORDER)).select("id", "name", "label", "file_path", "class_name", "ord")
+    callable_ = known.where(F.col("label").isin(resolve.LABEL_ORDER)).select("id", "name", "label", "file_path", "class_name", "ord")
     raw_calls = parsed.select("path", F.col("ord").alias("file_ord"), F.posexplode("calls").alias("call_ord", "c")).select(F.concat_ws("#", "path", "call_ord").alias("pid"), F.col("path").alias("file_path"), "file_ord", "call_ord", "c.*")
     spans = symbols.where("label in ('function', 'method', 'class')")
     owner_class = symbols.where("label = 'method'").select(F.col("id").alias("symbol"), F.col("class_name").alias("caller_class"))
@@ -113,19 +129,16 @@ def build(sources: DataFrame, commits: DataFrame | None = None) -> Graph:
     type_rows = resolve.type_edges(typed, callable_).select(F.lit("uses_type").alias("rel_type"), "src", "dst", "role", F.concat(F.lit("uses_type:"), F.col("src"), F.lit("->"), F.col("dst"), F.lit(":"), F.col("role")).alias("rel_id"))
     uses = parsed.select("path", F.posexplode("accesses").alias("k", "a")).select(F.concat_ws("#", "path", "k").alias("pid"), F.col("path").alias("file_path"), "a.*")
     touched = intervals.containing_symbol(uses, spans).withColumnRenamed("symbol", "src")
-    members = symbols.where(F.col("label").isin("enum_member", "class_attribute", "module_constant"))
+    members = known.where(F.col("label").isin("enum_member", "class_attribute", "module_constant"))
     access_rows = resolve.member_edges(touched, members, imported).select(F.lit("accesses").alias("rel_type"), "src", "dst", "confidence", F.col("mode").alias("access_mode"), F.concat(F.col("src"), F.lit("->accesses->"), F.col("dst"), F.lit("@"), F.col("line"), F.lit(":"), F.col("mode")).alias("rel_id"))
     parts = [tree, defines, import_edges, call_rows, kin_rows, type_rows, access_rows]
-    if commits is not None:
-        pairs = coupling.coupling(commits.join(files.select(F.col("path").alias("file_path")), "file_path", "left_semi"))
-        parts.append(pairs.select(F.lit("coupled_with").alias("rel_type"), file_id(F.col("a")).alias("src"), file_id(F.col("b")).alias("dst"), "strength", "co_changes"))
     edges = as_edges(parts[0])
     for p in parts[1:]:
         edges = edges.unionByName(as_edges(p))
     properties = F.to_json(F.struct("decorators", "bases", F.col("protocol").isNotNull().alias("is_protocol")))
     symbol_nodes = symbols.join(protocols.withColumn("protocol", F.lit(True)), "id", "left").withColumn("properties", properties)
     nodes = as_nodes(file_nodes).unionByName(as_nodes(folder_nodes)).unionByName(as_nodes(symbol_nodes))
-    return refresh(Graph(materialize(nodes, "nodes"), materialize(edges, "edges")))
+    return Graph(materialize(nodes, "nodes"), materialize(edges, "edges"))
 
 
 def refresh(graph: Graph) -> Graph:
@@ -146,10 +159,43 @@ def refresh(graph: Graph) -> Graph:
     pid = F.concat(F.lit("process::"), F.col("entry"))
     process_nodes = kinds.select(pid.alias("id"), F.lit("process").alias("label"), F.col("label").alias("name"), F.to_json(F.struct("step_count", "kind")).alias("properties"))
     step_rows = kept.select(F.lit("step_in_process").alias("rel_type"), F.posexplode("steps").alias("step_number", "src"), pid.alias("dst")).withColumn("rel_id", F.concat_ws(":", F.lit("step"), "src", "dst", "step_number"))
-    extra = F.from_json("properties", "decorators array<string>, bases array<string>, is_protocol boolean")
-    flagged = nodes.drop("is_entry_point").join(entries.withColumn("is_entry_point", F.lit(True)), "id", "left").withColumn("is_entry_point", F.coalesce("is_entry_point", F.lit(False))).withColumn("x", extra)
-    judged = dead_code.dead_symbols(flagged.select("id", "label", "name", "file_path", "class_name", "is_entry_point", "is_exported", "x.decorators", "x.bases", F.coalesce("x.is_protocol", F.lit(False)).alias("is_protocol")), edges)
-    final = flagged.drop("x", "is_dead").join(judged, "id", "left").withColumn("is_dead", F.coalesce("is_dead", F.lit(False)))
-    nodes_out = as_nodes(final).unionByName(as_nodes(community_nodes)).unionByName(as_nodes(process_nodes))
+    flagged = nodes.drop("is_entry_point").join(entries.withColumn("is_entry_point", F.lit(True)), "id", "left").withColumn("is_entry_point", F.coalesce("is_entry_point", F.lit(False)))
+    nodes_out = unreachable(Graph(flagged, edges)).nodes.unionByName(as_nodes(community_nodes)).unionByName(as_nodes(process_nodes))
     edges_out = edges.unionByName(as_edges(member_rows)).unionByName(as_edges(step_rows))
     return Graph(materialize(nodes_out, "nodes"), materialize(edges_out, "edges"))
+
+
+def reindex(store: GraphStore, changed: DataFrame, removed: list[str], small: bool = False) -> None:
+    """Bring a stored graph up to ``changed`` files (as sources) and ``removed`` paths.
+
+    Edges into these files from others are kept where both ends live on; the
+    changed files are parsed and resolved against all stored symbols. A small
+    change recomputes unreachable symbols only, else communities and flows too.
+    The paths of one flush are few by rule, so they come to the driver.
+    """
+    paths = sorted({r.path for r in changed.select("path").collect()} | set(removed))
+    nodes = store.nodes()
+    there = nodes.where(F.col("file_path").isin(paths)).select("id")
+    inbound = materialize(store.edges().join(there.withColumnRenamed("id", "dst"), "dst", "left_semi").join(there.withColumnRenamed("id", "src"), "src", "left_anti"), "inbound")
+    store.delete_files(paths)
+    parsed = materialize(parse(changed), "parsed")
+    symbols = materialize(symbol_rows(parsed), "symbols")
+    stored = materialize(store.nodes().where(~F.col("label").isin("file", "folder", "community", "process")), "stored")
+    lists = F.from_json("properties", "decorators array<string>, bases array<string>")
+    known = symbols.unionByName(stored.withColumn("x", lists).withColumns({"decorators": F.col("x.decorators"), "bases": F.col("x.bases")}).select(*symbols.columns))
+    files = store.nodes().where("label = 'file'").select(F.col("file_path").alias("path"), "language").union(changed.select("path", "language"))
+    fresh = emit(changed, parsed, symbols, known, materialize(files, "files"))
+    alive = materialize(fresh.nodes.select("id").union(store.nodes().select("id")).distinct(), "alive")
+    restored = inbound.join(alive.withColumnRenamed("id", "dst"), "dst", "left_semi").join(alive.withColumnRenamed("id", "src"), "src", "left_semi")
+    store.upsert(fresh.nodes, fresh.edges.unionByName(restored.select(*fresh.edges.columns)).dropDuplicates(["rel_id"]))
+    now = Graph(store.nodes(), store.edges())
+    done = unreachable(now) if small else refresh(now)
+    store.write(done.nodes, done.edges)
+    store.write_meta({"incremental": "small" if small else "full"})
+
+
+def unreachable(graph: Graph) -> Graph:
+    """The graph with flags of unreachable symbols recomputed."""
+    nodes = graph.nodes.withColumn("x", F.from_json("properties", "decorators array<string>, bases array<string>, is_protocol boolean"))
+    judged = dead_code.dead_symbols(nodes.select("id", "label", "name", "file_path", "class_name", "is_entry_point", "is_exported", "x.decorators", "x.bases", F.coalesce("x.is_protocol", F.lit(False)).alias("is_protocol")), graph.edges)
+    return Graph(materialize(as_nodes(nodes.drop("x", "is_dead").join(judged, "id", "left").withColumn("is_dead", F.coalesce("is_dead", F.lit(False)))), "nodes"), materialize(as_edges(graph.edges), "edges"))

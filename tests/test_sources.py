@@ -69,3 +69,22 @@ def test_index_and_store(spark, tmp_path):
     assert store.edges().where("rel_type = 'calls'").count() == 0
     store.upsert(graph.nodes.where("file_path = 'src/verify.py'"), graph.edges.where("rel_type = 'calls'"))
     assert store.nodes().count() == len(nodes)
+
+
+def test_reindex(spark, tmp_path):
+    sources = code_queries.sample_sources(spark)
+    graph = indexing.build(sources)
+    store = GraphStore(spark, str(tmp_path / "graph"))
+    store.write(graph.nodes, graph.edges)
+    text = "def verify(obj) -> bool:\n    return extra(obj)\n\n\ndef extra(obj):\n    return obj\n"
+    changed = spark.createDataFrame([("src/verify.py", text, "python", 7)], "path string, content string, language string, ord long")
+    indexing.reindex(store, changed, ["src/unused.py"], small=True)
+    calls = {(r.src, r.dst) for r in store.edges().where("rel_type = 'calls'").collect()}
+    assert ("function:src/check.py:check", "function:src/verify.py:verify") in calls  # restored
+    assert ("function:src/verify.py:verify", "function:src/verify.py:extra") in calls
+    assert store.nodes().where("file_path = 'src/unused.py'").count() == 0
+    assert not store.node("function:src/verify.py:extra").first().is_dead
+    indexing.reindex(store, changed, [])
+    whole = indexing.build(sources.where("path not in ('src/verify.py', 'src/unused.py')").unionByName(changed))
+    plain = lambda df: {(r.rel_type, r.src, r.dst) for r in df.where("rel_type in ('calls', 'imports', 'contains', 'uses_type', 'defines')").collect()}
+    assert plain(store.edges()) == plain(whole.edges)

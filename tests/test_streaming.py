@@ -27,3 +27,23 @@ def test_stateful_stream(spark, tmp_path):
     query = changes.coalesce_stream(stream).writeStream.format("memory").queryName("coalesced").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert {(r.path, r.change) for r in spark.table("coalesced").collect()} == {("a", "deleted"), ("b", "added")}
+
+
+def test_watch_applies_a_stream(spark, tmp_path):
+    from graphloom.plans import code_queries, indexing
+    from graphloom.sources.storage import GraphStore
+    from graphloom.streaming.watch import commit_changed, watch
+
+    sources = code_queries.sample_sources(spark)
+    graph = indexing.build(sources)
+    store = GraphStore(spark, str(tmp_path / "graph"))
+    store.write(graph.nodes, graph.edges)
+    schema = "path string, change string, arrival_ts double"
+    spark.createDataFrame([("src/unused.py", "modified", 1.0), ("src/unused.py", "deleted", 2.0)], schema).write.parquet(str(tmp_path / "in"))
+    query = watch(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), store, lambda paths: sources.where(F.col("path").isin(paths)), str(tmp_path / "ck"))
+    query.awaitTermination(300)
+    assert store.nodes().where("file_path = 'src/unused.py'").count() == 0 and store.nodes().where("file_path = 'src/check.py'").count() > 0
+    commits = spark.createDataFrame([(f"c{i}", f) for i in range(4) for f in ("src/auth.py", "src/check.py")], "commit_id string, file_path string")
+    files = sources.select("path")
+    assert commit_changed(store, "h1", commits, files) and not commit_changed(store, "h1", commits, files)
+    assert store.edges().where("rel_type = 'coupled_with'").count() == 1
