@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,49 +49,56 @@ def bigrams(words: Column) -> Column:
     return F.when(F.size(words) > 1, F.array_distinct(pairs)).otherwise(words)
 
 
+def needles(templates: list[list[str]], least: float) -> list[str]:
+    """Words of which a text with Dice >= ``least`` to some template must hold one.
+
+    Such a text shares more than least / (2 - least) of the template's bigrams;
+    words are chosen until the bigrams without any of them are fewer.
+    """
+    chosen: set[str] = set()
+    for grams in sorted(templates, key=len):
+        left = [set(g.split(" ")) for g in grams if not chosen & set(g.split(" "))]
+        while left and len(left) >= len(grams) * least / (2 - least):
+            words = {w for g in left for w in g}
+            pick = max(words, key=lambda w: (min(len(w), 8), sum(w in g for g in left), w))
+            chosen.add(pick)
+            left = [g for g in left if pick not in g]
+    return sorted(chosen)
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] | None = None, least: float = LEAST) -> DataFrame:
     """``(doc_id, license, dice, matches)`` of every row.
 
     Lines, paragraphs (between blank lines) of several lines, and the whole
-    text are compared to each template; ``matches`` lists (license, dice, unit)
+    text are compared to each template; ``matches`` lists (dice, name, unit)
     of those with Dice >= ``least``, best first, ties by name; license and dice
-    are the best, or null. With a words a bigram set of at most a - 1 and of
-    the template b, Dice is at most 2 min / (a + b): units whose sizes rule out
-    every template are not compared, nor templates whose size rules them out.
-    Null counts as empty; whole texts are read; repeated rows each give the
-    same row; other columns are ignored.
+    are the best, or null. Between sets of a and b bigrams, Dice is at most
+    2 min(a, b) / (a + b): templates whose size rules them out aren't compared,
+    nor units without any word that each match must hold. Null counts as empty;
+    whole texts are read; repeated rows each give the same row; other columns
+    are ignored; without templates nothing matches.
     """
     spark = docs.sparkSession
     known = sorted((name, text) for name, texts in (TEMPLATES if templates is None else templates).items() for text in texts)
     # templates are parameters of the query: normalised by the same expressions, a row each, on the driver
-    rows = [(r[0], r[1]) for r in spark.createDataFrame(known, "name string, text string").select("name", bigrams(normal_words(F.col("text"))).alias("b")).collect()] if known else []
-    none = "cast(array() as array<struct<dice:double,name:string,unit:string>>)"
+    rows = [(r[0], r[1]) for r in spark.createDataFrame(known, "name string, text string").select("name", bigrams(normal_words(F.col("text"))).alias("b")).collect() if r[1]] if known else []
+    none = F.expr("cast(array() as array<struct<dice:double,name:string,unit:string>>)")
     if not rows:
-        return docs.select(F.col(id_col).alias("doc_id"), F.lit(None).cast("string").alias("license"), F.lit(None).cast("double").alias("dice"), F.expr(none).alias("matches"))
-    sizes = [len(b) for _, b in rows]
-    smallest, largest = min(sizes) * least / (2 - least), max(sizes) * (2 - least) / least
-    longest = max(len(" ".join(b)) for _, b in rows)
+        return docs.select(F.col(id_col).alias("doc_id"), F.lit(None).cast("string").alias("license"), F.lit(None).cast("double").alias("dice"), none.alias("matches"))
+    described = json.dumps([{"name": n, "grams": b, "low": len(b) * least / (2 - least), "high": len(b) * (2 - least) / least} for n, b in rows])
+    table = F.from_json(F.lit(described), "array<struct<name:string,grams:array<string>,low:double,high:double>>")  # a constant
+    must = "(?i)(?:" + "|".join(re.escape(w) for w in needles([b for _, b in rows], least)) + ")"
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     units = F.array_distinct(F.concat(F.split(text, r"\r?\n"), F.filter(F.split(text, r"\r?\n[ \t]*\r?\n"), lambda u: u.contains("\n")), F.array(text)))
 
+    def dice(b: Column, t: Column) -> Column:
+        return F.when(F.size(b).between(t["low"], t["high"]), 2.0 * F.size(F.array_intersect(b, t["grams"])) / (F.size(b) + F.size(t["grams"]))).otherwise(0.0)
+
     def compared(unit: Column) -> Column:
-        def against(b: Column) -> Column:
-            tried = []
-            for name, t in rows:
-                low, high = len(t) * least / (2 - least), len(t) * (2 - least) / least
-                both = F.size(F.array_intersect(b, F.array(*[F.lit(x) for x in t])))
-                dice = F.when(F.size(b).between(low, high), 2.0 * both / (F.size(b) + len(t))).otherwise(0.0)
-                tried.append(F.struct(dice.alias("dice"), F.lit(name).alias("name"), unit.alias("unit")))
-            return F.array(*tried)
-
-        def sized(words: Column) -> Column:
-            return F.when((F.size(words) > smallest) & (F.size(words) >= 1), F.flatten(F.transform(F.array(bigrams(words)), against))).otherwise(F.expr(none))
-
-        return F.flatten(F.transform(F.array(normal_words(unit)), sized))
-
-    # four code points a bigram letter leave room for marks between words; a unit's distinct bigrams may be fewer than its words, so long ones stay if they repeat
-    near = F.filter(units, lambda u: (F.length(u) >= 4) & ((F.length(u) <= 4 * longest) | (F.size(F.array_distinct(normal_words(u))) <= largest + 1)))
-    found = F.filter(F.flatten(F.transform(near, compared)), lambda m: m["dice"] >= least)
+        against = lambda b: F.transform(table, lambda t: F.struct(dice(b, t).alias("dice"), t["name"].alias("name"), unit.alias("unit")))
+        return F.flatten(F.transform(F.transform(F.array(normal_words(unit)), bigrams), against))
+
+    found = F.filter(F.flatten(F.transform(F.filter(units, lambda u: u.rlike(must)), compared)), lambda m: m["dice"] >= least)
     best = F.array_sort(found, lambda a, b: F.when(a["dice"] > b["dice"], -1).when(a["dice"] < b["dice"], 1).when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0))
-    out = docs.select(F.col(id_col).alias("doc_id"), best.alias("matches"))
+    out = docs.select(F.col(id_col).alias("doc_id"), F.when(text.rlike(must), best).otherwise(none).alias("matches"))
     return out.select("doc_id", F.get("matches", F.lit(0))["name"].alias("license"), F.get("matches", F.lit(0))["dice"].alias("dice"), "matches")
