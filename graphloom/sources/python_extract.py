@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ast
+import io
 import re
+import tokenize
 
 #: Fixed values.
 DATACLASS_DECORATORS = {"dataclass", "dataclasses.dataclass", "attr.s", "attrs.define"}
@@ -347,10 +349,14 @@ def call_metadata(call: dict) -> dict:
 
 
 def executable_lines(source: str) -> set[int]:
-    """Lines of statements that are neither comments, blank nor docstrings."""
-    lines: set[int] = set()
+    """Lines that hold code: not comments, blank lines or strings that stand alone, as docstrings do."""
+    idle = {tokenize.COMMENT, tokenize.NL, tokenize.NEWLINE, tokenize.INDENT, tokenize.DEDENT, tokenize.ENCODING, tokenize.ENDMARKER}
+    prose: set[int] = set()
     for node in ast.walk(ast.parse(source)):
-        if isinstance(node, ast.stmt) and not (isinstance(node, ast.Expr) and isinstance(node.value, ast.Constant) and isinstance(node.value.value, str)):
-            first = node.body[0].lineno - 1 if getattr(node, "body", None) and isinstance(node.body, list) and node.body else node.end_lineno
-            lines.update(range(node.lineno, max(node.lineno, min(first, node.end_lineno)) + 1))
-    return lines
+        if isinstance(node, ast.Expr) and isinstance(node.value, ast.Constant) and isinstance(node.value.value, str):
+            prose.update(range(node.lineno, node.end_lineno + 1))
+    lines: set[int] = set()
+    for token in tokenize.generate_tokens(io.StringIO(source).readline):
+        if token.type not in idle:
+            lines.update(range(token.start[0], token.end[0] + 1))
+    return lines - prose
