@@ -193,3 +193,26 @@ def narrowed_test_file(path: Column, config: dict[str, list[str]] | None) -> Col
     if config.get("collect_ignore"):
         hit = hit & ~path.isin(config["collect_ignore"])
     return hit
+
+
+def drift_inputs(files: DataFrame, sentinels: int = 64, folders: int = 5000) -> tuple[DataFrame, DataFrame]:
+    """Of ``files`` (path, mtime): the ``sentinels`` changed last, oldest of these first, and the counts of up to ``folders`` folders."""
+    newest = files.orderBy(F.desc("mtime"), "path").limit(sentinels).orderBy("mtime", "path")
+    folder = F.regexp_replace("path", "/?[^/]*$", "")
+    counted = files.groupBy(folder.alias("folder")).agg(F.count("*").alias("files")).orderBy("folder").limit(folders)
+    return newest, counted
+
+
+def serialised(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One JSON text a node and an edge, with camel-case keys; a missing confidence counts as 1."""
+    camel = lambda c: c.split("_")[0] + "".join(x.capitalize() for x in c.split("_")[1:])
+    node = F.to_json(F.struct(*[F.col(c).alias(camel(c)) for c in ("id", "label", "name", "file_path", "start_line", "end_line", "signature", "language", "class_name", "is_dead", "is_entry_point", "is_exported")]))
+    edge = F.to_json(F.struct(F.col("rel_id").alias("id"), F.col("rel_type").alias("type"), F.col("src").alias("source"), F.col("dst").alias("target"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"), "strength", F.col("step_number").alias("stepNumber")))
+    return nodes.select(node.alias("json")), edges.select(edge.alias("json"))
+
+
+def branch_diff(base, current) -> DataFrame:
+    """``(entity, kind, id)`` between two index builds of one repository, by id, in order."""
+    from .intervals import structural_diff
+
+    return structural_diff(base.nodes, current.nodes, base.edges, current.edges).orderBy("entity", "kind", "id")

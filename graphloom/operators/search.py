@@ -118,3 +118,30 @@ def group_by_process(hits: DataFrame, membership: DataFrame) -> DataFrame:
     placed = hits.join(first, "id", "left").select("id", "rank", F.coalesce("process", F.lit("Other results")).alias("process"))
     lists = placed.groupBy("process").agg(F.min("rank").alias("first_rank"), F.sort_array(F.collect_list(F.struct("rank", "id"))).alias("l"))
     return lists.select("process", "first_rank", F.transform("l", lambda x: x["id"]).alias("ids"))
+
+
+def embed(texts: DataFrame, model, dimension: int, batch: int = 8) -> DataFrame:
+    """``(id, vec)`` of ``texts`` (id, text) by ``model``, a function from a list of texts to as many vectors, called on ``batch`` at a time.
+
+    A batch that the model fails on yields nothing, so search falls back to
+    words; vectors of another dimension raise.
+    """
+    import pandas as pd
+
+    def run(batches):
+        for pdf in batches:
+            ids, vectors = [], []
+            for low in range(0, len(pdf), batch):
+                part = pdf.iloc[low : low + batch]
+                try:
+                    made = [[float(x) for x in v] for v in model(part.text.tolist())]
+                except Exception:  # the model is the caller's
+                    continue
+                if any(len(v) != dimension for v in made):
+                    raise ValueError(f"vectors must have {dimension} numbers")
+                ids += part.id.tolist()
+                vectors += made
+            yield pd.DataFrame({"id": pd.Series(ids, dtype=object), "vec": pd.Series(vectors, dtype=object)})
+
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.select("id", "text").mapInPandas(run, f"id {kind}, vec array<float>")

@@ -96,6 +96,26 @@ class GraphStore:
         self._overwrite("nodes", both, "label", keep_absent=False)
         self._overwrite("edges", links, "rel_type", keep_absent=False)
 
+    def embeddings(self) -> DataFrame:
+        return self.spark.read.schema("id string, vec array<float>").parquet(f"{self.path}/embeddings/repo={self.repo}")
+
+    def store_embeddings(self, rows: DataFrame, model: str) -> None:
+        """Upsert ``rows`` (id, vec); vectors of another model than the stored ones replace them all."""
+        if self.meta().get("embedding_model") == model:
+            rows = materialize(self.embeddings().join(rows.select("id"), "id", "left_anti").unionByName(rows.select("id", "vec")), "embeddings")
+        rows.select("id", "vec").write.mode("overwrite").parquet(f"{self.path}/embeddings/repo={self.repo}")
+        self.write_meta({"embedding_model": model})
+
+    def update_dead(self, flags: DataFrame) -> None:
+        """Set ``is_dead`` from (id, is_dead); nodes without a row keep theirs."""
+        nodes = self.nodes().join(flags.withColumnRenamed("is_dead", "new"), "id", "left").withColumn("is_dead", F.coalesce("new", "is_dead")).select(*NODES.fieldNames())
+        self._overwrite("nodes", materialize(nodes, "nodes"), "label", keep_absent=False)
+
+    def delete_synthetic(self) -> None:
+        """Drop communities and processes with their edges."""
+        self._overwrite("nodes", materialize(self.nodes().where("label not in ('community', 'process')"), "nodes"), "label", keep_absent=False)
+        self._overwrite("edges", materialize(self.edges().where("rel_type not in ('member_of', 'step_in_process')"), "edges"), "rel_type", keep_absent=False)
+
     def inbound_from_elsewhere(self, path: str, excluded: list[str] | None = None) -> DataFrame:
         """Edges into nodes of ``path`` from other files, but those in ``excluded``; saved before a file is reloaded."""
         place = self.nodes().select(F.col("id").alias("nid"), F.col("file_path").alias("at"))

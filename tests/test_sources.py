@@ -88,3 +88,28 @@ def test_reindex(spark, tmp_path):
     whole = indexing.build(sources.where("path not in ('src/verify.py', 'src/unused.py')").unionByName(changed))
     plain = lambda df: {(r.rel_type, r.src, r.dst) for r in df.where("rel_type in ('calls', 'imports', 'contains', 'uses_type', 'defines')").collect()}
     assert plain(store.edges()) == plain(whole.edges)
+
+
+def test_store_flags_and_vectors(spark, tmp_path):
+    from graphloom.functions.schema import as_edges, as_nodes
+    from graphloom.operators import analysis, search
+
+    nodes = as_nodes(spark.createDataFrame([("function:a:f", "function", "f"), ("community::c", "community", "c")], "id string, label string, name string"))
+    edges = as_edges(spark.createDataFrame([("member_of", "function:a:f", "community::c"), ("calls", "function:a:f", "function:a:f")], "rel_type string, src string, dst string"))
+    store = GraphStore(spark, str(tmp_path / "g"))
+    store.write(nodes, edges)
+    store.update_dead(spark.createDataFrame([("function:a:f", True)], "id string, is_dead boolean"))
+    assert store.node("function:a:f").first().is_dead
+    store.delete_synthetic()
+    assert store.nodes().count() == 1 and [r.rel_type for r in store.edges().collect()] == ["calls"]
+    texts = analysis.node_texts(store.nodes(), store.edges())
+    store.store_embeddings(search.embed(texts, lambda some: [[len(t), 1.0] for t in some], 2), "m1")
+    store.store_embeddings(spark.createDataFrame([("x", [1.0, 2.0])], "id string, vec array<float>"), "m1")
+    assert store.embeddings().count() == 2
+    store.store_embeddings(spark.createDataFrame([("y", [1.0, 2.0])], "id string, vec array<float>"), "m2")
+    assert [r.id for r in store.embeddings().collect()] == ["y"]
+    assert search.embed(texts, lambda some: 1 / 0, 2).count() == 0
+    assert '"isDead":true' in analysis.serialised(store.nodes(), store.edges())[0].first().json
+    other = spark.createDataFrame([("a/x.py", 3.0), ("a/y.py", 5.0), ("b.py", 4.0)], "path string, mtime double")
+    newest, counted = analysis.drift_inputs(other, 2)
+    assert [r.path for r in newest.collect()] == ["b.py", "a/y.py"] and {(r.folder, r.files) for r in counted.collect()} == {("a", 2), ("", 1)}
