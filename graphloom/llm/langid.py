@@ -11,15 +11,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import ragged
 
 FEATURES = 4096
+#: Rows of a feature matrix at most: 8 MB of counts.
+ROWS = 256
 #: Training rows at most, a language; all their text is used.
 SAMPLE = 800
 UNDETERMINED = "und"
@@ -31,7 +33,8 @@ def features(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
     fold = np.arange(256, dtype=np.uint32)
     fold[0x41:0x5B] += 32
     fold[[*range(0x30, 0x3A)]] = 0x30  # digits are one symbol
-    for low, high in ragged.slices(offsets, 1 << 19):
+    some = (part for low, high in ragged.slices(offsets, 1 << 19) for part in zip(range(low, high, ROWS), [*range(low + ROWS, high, ROWS), high]))
+    for low, high in some:
         part, edges = fold[data[offsets[low] : offsets[high]]], offsets[low : high + 1] - offsets[low]
         n = high - low
         row = np.repeat(np.arange(n, dtype=np.int64) * FEATURES, np.diff(edges))
@@ -134,16 +137,19 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     read. The text column alone is; columns of the three names are replaced.
     """
     own = docs.drop(*[c for c in docs.columns if c in ("lang_pred", "score", "ambiguous")])
-
-    @F.pandas_udf("struct<lang_pred:string,score:double,ambiguous:boolean>")
-    def judge(texts: pd.Series) -> pd.DataFrame:
-        if not len(texts) or not model.languages:
-            return pd.DataFrame({"lang_pred": [UNDETERMINED] * len(texts), "score": 0.0, "ambiguous": False})
-        parts = [model.decide(x) for _, _, x in features(pa.array(texts, pa.large_string(), from_pandas=True))]
-        top, score, narrow = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        return pd.DataFrame({"lang_pred": np.asarray(model.languages, object)[top], "score": score.astype(float), "ambiguous": narrow})
-
-    text = F.col(text_col).cast("string")
-    lettered = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
-    judged = own.withColumn("_judged", judge(text)).withColumn("_lettered", lettered)
-    return judged.select(*own.columns, F.when(F.col("_lettered"), F.col("_judged.lang_pred")).otherwise(UNDETERMINED).alias("lang_pred"), F.when(F.col("_lettered"), F.col("_judged.score")).otherwise(0.0).alias("score"), (F.col("_lettered") & F.col("_judged.ambiguous")).alias("ambiguous"))
+    lettered = F.coalesce(F.col(text_col).cast("string").rlike(r"\p{L}"), F.lit(False))
+    at, out_names = own.columns.index(text_col), [*own.columns, "lang_pred", "score", "ambiguous"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = np.asarray([*model.languages, UNDETERMINED], object)
+        for batch in batches:
+            known = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False) & bool(model.languages)
+            which, score, narrow = np.full(batch.num_rows, len(model.languages)), np.zeros(batch.num_rows), np.zeros(batch.num_rows, bool)
+            for low, high, x in features(batch.column(at).cast(pa.large_string())) if known.any() else ():
+                top, belief, close = model.decide(x)
+                here = known[low:high]
+                which[low:high][here], score[low:high][here], narrow[low:high][here] = top[here], belief[here], close[here]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names[which], pa.string()), pa.array(score), pa.array(narrow)], names=out_names)
+
+    schema = T.StructType([*own.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
+    return own.withColumn("_lettered", lettered).mapInArrow(run, schema)
