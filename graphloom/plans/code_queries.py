@@ -122,12 +122,17 @@ def dead_nodes(spark, sf_dir):
     return dead_code.dead_symbols(nodes, spark.createDataFrame(_LINKS, "src string, dst string, rel_type string"))
 
 
-@query(f"""WITH e AS (SELECT DISTINCT a.dst AS caller FROM ({values([("x", "y")])}) a(src, dst) WHERE false), r(child, kind, parent) AS ({values([("b", "extends", "a"), ("c", "implements", "i")])}) SELECT child, kind, parent FROM r""")
+_CLASSES = [("a", "A", "class", "x.py", 0), ("a2", "A", "class", "y.py", 1), ("b", "B", "class", "x.py", 2), ("c", "C", "class", "y.py", 3), ("i", "I", "interface", "z.ts", 4), ("p", "P", "class", "y.py", 5)]
+_HERITAGE = [("B", "extends", "A", "x.py"), ("C", "implements", "I", "y.py"), ("P", "extends", "Protocol", "y.py"), ("P", "extends", "Unknown", "y.py")]
+
+
+@query(f"""WITH s(id, name, label, f, ord) AS ({values(_CLASSES)}), h(child, kind, parent, f) AS ({values(_HERITAGE)}),
+r AS (SELECT c.id AS child, kind, p.id AS parent, row_number() OVER (PARTITION BY h.child, kind, h.parent, h.f ORDER BY c.f <> h.f, c.ord, p.f <> h.f, p.ord) AS n FROM h JOIN s c ON c.name = h.child JOIN s p ON p.name = h.parent)
+SELECT child, kind, parent FROM r WHERE n = 1""")
 def heritage_patch(spark, sf_dir):
     """Heritage by name, same file first; an unknown Protocol parent only marks its child."""
-    symbols = spark.createDataFrame([("a", "A", "class", "x.py", 0), ("a2", "A", "class", "y.py", 1), ("b", "B", "class", "x.py", 2), ("c", "C", "class", "y.py", 3), ("i", "I", "interface", "z.ts", 4), ("p", "P", "class", "y.py", 5)], "id string, name string, label string, file_path string, ord long")
-    rows = [("B", "extends", "A", "x.py"), ("C", "implements", "I", "y.py"), ("P", "extends", "Protocol", "y.py"), ("P", "extends", "Unknown", "y.py")]
-    return resolve.heritage_edges(spark.createDataFrame(rows, "child_name string, kind string, parent_name string, file_path string"), symbols)[0]
+    symbols = spark.createDataFrame(_CLASSES, "id string, name string, label string, file_path string, ord long")
+    return resolve.heritage_edges(spark.createDataFrame(_HERITAGE, "child_name string, kind string, parent_name string, file_path string"), symbols)[0]
 
 
 @query(f"""WITH m(src, dst, line, mode, confidence) AS ({values([("f1", "Status.A", 3, "read", 1.0), ("f2", "Status.A", 9, "write", 0.8), ("f2", "LIMIT", 4, "read", 0.8), ("f1", "LIMIT2", 5, "both", 1.0)])}) SELECT src, dst, CAST(line AS BIGINT) AS line, mode, CAST(confidence AS DOUBLE) AS confidence FROM m""")
