@@ -173,7 +173,7 @@ def confirmed(base: DataFrame, clusters: DataFrame, reps: DataFrame, width: int,
     same or neighbouring classes meet, each pair in a task of its own.
     """
     member = clusters.join(reps.select(F.col("rep").alias("doc_id"), "n", "set_key"), "doc_id")
-    step = float(np.log(100 / percent)) if percent < 100 else 1.0
+    step = 1.001 * float(np.log(100 / percent)) if percent < 100 else 1.0  # a little more, for rounding
     member = member.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("long"))
     large = member.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("words")).where((F.col("docs") > BLOCK_DOCS) | (F.col("words") > BLOCK_WORDS)).select("cluster")
     shares = member.join(large, "cluster", "left_semi").groupBy("cluster", "class").agg(F.greatest(F.ceil(F.count("*") * 2 / F.lit(BLOCK_DOCS)), F.ceil(F.sum("n") * 2 / F.lit(BLOCK_WORDS))).cast("long").alias("blocks"))
