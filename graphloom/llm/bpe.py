@@ -26,10 +26,19 @@ _VALUES = mix(np.arange(LATIN_END, dtype=np.uint64) + U64(0x51ED270B))
 _BEYOND = re.compile(f"[{chr(LATIN_END)}-{chr(0x10FFFF)}]")
 
 
+def beyond(text: str) -> bool:
+    """Whether a code point lies outside the table of classes."""
+    try:
+        text.encode("latin-1")
+        return False
+    except UnicodeEncodeError:
+        return _BEYOND.search(text) is not None
+
+
 class PieceEncoder:
     """Keeps the ids of up to ``most`` distinct pieces; when full, the half that was met most often stays."""
 
-    def __init__(self, path: str, most: int = 650_000):
+    def __init__(self, path: str, most: int = 450_000):
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         spelled = self.tokenizer.get_vocab()
         self.widths = np.zeros(max(spelled.values()) + 1, np.int64)
@@ -84,7 +93,7 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each has."""
-        whole = [i for i, t in enumerate(texts) if "'" in t or "<|" in t or not t.isascii() and _BEYOND.search(t)]
+        whole = [i for i, t in enumerate(texts) if "'" in t or "<|" in t or not t.isascii() and beyond(t)]
         direct = dict(zip(whole, (x.ids for x in self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)))) if whole else {}
         ids, counts = self._pieces([("" if i in direct else t) for i, t in enumerate(texts)] if direct else texts)
         if not direct:
@@ -156,8 +165,9 @@ class PieceEncoder:
 _encoders: dict[str, PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
-    """One encoder a worker process."""
+def encoder(path: str, most: int = 450_000) -> PieceEncoder:
+    """One encoder a worker process, of the size that was asked for last."""
     if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
+        _encoders[path] = PieceEncoder(path, most)
+    _encoders[path].most = most
     return _encoders[path]

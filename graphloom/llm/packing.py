@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .storage import materialize
-from .tokens import END_ID
+from .storage import materialize, small_batches
+from .tokens import with_end
 
 #: Lengths above such a share of the sequence length are large (each is tried); groups of them.
 LARGE, GROUPS = (1 / 4, 1 / 3, 2 / 5, 1 / 2), 64
@@ -159,10 +159,11 @@ def places(packed: list[tuple[int, list[tuple[int, int]]]]) -> list[tuple[int, i
 
 def pieces_of(docs: DataFrame, vocabulary: str, capacity: int = 1024) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)``: every document's ids and END_ID, cut only if longer than ``capacity``."""
+    small_batches(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary)
+        encode = encoder(vocabulary, 300_000)
         for batch in batches:
             names, texts, low = batch.column(0).to_pylist(), batch.column(1).fill_null(""), 0
             lengths = pc.binary_length(texts).to_pylist()
@@ -172,7 +173,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, capacity: int = 1024) -> DataFra
                     sized += lengths[high]
                     high += 1
                 ids, counts = encode.encode(texts.slice(low, high - low).to_pylist())
-                ids = np.insert(ids, np.cumsum(counts), END_ID).astype("<u4")
+                ids = with_end(ids, counts).astype("<u4", copy=False)
                 sizes = counts + 1
                 n = -(-sizes // capacity)
                 first = np.repeat(np.cumsum(n) - n, n)
@@ -184,6 +185,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, capacity: int = 1024) -> DataFra
                 sums = [zlib.crc32(ids[a:b]) for a, b in zip(at.tolist(), (at + length).tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(names[low:high], pa.int64()).take(pa.array(np.repeat(np.arange(high - low), n))), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(sums, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
                 low = high
+        pa.default_memory_pool().release_unused()
 
     return base.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -7,15 +7,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def id_bounds(docs: DataFrame, shard_mb: int = 16) -> np.ndarray:
+def id_bounds(docs: DataFrame, rows: int = 8192) -> np.ndarray:
     """Upper ends (exclusive) of all id ranges but the last, ascending.
 
-    As many ranges as hold about ``shard_mb`` of text each, 4096 at most: the
-    rows of a range are streamed, so a range needs no memory of its size.
+    As many ranges as hold about ``rows`` rows each, 4096 at most: a range is
+    streamed, so it needs no memory of its size. Only ids are read.
     """
-    total = docs.agg(F.sum(F.octet_length("text")), F.count("doc_id")).first()
-    ranges = int(min(4096, max(1, (total[0] or 0) // (shard_mb << 20), 1)))
-    if ranges == 1 or not total[1]:
+    total = docs.select("doc_id").where("doc_id is not null").count()
+    ranges = int(min(4096, max(1, total // rows)))
+    if ranges == 1:
         return np.zeros(0, np.int64)
     cuts = [i / ranges for i in range(1, ranges)]
     found = docs.agg(F.percentile_approx("doc_id", cuts, 10 * ranges + 1000)).first()[0]

@@ -20,6 +20,17 @@ def shared_dir(spark: SparkSession) -> str:
     return place
 
 
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Let Arrow batches hold few rows, as texts are long: an executor keeps some batches a task outside its heap, and its worker a copy.
+
+    Only where the session leaves Spark's own number (10000 rows); a smaller or
+    otherwise chosen one stays.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/graphloom/{label}-{uuid.uuid4().hex}"
 

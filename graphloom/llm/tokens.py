@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .bpe import encoder
 from .sharding import id_bounds, range_number
+from .storage import small_batches
 
 END_ID = 2
 #: Ids of a block, and the size of its table of pairs.
@@ -29,6 +30,17 @@ BLOCK_IDS, SLOT_BITS = 500_000, 17
 SCHEMA = "shard int, block int, earlier long, base long, doc_ids array<long>, sizes array<long>, offsets array<long>, rules binary, widths binary, body binary"
 
 
+def with_end(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The ids of several texts with END_ID after each."""
+    out = np.empty(len(ids) + len(counts), np.uint32)
+    last = np.cumsum(counts + 1) - 1
+    own = np.ones(len(out), bool)
+    own[last] = False
+    out[last] = END_ID
+    out[own] = ids
+    return out
+
+
 def leftmost(chosen: np.ndarray) -> np.ndarray:
     """Of chosen neighbouring positions, every other one, from the left of each run."""
     at = np.flatnonzero(chosen)
@@ -116,6 +128,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, rounds: int =
     give a file without blocks. Texts are shuffled once, by id range.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    small_batches(docs.sparkSession)
     bounds, spark = id_bounds(base), base.sparkSession
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +156,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, rounds: int =
             lengths = pc.binary_length(batch.column(1)).to_pylist()
             while low < len(names):
                 high, sized = low, 0
-                while high < len(names) and shards[high] == shards[low] and (high == low or sized < 2_000_000):
+                while high < len(names) and shards[high] == shards[low] and (high == low or sized < 1_000_000):
                     sized += lengths[high]
                     high += 1
                 if shards[low] != shard and held:
@@ -152,7 +165,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, rounds: int =
                 if shards[low] != shard:
                     shard, block, earlier = shards[low], 0, 0
                 ids, counts = encode.encode(batch.column(1).slice(low, high - low).to_pylist())
-                ids = np.insert(ids, np.cumsum(counts), END_ID)
+                ids = with_end(ids, counts)
                 held.append((names[low:high], ids, counts + 1))
                 size += len(ids)
                 if size >= BLOCK_IDS:
@@ -161,6 +174,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, rounds: int =
                 low = high
         if held:
             yield sealed()
+        pa.default_memory_pool().release_unused()
 
     ranges = max(len(bounds) + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     placed = base.withColumn("shard", range_number(F.col("doc_id"), bounds)).repartition(ranges, "shard").sortWithinPartitions("shard", "doc_id", "text")
