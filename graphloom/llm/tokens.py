@@ -25,8 +25,8 @@ from .sharding import id_bounds, range_number
 from .storage import small_batches
 
 END_ID = 2
-#: Ids of a block, and the size of its table of pairs.
-BLOCK_IDS, SLOT_BITS = 500_000, 17
+#: Ids of a block, and the size of its table of pairs (which only sieves; any size gives the same rules).
+BLOCK_IDS, SLOT_BITS = 2_000_000, 18
 SCHEMA = "shard int, block int, earlier long, base long, doc_ids array<long>, sizes array<long>, offsets array<long>, rules binary, widths binary, body binary"
 
 
@@ -51,45 +51,60 @@ def leftmost(chosen: np.ndarray) -> np.ndarray:
     return at[(np.arange(len(at)) - begin) % 2 == 0]
 
 
-def repair(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = 2, pairs: int = 1024, least: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int | None = None, least: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(rules, widths, symbols)`` for ids; ``ends`` are the documents' end positions, which no pair spans.
 
-    Each round counts neighbouring pairs in a hash table of which a slot counts
-    one pair (another of the same slot waits for a later round), and gives the
-    ``pairs`` most frequent of at least ``least`` occurrences a rule each;
-    overlaps go to the leftmost, ties to the smaller slot.
+    Each round counts all neighbouring pairs, overlaps of a pair with itself
+    once, and gives every pair of ``least`` occurrences a rule. Where two such
+    pairs overlap, the more frequent one is replaced; a pair that is left with
+    fewer than ``least`` places waits for the next round. It ends when no pair
+    occurs ``least`` times, or after ``rounds`` if given.
     """
     body = ids.astype(np.uint32)
     closing = np.zeros(len(body), bool)
     closing[ends - 1] = True
     rules, widths = [np.zeros((0, 2), np.uint32)], np.ones(base, np.uint32)
-    for _ in range(rounds):
+    while rounds is None or len(rules) <= rounds:
         if len(body) < 2:
             break
-        pair = body[:-1].astype(np.uint64)
-        pair <<= np.uint64(32)
-        pair |= body[1:]
-        slot = (pair * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).astype(np.intp)
-        held = np.zeros(1 << SLOT_BITS, np.uint64)
-        held[slot] = pair
-        match = held[slot] == pair
-        match &= ~closing[:-1]
-        often = np.bincount(slot[match], minlength=1 << SLOT_BITS)
-        top = np.argsort(-often, kind="stable")[:pairs]
-        top = top[often[top] >= least]
-        if not len(top):
+        free = ~closing[:-1]
+        same = free & (body[:-1] == body[1:])
+        free &= ~same
+        free[leftmost(same)] = True
+        at = np.flatnonzero(free)
+        pair = body[at].astype(np.uint64) << np.uint64(32) | body[at + 1]
+        slot = (pair * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
+        # a slot counts all of its pairs, so that one below ``least`` has no frequent pair
+        often = np.bincount(slot, minlength=1 << SLOT_BITS) >= least
+        some = often[slot]
+        at, pair, slot = at[some], pair[some], slot[some]
+        if not len(at):
             break
-        number = np.zeros(1 << SLOT_BITS, np.int32)
-        number[top] = np.arange(len(top))
-        wanted = np.zeros(1 << SLOT_BITS, bool)
-        wanted[top] = True
-        match &= wanted[slot]
-        at = leftmost(match)
-        of = number[slot[at]]
-        used, of = np.unique(of, return_inverse=True)
-        keys = held[top[used]]
+        order = np.sort(pair)
+        first = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]]))
+        counts = np.diff(first, append=len(order))
+        keys, counts = order[first[counts >= least]], counts[counts >= least]
+        if not len(keys):
+            break
+        # a slot names one of its keys; pairs of another key are looked up
+        number = np.full(1 << SLOT_BITS, -1, np.int32)
+        number[(keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).astype(np.int32)] = np.arange(len(keys))
+        of = number[slot]
+        odd = np.flatnonzero((of >= 0) & (keys[of] != pair))
+        found = np.minimum(np.searchsorted(keys, pair[odd]), len(keys) - 1)
+        of[odd] = np.where(keys[found] == pair[odd], found, -1)
+        at, of = at[of >= 0], of[of >= 0]
+        rank = np.empty(len(keys), np.int32)
+        rank[np.argsort(-counts, kind="stable")] = np.arange(len(keys))
+        r, near = rank[of], np.diff(at) == 1
+        wins = np.ones(len(at), bool)
+        wins[1:] &= ~(near & (r[:-1] < r[1:]))
+        wins[:-1] &= ~(near & (r[1:] < r[:-1]))
+        used = np.bincount(of[wins], minlength=len(keys)) >= least
+        wins &= used[of]
+        at, of = at[wins], (np.cumsum(used) - 1)[of[wins]]
+        keys = keys[used]
         new = np.stack([keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
-        body = body.copy()
         body[at] = (len(widths) + of).astype(np.uint32)
         widths = np.concatenate([widths, widths[new[:, 0]] + widths[new[:, 1]]])
         rules.append(new)
@@ -107,20 +122,20 @@ def unpacked(body: bytes) -> np.ndarray:
 
 
 def expand(body: np.ndarray, rules: np.ndarray, widths: np.ndarray, base: int) -> np.ndarray:
-    """The ids that ``body``, or any slice of it, stands for: a row of the table of all symbols' expansions for each, without its padding."""
-    most = int(widths.max()) if len(widths) else 1
-    table, filled = np.zeros((base + len(rules), most), np.uint32), np.zeros((base + len(rules), most), bool)
-    table[:base, 0] = np.arange(base)
-    filled[:base, 0] = True
-    sizes = np.concatenate([np.ones(base, np.int64), widths.astype(np.int64)])
-    for k, (left, right) in enumerate(rules.tolist()):  # rules use earlier symbols only
-        at, a, b = base + k, sizes[left], sizes[right]
-        table[at, :a], table[at, a : a + b] = table[left, :a], table[right, :b]
-        filled[at, : a + b] = True
-    return np.concatenate([np.zeros(0, np.uint32), *(table[part][filled[part]] for part in (body[i : i + 65536] for i in range(0, len(body), 65536)))])
-
-
-def write_token_files(docs: DataFrame, path: str, vocabulary: str, rounds: int = 2) -> None:
+    """The ids that ``body``, or any slice of it, stands for: rules are taken apart a level at a time, each half to its place."""
+    sizes = np.ones(base + len(rules), np.int64)
+    sizes[base:] = widths
+    spread = sizes[body]
+    out, symbols, places = np.zeros(int(spread.sum()), np.uint32), body, np.cumsum(spread) - spread
+    while len(symbols):
+        plain = symbols < base
+        out[places[plain]] = symbols[plain]
+        halves, places = rules[symbols[~plain] - base], places[~plain]
+        symbols, places = np.concatenate([halves[:, 0], halves[:, 1]]), np.concatenate([places, places + sizes[halves[:, 0]]])
+    return out
+
+
+def write_token_files(docs: DataFrame, path: str, vocabulary: str, rounds: int | None = None) -> None:
     """Encode every text, append END_ID, and write the blocks below ``path``.
 
     Null text counts as empty (its ids are END_ID alone). Rows go in order of

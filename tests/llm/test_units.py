@@ -1,6 +1,7 @@
 """Pieces of the operators that need no cluster."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -52,6 +53,20 @@ def test_repair_round_trip_and_random_access():
         assert tokens.expand(b, r, w, 50_257).tolist() == few
 
 
+def test_repair_ends_when_no_pair_is_frequent(monkeypatch):
+    draw = np.random.default_rng(4)
+    passage = draw.integers(0, 40_000, 3000)
+    docs = [np.concatenate([draw.integers(0, 40_000, 20), passage, [7] * int(draw.integers(0, 40))]) for _ in range(40)]
+    ids, ends = np.concatenate(docs).astype(np.uint32), np.cumsum([len(d) for d in docs])
+    rules, widths, body = tokens.repair(ids, ends, 50_257)
+    assert (tokens.expand(body, rules, widths, 50_257) == ids).all() and len(body) < len(ids) / 50
+    edges = np.searchsorted(np.cumsum(np.where(body >= 50_257, widths[np.maximum(body, 50_257) - 50_257], 1)), ends) + 1
+    pairs = Counter(p for part in np.split(body, edges[:-1]) for p in zip(part[:-1].tolist(), part[1:].tolist()) if p[0] != p[1])
+    assert max(pairs.values()) < 16
+    monkeypatch.setattr(tokens, "SLOT_BITS", 3)  # pairs that share a slot are told apart
+    assert all((a == b).all() for a, b in zip(tokens.repair(ids, ends, 50_257), (rules, widths, body)))
+
+
 @pytest.mark.parametrize("lengths", [[], [1024] * 3, [600] * 50 + [300] * 60 + [124] * 40, list(range(1, 1025)), [1] * 5000, [513] * 9])
 def test_plan_places_every_piece(lengths):
     counts = np.bincount(lengths, minlength=1025) if lengths else np.zeros(1025, int)
