@@ -32,12 +32,12 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
 def build_index(docs: DataFrame, terms: DataFrame | None = None, n_terms: int = 1 << 62) -> DataFrame:
     """The stored index ``(term, doc_id, pos)``: every position (from 0) of every term, or of those in ``terms`` (a column term).
 
-    Terms are folded with lower(), which folds all that the exact comparison
-    folds and more. The table is written to shared storage, each document's
+    Terms are folded as in the exact comparison: A-Z only, as lower() folds a
+    letter by those around it. The table is written to shared storage, each document's
     postings in one file (the index is partitioned by document: phrases are
     within documents, so lists meet without moving a document's postings).
     """
-    found = docs.select("doc_id", F.posexplode(cased_words(F.lower("text"))).alias("pos", "term"))
+    found = docs.select("doc_id", F.posexplode(cased_words(lowered(F.col("text")))).alias("pos", "term"))
     if terms is not None:
         found = found.join(bounded(terms.select("term").distinct(), n_terms), "term")
     return materialize(found.select("term", "doc_id", "pos"), "postings")[0]
@@ -56,7 +56,7 @@ def candidates(index: DataFrame, items: DataFrame, n_positions: int, lists: int
     window's rarest terms only are read, each moved by its term's place in the
     item; a window is met where all of its lists hold the same shift.
     """
-    placed = items.select("item", "span", "length", F.posexplode("words").alias("at", "word")).withColumn("term", F.lower("word"))
+    placed = items.select("item", "span", "length", F.posexplode("words").alias("at", "term"))
     often = index.groupBy("term").agg(F.count("*").alias("df"))
     counted, _ = materialize(placed.join(often, "term").select("item", "span", "length", "at", "term", "df"), "terms")
     lost = placed.join(counted.select("item", "at"), ["item", "at"], "left_anti").select("item", "span", "at")  # words that no document has
@@ -89,7 +89,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 8, least_i
     base = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), row.alias("row"))
     items, _ = materialize(_items(benchmark, width), "items")
     n_positions = items.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-    terms = items.select(F.explode("words").alias("word")).select(F.lower("word").alias("term")).distinct()
+    terms = items.select(F.explode("words").alias("term")).distinct()
     index = build_index(base.drop("row"), terms, n_positions)
     found = candidates(index, items, n_positions)
     n_items = items.count()

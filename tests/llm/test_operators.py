@@ -79,6 +79,14 @@ def test_decontamination_edges(spark, odd, empty):
     assert decontamination.decontaminate(empty, items).count() == 0
 
 
+def test_decontamination_folds_words_alike_in_any_context(spark):
+    item = "Α.Σ. ΠΑΠΑ ΟΔΟΣ:ΑΒ straße İstanbul \u212aelvin One TWO"
+    items = spark.createDataFrame([("long", item), ("short", "ΟΔΟΣ:ΑΒ")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, f"before {item} after"), (2, item.replace("One", "oNE")), (3, item.replace("ΠΑΠΑ", "παπα")), (4, "x ΟΔΟΣ ΑΒ")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_hit, list(r["items"]), r.contaminated) for r in decontamination.decontaminate(docs, items).collect()}
+    assert got == {1: (10, ["long", "short"], True), 2: (10, ["long", "short"], True), 3: (2, ["short"], False), 4: (2, ["short"], False)}
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "red big green apple"), (2, "red a b c d e green apple"), (3, "green red apple"), (4, "red green apple")], "doc_id long, text string")
     phrases = spark.createDataFrame([("p", ["red", "green", "apple"])], "phrase_id string, terms array<string>")
