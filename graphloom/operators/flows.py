@@ -57,7 +57,7 @@ def trace_flows(edges: DataFrame, entries: DataFrame, depth: int = 6, branching:
         asked = flows.select("entry", F.posexplode("frontier").alias("p", "src")).join(targets, "src").groupBy("entry").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "targets"))), lambda x: x["targets"]).alias("lists"))
         add = lambda acc, t: F.concat(acc, F.slice(F.array_except(t, acc), 1, F.greatest(F.lit(0), F.least(F.lit(branching), F.lit(most) - F.size(acc)))))
         grown = flows.join(asked, "entry", "left").withColumn("grown", F.when(F.col("lists").isNull(), F.col("steps")).otherwise(F.aggregate("lists", F.col("steps"), add)))
-        flows = grown.select("entry", F.col("grown").alias("steps"), F.slice("grown", F.size("steps") + 1, F.lit(most)).alias("frontier"))
+        flows = materialize(grown.select("entry", F.col("grown").alias("steps"), F.slice("grown", F.size("steps") + 1, F.lit(most)).alias("frontier")), "flow-level")
     return flows.select("entry", "steps")
 
 

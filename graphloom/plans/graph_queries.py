@@ -192,8 +192,8 @@ def communities_propagated(spark, sf_dir):
 
 @query()
 def flow_trace(spark, sf_dir):
-    """The bounded flow from each supplier of nation 3."""
-    entries = tables.table(spark, sf_dir, "supplier").where("s_nationkey = 3").select(F.col("s_suppkey").alias("id"))
+    """The bounded flow from each supplier."""
+    entries = tables.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
     return flows.trace_flows(_supplier_graph(spark, sf_dir), entries)
 
 
@@ -201,14 +201,14 @@ def flow_trace(spark, sf_dir):
 def flow_dedup(spark, sf_dir):
     """The flows of all suppliers that greedy selection keeps."""
     entries = tables.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
-    return flows.dedup_flows(flows.trace_flows(_supplier_graph(spark, sf_dir), entries, depth=2, branching=2, most=6))
+    return flows.dedup_flows(flows.trace_flows(_supplier_graph(spark, sf_dir), entries))
 
 
 @query()
 def flow_kind(spark, sf_dir):
-    """Kinds and labels of the flows of nation 3, nations as communities."""
+    """Kinds and labels of the flows of all suppliers, nations as communities."""
     suppliers = tables.table(spark, sf_dir, "supplier")
-    found = flows.trace_flows(_supplier_graph(spark, sf_dir), suppliers.where("s_nationkey = 3").select(F.col("s_suppkey").alias("id")), depth=2)
+    found = flows.trace_flows(_supplier_graph(spark, sf_dir), suppliers.select(F.col("s_suppkey").alias("id")))
     return flows.flow_kinds(found, suppliers.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), suppliers.select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("community")))
 
 

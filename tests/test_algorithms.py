@@ -7,6 +7,8 @@ from collections import defaultdict, deque
 import pytest
 
 from graphloom.operators import communities, coupling, flows, traversal
+from graphloom.plans import catalog
+from graphloom.sources import tables
 
 
 def graph(seed, n, m):
@@ -85,6 +87,23 @@ def test_flow_dedup_is_greedy(spark):
     assert got == {i for i, s in kept if len(s) > 1}
 
 
+def test_flow_queries_take_all_suppliers_and_whole_flows(spark):
+    sf = "/root/testdata/sf0.01"
+    suppliers = {r.s_suppkey: r for r in spark.read.parquet(f"{sf}/supplier.parquet").collect()}
+    out = defaultdict(list)
+    for e in sorted(tables.supplier_calls(spark, sf).collect(), key=lambda e: (e.src, -e.confidence, e.dst)):
+        out[e.src].append(e.dst)
+    want = {s: sequential_flow(out, s, 6, 3, 25) for s in suppliers}
+    assert {r.entry: list(r.steps) for r in catalog.QUERIES["flow_trace"](spark, sf).collect()} == want
+    kept = []
+    for s in sorted(want, key=lambda s: (-len(want[s]), s)):
+        if all(len(set(want[s]) & set(want[k])) / min(len(want[s]), len(want[k])) <= 0.5 for k in kept):
+            kept.append(s)
+    assert {r.entry: list(r.steps) for r in catalog.QUERIES["flow_dedup"](spark, sf).collect()} == {s: want[s] for s in kept if len(want[s]) > 1}
+    kinds = {s: (len(f), " → ".join(suppliers[x].s_name for x in f[:4]), "intra_community" if len({suppliers[x].s_nationkey for x in f}) == 1 else "cross_community") for s, f in want.items()}
+    assert {r.entry: (r.step_count, r.label, r.kind) for r in catalog.QUERIES["flow_kind"](spark, sf).collect()} == kinds
+
+
 def test_two_clusters(spark):
     a, b = ["validate", "hash", "check"], ["query", "format", "cache"]
     edges = [(x, y, 1.0) for g in (a, b) for x, y in itertools.permutations(g, 2)] + [("validate", "query", 1.0)]
