@@ -1,4 +1,4 @@
-"""Communities of weighted graphs: Louvain for graphs of a checked size, label propagation beyond it; cohesion and labels."""
+"""Communities of weighted graphs by Louvain moves over the cluster (or, if asked for, in one task or by label propagation); cohesion and labels."""
 
 from __future__ import annotations
 
@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from graphloom.sources.storage import materialize
 
-#: Edges that one task may hold (about 100 bytes each).
-LOUVAIN_EDGES = 2_000_000
+#: The least gain of a move, edges weighing 1 on average.
+LEAST_GAIN = 1e-9
 
 
 def louvain(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
@@ -56,15 +56,14 @@ def louvain(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, n: int) -> np.
 def communities(edges: DataFrame, method: str | None = None, least: int = 2, rounds: int = 20) -> DataFrame:
     """``(id, community)`` of weighted edges (src, dst, weight); communities by size, then least member, from 0; those under ``least`` are left out.
 
-    A graph of at most LOUVAIN_EDGES edges (counted) is one task's; larger ones,
-    or ``method='propagation'``, spread labels by weight over the cluster.
-    Fewer than 3 vertices have none.
+    ``method``: 'distributed' (the default, at every size) is ``modular``;
+    'louvain' moves vertices one by one in a single task, which must hold all
+    edges (about 100 bytes each); 'propagation' spreads labels by weight for at
+    most ``rounds``, even if some still move. Fewer than 3 vertices have none.
     """
     both = edges.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("weight").alias("w"))
     both = materialize(both, "community-edges")
     kind = both.schema["a"].dataType.simpleString()
-    if method is None:
-        method = "louvain" if both.count() <= LOUVAIN_EDGES else "propagation"
     if method == "louvain":
 
         def group(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -75,8 +74,10 @@ def communities(edges: DataFrame, method: str | None = None, least: int = 2, rou
             return pd.DataFrame({"id": ids, "raw": found.astype(np.int64)})
 
         raw = both.withColumn("whole", F.lit(0)).groupBy("whole").applyInPandas(lambda pdf: group(pdf.sort_values(["a", "b"])), f"id {kind}, raw long")
-    else:
+    elif method == "propagation":
         raw = propagate(both, rounds)
+    else:
+        raw = modular(both)
     raw = materialize(raw, "communities")
     sizes = raw.groupBy("raw").agg(F.count("*").alias("size"), F.min("id").alias("first")).where(F.col("size") >= least)
     # one row a community; ranked by a window over these only
@@ -84,6 +85,49 @@ def communities(edges: DataFrame, method: str | None = None, least: int = 2, rou
     return raw.join(named.select("raw", "community"), "raw").select("id", "community")
 
 
+def modular(both: DataFrame) -> DataFrame:
+    """Louvain over the cluster, until no move of a vertex to a neighbouring community raises modularity, level by level.
+
+    In a round every vertex names its best move. A community takes vertices in
+    or gives them off, as the better of its best moves says, and of those that
+    fit both ends each is made if it gains even after all better ones into the
+    same community and out of the same: so the moves of a round never lower
+    modularity, and the best one of all is always made.
+    """
+    n, scale = both.agg(F.count("*"), F.sum("w")).first()
+    ends = both.select(F.col("a").alias("id")).union(both.select("b")).distinct()
+    member = materialize(ends.select("id", F.col("id").alias("raw")), "members")
+    if member.limit(3).count() < 3:
+        return member.where("false")
+    weight = F.col("w") * F.lit(float(n / scale) if scale else 1.0)
+    sym = materialize(both.select(F.col("a").alias("src"), F.col("b").alias("dst"), weight.alias("w")).union(both.select("b", "a", weight)), "sym")
+    total = F.lit(2.0 * n)
+    first = F.struct(-F.col("gain"), F.col("id"))
+    before = lambda c: F.coalesce(F.sum("k").over(Window.partitionBy(c).orderBy(F.desc("gain"), "id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    while True:
+        nodes, moved = materialize(sym.groupBy("src").agg(F.sum("w").alias("k")).select(F.col("src").alias("id"), "k", F.col("src").alias("c")), "nodes"), False
+        while True:
+            tot = nodes.groupBy("c").agg(F.sum("k").alias("tot"))
+            links = sym.where("src <> dst").join(nodes.select(F.col("id").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("id"), F.col("c").alias("to")).agg(F.sum("w").alias("l"))
+            rated = links.join(nodes, "id").join(tot.withColumnRenamed("c", "to"), "to").withColumn("worth", F.col("l") - F.col("k") * (F.col("tot") - F.when(F.col("to") == F.col("c"), F.col("k")).otherwise(0.0)) / total)
+            alone = nodes.join(tot, "c").select("id", (-F.col("k") * (F.col("tot") - F.col("k")) / total).alias("unlinked"))
+            best = rated.groupBy("id").agg(F.first("k").alias("k"), F.first("c").alias("c"), F.max(F.when(F.col("to") == F.col("c"), F.col("worth"))).alias("stay"), F.min(F.when(F.col("to") != F.col("c"), F.struct(-F.round("worth", 9), "to"))).alias("go"))
+            gain = F.round(-F.col("go").getField("col1") - F.coalesce("stay", "unlinked"), 9)
+            moves = materialize(best.join(alone, "id").select("id", "k", "c", F.col("go.to").alias("to"), gain.alias("gain")).where(F.col("gain") > LEAST_GAIN), "moves")
+            if moves.isEmpty():
+                break
+            off, into = moves.groupBy("c").agg(F.min(first).alias("off")), moves.groupBy("to").agg(F.min(first).alias("into"))
+            gives = moves.join(off, "c").join(into.withColumnsRenamed({"to": "c", "into": "own_into"}), "c", "left").where("own_into is null or off < own_into").drop("off", "own_into")
+            fit = gives.join(into, "to").join(off.withColumnsRenamed({"c": "to", "off": "its_off"}), "to", "left").where("its_off is null or into < its_off")
+            made = fit.select("id", "to", F.col("gain") - F.col("k") * (before("to") + before("c")) / total > LEAST_GAIN, "gain").toDF("id", "to", "made", "gain").where("made").select("id", "to")
+            nodes, moved = materialize(nodes.join(made, "id", "left").select("id", "k", F.coalesce("to", "c").alias("c")), "nodes"), True
+        if not moved:
+            return member
+        member = materialize(member.join(nodes.select(F.col("id").alias("raw"), "c"), "raw").select("id", F.col("c").alias("raw")), "members")
+        at = lambda end: nodes.select(F.col("id").alias(end), F.col("c").alias(f"{end}_c"))  # noqa: B023, E731
+        sym = materialize(sym.join(at("src"), "src").join(at("dst"), "dst").groupBy(F.col("src_c").alias("src"), F.col("dst_c").alias("dst")).agg(F.sum("w").alias("w")), "sym")
+
+
 def propagate(both: DataFrame, rounds: int) -> DataFrame:
     """Each vertex takes the label of most weight around it, itself included with its strongest edge; ties to the least."""
     sym = materialize(both.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w").union(both.select("b", "a", "w")), "sym")

@@ -116,6 +116,31 @@ def test_two_clusters(spark):
     assert communities.communities(df.limit(1)).count() == 0
 
 
+def test_communities_are_modular_at_any_size(spark, monkeypatch):
+    draw = random.Random(6)
+    edges = [(a, b, draw.randint(1, 4) / 4) for a, b in graph(6, 40, 70) if a < b] + [(i, i + 1, 1.0) for i in range(39)]
+    df = spark.createDataFrame(edges, "src long, dst long, weight double")
+    monkeypatch.setattr(communities, "LOUVAIN_EDGES", 0, raising=False)  # a former switch to another method
+    found = {r.id: r.community for r in communities.communities(df, least=1).collect()}
+    degree, two = defaultdict(float), 2 * sum(w for *_, w in edges)
+    for a, b, w in edges:
+        degree[a] += w
+        degree[b] += w
+
+    def modularity(of):
+        tot = defaultdict(float)
+        for v, c in of.items():
+            tot[c] += degree[v]
+        return sum(2 * w for a, b, w in edges if of[a] == of[b]) / two - sum(t * t for t in tot.values()) / two**2
+
+    whole = modularity(found)
+    assert found.keys() == degree.keys() and whole > 0.4
+    groups = set(found.values())  # no two communities are better as one
+    assert all(modularity({v: a if c == b else c for v, c in found.items()}) <= whole + 1e-9 for a, b in itertools.combinations(groups, 2))
+    one_task = {r.id: r.community for r in communities.communities(df, "louvain", least=1).collect()}
+    assert whole > modularity(one_task) - 0.05
+
+
 def test_coupling_of_the_fixture(spark):
     commits = [(f"c{i}", f) for i in range(4) for f in ("auth", "models")] + [("c4", "auth"), ("c5", "models"), ("c6", "views"), ("c6", "utils")]
     df = spark.createDataFrame(commits, "commit_id string, file_path string")
