@@ -1,34 +1,51 @@
 """Near-duplicate classes by min-max hashing, each link confirmed on the whole shingle sets.
 
-Every document's shingle set gives, under each of a few dozen random
+Every distinct shingle set gives, under each of a few dozen random
 permutations, its smallest and its largest value: two signature entries for
-one hash evaluation, each equal in two documents with a chance of their
-Jaccard similarity. Bands of entries are the buckets of a locality-sensitive
-index. Buckets only gather documents into coarse clusters (each member is
-tied to the bucket's smallest id, so no pairs are listed); within a cluster,
-documents meet in blocks of bounded size, where a matrix product gives the
-exact intersection sizes of all pairs, and only a spanning forest of the
-confirmed links leaves the block.
+one hash evaluation, each equal in two sets with a chance of their Jaccard
+similarity. Bands of entries are the buckets of a locality-sensitive index.
+Buckets only gather sets into coarse clusters (each member is tied to the
+bucket's smallest one, so no pairs are listed). Within a cluster the sets meet
+in random blocks of bounded size, where a matrix product gives the exact
+intersection sizes of all pairs; then one set a class found so far, until few
+classes are left; and last those members of different classes that share a
+bucket. So a cluster of many near copies costs in proportion to its size, and
+no link between two classes is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import ragged
 from .components import connected_components
 from .ragged import U64
 from .storage import materialize, small_batches
 
-#: Entries a band and bands. A pair at the threshold 0.85 is missed with chance (1 - 0.85**6)**30 < 1e-6.
-ROWS, BANDS = 6, 30
-#: Of one block: documents and words at most.
+#: Signature entries at most, and the chance to miss a pair at the threshold, for which bands are chosen.
+ENTRIES, MISS = 192, 1e-6
+#: Of one block: sets and shingles at most.
 BLOCK_DOCS, BLOCK_WORDS = 1000, 400_000
+#: Shingles that are compared at once.
+SLICE = 1 << 20
+
+
+def bands_for(percent: int) -> tuple[int, int]:
+    """``(rows, bands)``: the most entries a band, of at most ENTRIES in all, that miss a pair at ``percent`` with a chance below MISS."""
+    similar, best = min(max(percent, 1), 99) / 100, None
+    for rows in range(1, 13):
+        bands = int(np.ceil(np.log(MISS) / np.log1p(-(similar**rows))))
+        bands += rows * bands % 2
+        if best is None or rows * bands <= ENTRIES:
+            best = rows, bands
+    return best
 
 
 def sets_of(column: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -90,31 +107,66 @@ def signatures(docs: DataFrame, width: int, rows: int, bands: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
-def block_links(column: pa.Array, width: int, percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """A spanning forest, as row pairs, of the links among these texts (of those across, where ``side`` is given)."""
-    parts = [(v, c) for _, _, v, c in sets_of(column, width)]
-    values, counts = np.concatenate([v for v, _ in parts]), np.concatenate([c for _, c in parts])
+def with_keys(docs: DataFrame, width: int) -> DataFrame:
+    """``(doc_id, text, set_key)`` of ``(doc_id, text)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, values, counts in sets_of(batch.column(1), width):
+                yield pa.RecordBatch.from_arrays([*(c.slice(low, high - low) for c in batch.columns), pa.array(set_keys(values, counts), pa.binary())], names=["doc_id", "text", "set_key"])
+
+    return docs.mapInArrow(run, "doc_id long, text string, set_key binary")
+
+
+def shingled(texts: DataFrame, width: int) -> DataFrame:
+    """``(cluster, vertex, shingles)`` of ``(cluster, vertex, text)``: the distinct hashes as unsigned 64-bit numbers in a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, values, counts in sets_of(batch.column(2), width):
+                ends = np.concatenate([[0], np.cumsum(counts)]) * 8
+                held = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low), held.cast(pa.binary())], names=["cluster", "vertex", "shingles"])
+
+    return texts.select("cluster", "vertex", "text").mapInArrow(run, "cluster long, vertex long, shingles binary")
+
+
+def linked_rows(values: np.ndarray, counts: np.ndarray, percent: int, label: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest, as row pairs, of the links among these sets (only of those between labels, where given)."""
     n = len(counts)
-    rows = np.repeat(np.arange(n), counts)
-    _, at, code, often = np.unique(values, return_index=True, return_inverse=True, return_counts=True)
-    shared = often > 1
-    rank = np.zeros(len(at), np.int64)
-    rank[np.flatnonzero(shared)[np.argsort(rows[at[shared]], kind="stable")]] = np.arange(shared.sum())  # columns of the same texts stand together
-    held = shared[code]
-    rows, code = rows[held], rank[code[held]]
-    order = np.argsort(code, kind="stable")
-    rows, code = rows[order], code[order]
+    rows = np.repeat(np.arange(n, dtype=np.int32), counts)
     common = np.zeros((n, n), np.float32)
-    for low in range(0, int(shared.sum()), 2048):
-        a, b = np.searchsorted(code, [low, low + 2048])
-        present = np.unique(rows[a:b])
-        part = np.zeros((len(present), min(2048, int(shared.sum()) - low)), np.float32)
-        part[np.searchsorted(present, rows[a:b]), code[a:b] - low] = 1
-        common[np.ix_(present, present)] += part @ part.T
+    parts = -(-len(values) // SLICE)
+    for part in range(parts):  # a range of hashes at a time, so that long texts need no more memory
+        if parts == 1:
+            seen, of = values, rows
+        else:
+            inside = (values // U64((1 << 64) // parts + 1)) == U64(part)
+            seen, of = values[inside], rows[inside]
+        order = np.argsort(seen, kind="stable")
+        seen, of = seen[order], of[order]
+        fresh = np.flatnonzero(np.concatenate([[True], seen[1:] != seen[:-1]])) if len(seen) else np.zeros(0, np.int64)
+        often = np.diff(fresh, append=len(seen))
+        shared = np.repeat(often > 1, often)
+        if not shared.any():
+            continue
+        code, of = np.repeat(np.cumsum(often > 1) - 1, often)[shared], of[shared]
+        heads = of[np.flatnonzero(np.diff(code, prepend=-1))]
+        place = np.empty(len(heads), np.int64)
+        place[np.argsort(heads, kind="stable")] = np.arange(len(heads))  # columns of the same sets stand together
+        code = place[code]
+        order = np.argsort(code, kind="stable")
+        code, of = code[order], of[order]
+        for low in range(0, len(heads), 2048):
+            a, b = np.searchsorted(code, [low, low + 2048])
+            present, at = np.unique(of[a:b], return_inverse=True)
+            block = np.zeros((len(present), min(2048, len(heads) - low)), np.float32)
+            block[at, code[a:b] - low] = 1
+            common[np.ix_(present, present)] += block @ block.T
     sizes = counts.astype(np.float32)
     linked = (100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)) & (common > 0)
-    if side is not None:
-        linked &= side[:, None] != side[None, :]
+    if label is not None:
+        linked &= label[:, None] != label[None, :]
     forest, unseen = [], np.ones(n, bool)
     for root in range(n):
         if unseen[root]:
@@ -129,79 +181,217 @@ def block_links(column: pa.Array, width: int, percent: int, side: np.ndarray | N
     return forest
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+def block_links(column: pa.Array, width: int, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest, as row pairs, of the links among these texts."""
+    parts = [(v, c) for _, _, v, c in sets_of(column, width)]
+    return linked_rows(np.concatenate([v for v, _ in parts]), np.concatenate([c for _, c in parts]), percent)
+
+
+def held_sets(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of all rows and their counts."""
+    held = column.combine_chunks().cast(pa.large_binary())
+    offsets = np.frombuffer(held.buffers()[1], np.int64)[held.offset : held.offset + len(held) + 1]
+    return np.frombuffer(held.buffers()[2], np.uint64, (offsets[-1] - offsets[0]) // 8, offsets[0]), np.diff(offsets) // 8
+
+
+def joined(ids: np.ndarray, pairs: list[tuple[int, int]]) -> np.ndarray:
+    """The least id of each row's class; ``pairs`` is a forest."""
+    parent = list(range(len(ids)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        if a != b:
+            a, b = (a, b) if ids[a] < ids[b] else (b, a)
+            parent[b] = a
+    return ids[[root(x) for x in range(len(ids))]]
+
+
+def blocks_of(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``(*keys, blocks)`` of the groups of ``(*keys, shingles)`` that don't fit into one block."""
+    docs, words = F.count("*"), F.sum(F.expr("octet_length(shingles) div 8"))
+    wanted = F.greatest(F.ceil(docs * 2 / F.lit(BLOCK_DOCS)), F.ceil(words * 2 / F.lit(BLOCK_WORDS))).cast("long")
+    return rows.groupBy(*keys).agg(docs.alias("docs"), words.alias("words"), wanted.alias("blocks")).where((F.col("docs") > BLOCK_DOCS) | (F.col("words") > BLOCK_WORDS)).select(*keys, "blocks")
+
+
+def met_in_blocks(rows: DataFrame, large: DataFrame | None, percent: int, salt: int) -> DataFrame:
+    """``(cluster, vertex, class)`` of ``(cluster, vertex, shingles)``: exact classes within each (random) block of a cluster."""
+
+    def meet(table: pa.Table) -> pa.Table:
+        ids = table.column("vertex").to_numpy()
+        found = linked_rows(*held_sets(table.column("shingles")), percent) if len(ids) > 1 else []
+        return pa.table({"cluster": table.column("cluster"), "vertex": ids, "class": joined(ids, found)})
+
+    block = F.lit(0).cast("long")
+    if large is not None:
+        rows = rows.join(large, "cluster", "left")
+        block = F.when(F.col("blocks").isNull(), block).otherwise(F.pmod(F.xxhash64("vertex", F.lit(salt)), F.col("blocks")))
+    return rows.select("cluster", "vertex", "shingles", block.alias("block")).groupBy("cluster", "block").applyInArrow(meet, "cluster long, vertex long, class long")
+
+
+def classes_within(sets: DataFrame, keyed: DataFrame, percent: int) -> DataFrame:
+    """``(vertex, class)``: the exact classes of the sets ``(cluster, vertex, shingles)``; ``keyed`` holds their ``(vertex, key)``.
+
+    Clusters of one block are settled by it. Of the others, one set a class
+    meets those of the other classes until they fit into a block or get hardly
+    fewer; what is left are classes whose links no block held. Their members
+    that share a bucket with another class meet: all but those of the main class
+    with each other, and with those of the main class.
+    """
+    large, _ = materialize(blocks_of(sets, ["cluster"]), "blocks")
+    if large.isEmpty():
+        return met_in_blocks(sets, None, percent, 7).select("vertex", "class")
+    state, _ = materialize(met_in_blocks(sets, large, percent, 7), "classes")
+    small = state.join(large, "cluster", "left_anti").select("vertex", "class")
+    state = state.join(large, "cluster", "left_semi")
+    for salt in range(8, 40):
+        heads, _ = materialize(state.where("vertex = class").select("vertex").join(sets, "vertex"), "heads")
+        crowded, _ = materialize(blocks_of(heads, ["cluster"]), "blocks")
+        merged, _ = materialize(met_in_blocks(heads, crowded, percent, salt), "merged")
+        before, after = heads.count(), merged.select("class").distinct().count()
+        if after < before:
+            new = merged.where("vertex <> class").select(F.col("vertex").alias("class"), F.col("class").alias("root"))
+            state, _ = materialize(state.join(new, "class", "left").select("cluster", "vertex", F.coalesce("root", "class").alias("class")), "classes")
+        if crowded.isEmpty() or after > 0.8 * before:
+            break
+    known = keyed.join(state, "vertex")
+    mixed = known.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key")
+    active, _ = materialize(known.join(mixed, "key", "left_semi").select("cluster", "vertex", "class").distinct(), "active")
+    if active.isEmpty():
+        return small.union(state.select("vertex", "class"))
+    edges, _ = materialize(links_between(active.join(sets.select("vertex", "shingles"), "vertex"), percent), "links")
+    roots = connected_components(edges).withColumnsRenamed({"id": "class", "component": "root"})
+    return small.union(state.join(roots, "class", "left").select("vertex", F.coalesce("root", "class").alias("class")))
+
+
+def links_between(active: DataFrame, percent: int) -> DataFrame:
+    """``(src, dst)``: classes with a link between members, of ``(cluster, vertex, class, shingles)``."""
+    sized = active.groupBy("cluster", "class").agg(F.count("*").alias("n"))
+    main = sized.groupBy("cluster").agg(F.max_by("class", F.struct("n", "class")).alias("main"))
+    sided = active.join(main, "cluster").withColumn("side", (F.col("class") == F.col("main")).cast("int"))
+    words = F.sum(F.expr("octet_length(shingles) div 8"))
+    shares = sided.groupBy("cluster").agg(*[F.greatest(F.ceil(F.count(one) * 2 / F.lit(BLOCK_DOCS)), F.ceil(F.sum(F.when(F.col("side") == i, F.expr("octet_length(shingles) div 8"))) * 2 / F.lit(BLOCK_WORDS)), F.lit(1)).cast("long").alias(name) for i, name in ((0, "few"), (1, "many")) for one in (F.when(F.col("side") == i, 1),)])
+    shares, _ = materialize(shares, "shares")
+    placed = sided.join(shares, "cluster").withColumn("own", F.pmod(F.xxhash64("vertex", F.lit(5)), F.when(F.col("side") == 1, F.col("many")).otherwise(F.col("few"))))
+    pair = lambda a, b, kind: F.struct(a.alias("a"), b.alias("b"), F.lit(kind).alias("kind"))
+    upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    own = F.col("own")
+    others = F.concat(F.transform(upto("few"), lambda k: pair(F.least(k, own), F.greatest(k, own), 0)), F.transform(upto("many"), lambda k: pair(own, k, 1)))
+    meets = F.when(F.col("side") == 1, F.transform(upto("few"), lambda k: pair(k, own, 1))).otherwise(others)
+    dealt = placed.select("cluster", "vertex", "class", "shingles", F.explode(meets).alias("p")).select("cluster", "vertex", "class", "shingles", "p.*")
+
+    def meet(table: pa.Table) -> pa.Table:
+        label = table.column("class").to_numpy()
+        found = linked_rows(*held_sets(table.column("shingles")), percent, label) if len(label) > 1 else []
+        pairs = np.unique(np.sort(label[np.asarray(found, np.int64).reshape(-1, 2)], axis=1), axis=0)
+        return pa.table({"src": pairs[:, 0], "dst": pairs[:, 1]})
+
+    return dealt.groupBy("cluster", "kind", "a", "b").applyInArrow(meet, "src long, dst long")
+
+
+@dataclass(frozen=True)
+class Classified:
+    #: (doc_id, n_shingles, set_key) a row of the documents; set_key is null for an empty set.
+    marks: DataFrame
+    #: (set_key, vertex, least, root): a distinct set, its number, its least id, and the number that names its class.
+    sets: DataFrame
+    #: Whether some id is null or repeated.
+    odd: bool
+
+
+def classified(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, rows: int | None, bands: int | None) -> Classified:
+    small_batches(docs.sparkSession)
+    if rows is None or bands is None:
+        rows, bands = bands_for(percent)
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    marks, _ = materialize(signatures(base, width, rows, bands), "signatures")
+    repeated, _ = materialize(marks.groupBy("doc_id").count().where("count > 1 or doc_id is null").select("doc_id"), "repeated")
+    odd = not repeated.isEmpty()
+    own = marks.withColumn("own", F.col("doc_id"))
+    if odd:
+        again = repeated.select(F.col("doc_id").alias("again"), F.lit(True).alias("many"))
+        own = marks.join(again, F.col("doc_id").eqNullSafe(F.col("again")), "left").withColumn("own", F.when(F.col("many").isNull(), F.col("doc_id")))
+    # a set is numbered by the least id that is one row's alone; without one, by a hash
+    sets = own.where("set_key is not null").groupBy("set_key").agg(F.min("own").alias("rep"), F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
+    sets, _ = materialize(sets.withColumn("vertex", F.coalesce("rep", F.xxhash64("set_key"))), "sets")
+    keyed = sets.select("vertex", F.explode("bands").alias("key"))
+    heads = keyed.groupBy("key").agg(F.min("vertex").alias("head"), F.max("vertex").alias("tail")).where("head < tail").select("key", "head")
+    stars = keyed.join(heads, "key").where("vertex <> head").select(F.col("vertex").alias("src"), F.col("head").alias("dst"))
+    clusters, _ = materialize(connected_components(stars).withColumnsRenamed({"id": "vertex", "component": "cluster"}), "clusters")
+    marks, plain = marks.drop("bands"), sets.select("set_key", "vertex", "least")
+    if clusters.isEmpty():
+        return Classified(marks, plain.withColumn("root", F.col("vertex")), odd)
+    members = clusters.join(sets.select("vertex", "set_key", "rep"), "vertex")
+    if odd:
+        members, _ = materialize(members, "members")
+    texts = base.join(members.where("rep is not null").select(F.col("rep").alias("doc_id"), "cluster", "vertex"), "doc_id").select("cluster", "vertex", "text")
+    if odd:
+        keys = with_keys(base, width).join(members.where("rep is null").select("set_key", "cluster", "vertex"), "set_key")
+        texts = texts.union(keys.groupBy("cluster", "vertex").agg(F.min("text").alias("text")))
+    held, _ = materialize(shingled(texts, width), "shingles")
+    classes, _ = materialize(classes_within(held, keyed, percent), "classes")
+    return Classified(marks, plain.join(classes, "vertex", "left").select("set_key", "vertex", "least", F.coalesce("class", "vertex").alias("root")), odd)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, rows: int | None = None, bands: int | None = None) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` of every row of ``docs``.
 
     Words are runs without ASCII white space, A-Z lower-cased. A text of fewer
     than ``width`` words has its whole sequence as its one shingle; a null or
     empty text has no shingles and is alone in its class. Two rows are linked
     when 100 * |A and B| >= percent * |A or B|; ``component_id`` is the least
-    id reachable over links, ``kept`` tells whether it is the row's own. Equal
-    sets are one vertex, so any number of copies costs one row. Of rows that
-    repeat an id with different texts, the one with the least set key is
-    compared and all get its class; rows with a null id are returned with a
-    null component and kept. Other columns are ignored; no rows give no
-    rows. Shingles are compared by 64-bit hashes.
+    id reachable over links (null if all are), ``kept`` tells whether it is the
+    row's own. Equal sets are one vertex, so any number of copies costs one row.
+    Rows that repeat an id, or have none, are compared each by its own text. Other
+    columns are ignored; no rows give no rows. Shingles are compared by 64-bit
+    hashes. ``rows`` and ``bands`` follow from ``percent``.
     """
-    small_batches(docs.sparkSession)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    marks, _ = materialize(signatures(base, width, rows, bands), "signatures")
-    repeated, _ = materialize(marks.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    if not repeated.isEmpty():
-        least = marks.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("set_key").alias("least"))
-        marks = marks.join(least, "doc_id", "left").withColumn("bands", F.when(F.col("least").isNull() | (F.col("least") == F.col("set_key")), F.col("bands"))).withColumn("set_key", F.coalesce("least", "set_key")).drop("least")
-    reps, _ = materialize(marks.where("bands is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n")), "representatives")
-    firsts = marks.where("bands is not null").join(reps, (marks.set_key == reps.set_key) & (marks.doc_id == reps.rep), "left_semi")
-    keyed = firsts.select("doc_id", F.explode("bands").alias("key"))
-    heads = keyed.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail")).where("head < tail").select("key", "head")
-    stars = keyed.join(heads, "key").where("doc_id <> head").select(F.col("doc_id").alias("src"), F.col("head").alias("dst"))
-    clusters, _ = materialize(connected_components(stars).withColumnsRenamed({"id": "doc_id", "component": "cluster"}), "clusters")
-    links = confirmed(base, clusters, reps, width, percent)
-    linked = connected_components(links).withColumnsRenamed({"id": "rep", "component": "root"})
-    classes = reps.join(linked, "rep", "left").select("set_key", F.coalesce("root", "rep").alias("root"))
-    own = marks.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(classes, "set_key", "left")
-    component = F.coalesce("root", "doc_id")
-    return own.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
-
-
-def confirmed(base: DataFrame, clusters: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
-    """``(src, dst)``: a spanning forest of the exact links within each cluster.
-
-    A cluster of up to BLOCK_DOCS documents and BLOCK_WORDS words is one block.
-    A larger one is dealt by size class (sizes a factor percent / 100 apart:
-    linked documents are in the same or in neighbouring classes) and, within a
-    class, by hash, into blocks of about that size; all pairs of blocks of the
-    same or neighbouring classes meet, each pair in a task of its own.
+    found = classified(docs, id_col, text_col, width, percent, rows, bands)
+    if found.odd:
+        sets, _ = materialize(found.sets, "classes")
+        component = sets.join(sets.groupBy("root").agg(F.min("least").alias("component")), "root").select("set_key", "component")
+    else:
+        component = found.sets.select("set_key", F.col("root").alias("component"))
+    own = found.marks.join(component.withColumn("in_class", F.lit(True)), "set_key", "left")
+    component = F.when(F.col("in_class"), F.col("component")).otherwise(F.col("doc_id"))
+    return own.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each near-duplicate class: of least id (null ids last), then of least set key, then the least row.
+
+    Rows without words are linked with nothing and all stay. Links are those of
+    ``near_duplicates``: rows that repeat an id, or have none, are compared each
+    by its own text, so none goes but for a row of its class that stays. All
+    columns must be orderable where ids repeat. No rows give no rows.
     """
-    member = clusters.join(reps.select(F.col("rep").alias("doc_id"), "n", "set_key"), "doc_id")
-    step = 1.001 * float(np.log(100 / percent)) if percent < 100 else 1.0  # a little more, for rounding
-    member = member.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("long"))
-    large = member.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("words")).where((F.col("docs") > BLOCK_DOCS) | (F.col("words") > BLOCK_WORDS)).select("cluster")
-    shares = member.join(large, "cluster", "left_semi").groupBy("cluster", "class").agg(F.greatest(F.ceil(F.count("*") * 2 / F.lit(BLOCK_DOCS)), F.ceil(F.sum("n") * 2 / F.lit(BLOCK_WORDS))).cast("long").alias("blocks"))
-    shares, _ = materialize(shares, "blocks")
-    near = lambda by, name: shares.select("cluster", (F.col("class") + by).alias("class"), F.col("blocks").alias(name))
-    shares = shares.join(near(-1, "next"), ["cluster", "class"], "left").join(near(1, "prev"), ["cluster", "class"], "left")
-    member = member.join(shares, ["cluster", "class"], "left")
-    own = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("blocks"))
-    pair = lambda c1, b1, c2, b2, s: F.struct(c1.alias("c1"), b1.alias("b1"), c2.alias("c2"), b2.alias("b2"), s.alias("side"))
-    c, b, none = F.col("class"), F.col("block"), F.lit(-1).cast("long")
-    within = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: pair(c, F.least(k, b), c, F.greatest(k, b), F.when(k == b, 0).when(b < k, 1).otherwise(2)))
-    above = F.when(F.col("next").isNotNull(), F.transform(F.sequence(F.lit(0).cast("long"), F.col("next") - 1), lambda k: pair(c, b, c + 1, k, F.lit(1))))
-    below = F.when(F.col("prev").isNotNull(), F.transform(F.sequence(F.lit(0).cast("long"), F.col("prev") - 1), lambda k: pair(c - 1, k, c, b, F.lit(2))))
-    empty = F.array().cast("array<struct<c1:bigint,b1:bigint,c2:bigint,b2:bigint,side:int>>")
-    meets = F.when(F.col("blocks").isNull(), F.array(pair(none, none, none, none, F.lit(0)))).otherwise(F.concat(within, F.coalesce(above, empty), F.coalesce(below, empty)))
-    placed = member.withColumn("block", own).select("doc_id", "cluster", "set_key", F.explode(meets).alias("p")).select("doc_id", "cluster", "set_key", "p.*")
-    texts = base.join(placed, "doc_id").select("cluster", "c1", "b1", "c2", "b2", "side", "doc_id", "set_key", "text")
+    found = classified(docs, id_col, text_col, width, percent, None, None)
+    if not found.odd:
+        name = _fresh(docs, "kept")
+        chosen = found.marks.join(found.sets.select("set_key", "root"), "set_key", "left").where("root is null or root = doc_id").select(F.col("doc_id").alias(name))
+        return docs.join(chosen, F.col(id_col).cast("long") == F.col(name), "left_semi")
+    last = (1 << 63) - 1
+    order = F.struct(F.coalesce("least", F.lit(last)).alias("place"), "set_key")
+    chosen, _ = materialize(found.sets.groupBy("root").agg(F.min(order).alias("o")).select("o.place", "o.set_key"), "chosen")
+    wordless = F.coalesce(F.col(text_col).cast("string"), F.lit("")).rlike(r"^[\x20\x09-\x0D]*$")
+    held = docs.where(~wordless).select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("place"), F.col(text_col).cast("string").alias("text"))
 
-    def meet(table: pa.Table) -> pa.Table:
-        ids = table.column("doc_id").to_numpy()
-        if len(np.unique(ids)) < len(ids):  # an id's other texts, and repeated rows
-            keys = [k for _, _, values, counts in sets_of(table.column("text"), width) for k in set_keys(values, counts)]
-            same = np.flatnonzero([a == b for a, b in zip(keys, table.column("set_key").to_pylist())])
-            table = table.take(pa.array(same[np.unique(ids[same], return_index=True)[1]]))
-        ids, side = table.column("doc_id").to_numpy(), table.column("side").to_numpy()
-        found = block_links(table.column("text"), width, percent, side if side.any() else None) if len(ids) > 1 else []
-        pairs = np.asarray(found, np.int64).reshape(-1, 2)
-        return pa.table({"src": ids[pairs[:, 0]], "dst": ids[pairs[:, 1]]})
-
-    return texts.groupBy("cluster", "c1", "b1", "c2", "b2").applyInArrow(meet, "src long, dst long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, values, counts in sets_of(batch.column(2), width):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low), pa.array(set_keys(values, counts), pa.binary())], names=["row", "place", "set_key"])
+
+    keyed = held.mapInArrow(run, T.StructType([held.schema["row"], T.StructField("place", T.LongType()), T.StructField("set_key", T.BinaryType())]))
+    return keyed.join(chosen, ["place", "set_key"], "left_semi").groupBy("place", "set_key").agg(F.min("row").alias("row")).select("row.*").union(docs.where(wordless))
+
+
+def _fresh(docs: DataFrame, name: str) -> str:
+    """``name``, longer until no column of ``docs`` has it."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name

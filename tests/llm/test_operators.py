@@ -227,9 +227,20 @@ def test_near_duplicates_edges(spark, odd, empty):
     assert got[1, 0] == (1, True) and got[2, 0] == (2, True) and got[3, 1] == (3, True)
     assert got[5, 15] == (0, False) and got[None, 3] == (None, True)
     assert near_dedup.near_duplicates(empty).count() == 0
-    twice = spark.createDataFrame([(1, "a b c d"), (1, "x y z w"), (2, "x y z w"), (3, "a b c d")], "doc_id long, text string")
-    rows = near_dedup.near_duplicates(twice, width=3, percent=85).collect()
-    assert len(rows) == 4 and len({r.component_id for r in rows if r.doc_id == 1}) == 1
+    twice = spark.createDataFrame([(1, "a b c d"), (1, "x y z w"), (2, "x y z w"), (3, "a b c d"), (None, "x y z w"), (None, "p q r s"), (None, None), (4, "P  Q r s")], "doc_id long, text string")
+    rows = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(twice, width=3, percent=85).collect()}
+    assert rows == {(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (None, 2, 1, False), (None, 2, 4, False), (None, 0, None, True), (4, 2, 4, True)}
+
+
+def test_deduplicate(spark, odd, empty):
+    rows = [(1, "a b c d"), (1, "x y z w"), (1, "x  y z w"), (1, "x y z w"), (2, "x y z w"), (3, "a b c d"), (None, "x y z w"), (None, "p q r s"), (None, "p q r s"), (None, None), (5, " "), (5, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("row", "place", "set_key", "kept")})
+    got = near_dedup.deduplicate(df, width=3, percent=85)
+    assert got.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([(1, "a b c d"), (1, "x  y z w"), (None, "p q r s"), (None, None), (5, " "), (5, " ")], key=repr)
+    once = df.where("doc_id > 1 and text <> ' '").union(df.limit(1))
+    assert sorted((r.doc_id, r.text) for r in near_dedup.deduplicate(once, width=3, percent=85).collect()) == [(1, "a b c d"), (2, "x y z w")]
+    assert near_dedup.deduplicate(empty).count() == 0 and near_dedup.deduplicate(odd).columns == odd.columns
 
 
 def test_near_duplicates_in_blocks(spark, monkeypatch):
@@ -255,8 +266,17 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
                 a, b = sorted((find(i), find(j)))
                 parent[b] = a
     monkeypatch.setattr(near_dedup, "BLOCK_DOCS", 12)
+    monkeypatch.setattr(near_dedup, "SLICE", 500)
     got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), width=3, percent=85).collect()}
-    assert got == {i: find(i) for i in range(90)}
+    assert got == {i: find(i) for i in range(90)} and len(set(got.values())) > 2
+
+
+def test_links_between_classes_that_no_block_held(spark, monkeypatch):
+    """Chains: only neighbours are linked, so classes of random blocks stay apart until the members that share a bucket meet."""
+    docs = [(100 * c + i, " ".join(f"c{c}w{j}" for j in range(7 * i, 7 * i + 100))) for c in range(2) for i in range(40)]
+    monkeypatch.setattr(near_dedup, "BLOCK_DOCS", 8)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), width=3, percent=86).collect()}
+    assert got == {d: d // 100 * 100 for d, _ in docs}
 
 
 def test_language_held_out(spark, sf, odd, empty):

@@ -125,6 +125,20 @@ def test_bands_estimate_jaccard():
     assert abs((keys[0] == keys[1]).mean() - 1 / 3) < 0.08
 
 
+@pytest.mark.parametrize("percent", [60, 80, 85])
+def test_pairs_at_the_threshold_share_a_bucket(percent):
+    draw, size = np.random.default_rng(percent), 300
+    rows, bands = near_dedup.bands_for(percent)
+    common, own = size * percent // 100, size - size * percent // 100  # |A and B| of |A or B| = size
+    missed = 0
+    for _ in range(10):
+        pool = draw.integers(0, 1 << 62, (50, size), dtype=np.uint64)
+        a, b = np.sort(pool[:, : common + own // 2], axis=1), np.sort(np.concatenate([pool[:, :common], pool[:, common + own // 2 :]], axis=1), axis=1)
+        keys = [near_dedup.min_max_bands(x.ravel(), np.full(50, x.shape[1]), rows, bands) for x in (a, b)]
+        missed += int((~(keys[0] == keys[1]).any(1)).sum())
+    assert missed == 0
+
+
 def test_codewords_differ():
     for n in (1, 2, 3, 4, 7, 20):
         code = langid.codewords(n)
