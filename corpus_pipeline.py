@@ -20,10 +20,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (five-word shingles, similarity 0.8): that of the least id."""
-    kept = near_dedup.near_duplicates(docs, width=5, percent=80, rows=5, bands=36).where("kept and doc_id is not null").select("doc_id")
-    named = docs.select(*COLUMNS).where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.union(docs.select(*COLUMNS).where("doc_id is null"))
+    """One row of each near-duplicate group (five-word shingles, similarity 0.8): that of the least id.
+
+    Rows without words all stay. Rows that repeat an id, or have none, are compared
+    each by its own text. No rows give no rows.
+    """
+    return near_dedup.deduplicate(docs.select(*COLUMNS), width=5, percent=80)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
