@@ -85,29 +85,32 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 8, least_i
     a null id is a document like others; items that repeat an id count once;
     an empty benchmark hits nothing; other columns are ignored.
     """
-    row = F.struct(*[F.col(c) for c in carry or []]) if carry else F.lit(None)
-    base = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), row.alias("row"))
+    row = F.struct(*[F.col(c) for c in carry]) if carry else F.struct(F.col("text"))
+    row = row if not carry or "text" in carry else F.struct(*[F.col(c) for c in carry], F.col("text"))
+    base = docs.select(F.col("doc_id"), row.alias("row"))
     items, _ = materialize(_items(benchmark, width), "items")
     n_positions = items.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     terms = items.select(F.explode("words").alias("term")).distinct()
-    index = build_index(base.drop("row"), terms, n_positions)
-    found = candidates(index, items, n_positions)
+    index = build_index(docs.select("doc_id", "text"), terms, n_positions)
+    found = candidates(index, items, n_positions).groupBy("doc_id", "item").agg(F.collect_list("shift").alias("shifts"))
     n_items = items.count()
-    listed = found.join(bounded(items.select("item", "item_id", "words", "span"), n_items if n_positions <= 20 * BROADCAST_ROWS else n_positions), "item").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "words", "span", "shift")).alias("found"))
-    listed = listed.withColumnRenamed("doc_id", "found_id").hint("shuffle_hash")
-    joined = base.join(listed, base.doc_id.eqNullSafe(F.col("found_id")), "left").select("doc_id", "row", F.array(cased_words(F.col("text"))).alias("bound"), "found")
+    # an item's words go once to a document, however often it repeats the item
+    listed = found.join(bounded(items.select("item", "item_id", "words", "span"), n_items if n_positions <= 20 * BROADCAST_ROWS else n_positions), "item").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "words", "span", "shifts")).alias("found"))
+    listed = listed.withColumnRenamed("doc_id", "found_id")
+    joined = base.join(listed, base.doc_id.eqNullSafe(F.col("found_id")), "left").select("doc_id", "row", F.array(cased_words(F.col("row.text"))).alias("bound"), "found")
 
     def occurrences(words: Column, c: Column) -> Column:
-        same = F.transform(c["words"], lambda w, j: F.coalesce(lowered(F.get(words, c["shift"] + j)) == w, F.lit(False)))
-        starts = F.transform(F.array(same), lambda m: F.filter(F.sequence(F.lit(0), F.size(m) - c["span"]), lambda s: ~F.exists(F.slice(m, s + 1, c["span"]), lambda x: ~x)))[0]
-        return F.struct(c["item_id"].alias("item_id"), (F.size(c["words"]) >= width).alias("wide"), F.flatten(F.transform(starts, lambda s: F.sequence(c["shift"] + s, c["shift"] + s + c["span"] - 1))).alias("at"))
+        same = lambda shift: F.transform(c["words"], lambda w, j: F.coalesce(lowered(F.get(words, shift + j)) == w, F.lit(False)))
+        starts = lambda m: F.filter(F.sequence(F.lit(0), F.size(m) - c["span"]), lambda s: ~F.exists(F.slice(m, s + 1, c["span"]), lambda x: ~x))
+        places = lambda shift: F.flatten(F.transform(F.transform(F.array(same(shift)), starts)[0], lambda s: F.sequence(shift + s, shift + s + c["span"] - 1)))
+        return F.struct(c["item_id"].alias("item_id"), (F.size(c["words"]) >= width).alias("wide"), F.array_distinct(F.flatten(F.transform(c["shifts"], places))).alias("at"))
 
     # the words are bound to a lambda variable, so that they are split once
     checked = F.transform("bound", lambda words: F.struct(F.size(words).cast("long").alias("n_words"), F.when(F.col("found").isNotNull(), F.filter(F.transform("found", lambda c: occurrences(words, c)), lambda o: F.size(o["at"]) > 0)).alias("hits")))[0]
     out = joined.select("doc_id", "row", checked.alias("c")).select("doc_id", "row", "c.n_words", F.coalesce("c.hits", F.expr("cast(array() as array<struct<item_id:string,wide:boolean,at:array<int>>>)")).alias("hits"))
     out = out.withColumn("items", F.array_sort(F.array_distinct(F.transform("hits", lambda h: F.coalesce(h["item_id"], F.lit(""))))))
     wide = F.size(F.array_distinct(F.transform(F.filter("hits", lambda h: h["wide"]), lambda h: h["item_id"])))
-    return out.select("doc_id", "n_words", F.size(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["at"])))).cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", (F.size("items") >= least_items).alias("contaminated"), wide.cast("long").alias("wide_items"), *(["row"] if carry else []))
+    return out.select("doc_id", "n_words", F.size(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["at"])))).cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", (F.size("items") >= least_items).alias("contaminated"), wide.cast("long").alias("wide_items"), *([F.struct(*[F.col(f"row.{c}") for c in carry]).alias("row")] if carry else []))
 
 
 def proximity(index: DataFrame, phrases: DataFrame, slop: int) -> DataFrame:
