@@ -12,19 +12,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import ragged
-from .storage import small_batches
+from .storage import small_batches, unused
 
 FEATURES = 4096
 #: Rows of a feature matrix at most: 8 MB of counts.
 ROWS = 256
 #: Training rows at most, a language; all their text is used.
 SAMPLE = 800
+#: Training rows at most, of all languages: a matrix of 260 MB on the driver.
+MOST_ROWS = 16_000
 UNDETERMINED = "und"
 
 
@@ -91,32 +91,37 @@ class LanguageModel:
         return top, belief.max(1), two[:, -1] - two[:, -2] < self.lead
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, steps: int = 150, seed: int = 3) -> LanguageModel:
-    """A model from ``(text, lang)``: up to ``sample`` rows of each language, chosen by hash of the text.
+def fit(labelled: DataFrame, sample: int = SAMPLE, most_rows: int = MOST_ROWS, steps: int = 150, seed: int = 3) -> LanguageModel:
+    """A model from ``(text, lang)``: up to ``sample`` different texts of each language, the first by hash.
 
-    Rows with a null or blank text or a null lang teach nothing.
+    With many languages each gets as many fewer as keep the rows below
+    ``most_rows``. Rows with a null text, one without a letter or a null lang
+    teach nothing; copies of a text count once (of one that several languages
+    claim, the least does); ties of the hash fall to the lesser text. Without
+    rows to learn from, the model knows no language. Languages are counted on
+    the driver; only the sample comes to it.
     """
-    known = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("text", "lang")
-    sizes = {r[0]: r[1] for r in labelled.where("lang is not null").groupBy("lang").count().collect()}
+    known = labelled.where(F.col("lang").isNotNull() & F.col("text").cast("string").rlike(r"\p{L}")).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    hashed = known.withColumn("place", F.xxhash64("text", F.lit(seed)))
+    sizes = {r[0]: r[1] for r in hashed.groupBy("lang").agg(F.approx_count_distinct("place", 0.02)).collect()}
     if not sizes:
         return LanguageModel([], np.zeros((0, 0), np.float32), np.zeros((FEATURES, 0), np.float32), np.zeros(0, np.float32))
-    share = F.lit(1.0)
-    for lang, n in sizes.items():  # twice as many as needed, then the first by hash
-        share = F.when(F.col("lang") == lang, min(1.0, 1.5 * sample / n)).otherwise(share)
-    drawn = known.where(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 20)) < share * (1 << 20))
-    rows = drawn.toArrow()
+    languages = sorted(sizes)
+    sample = max(1, min(sample, most_rows // len(languages)))
+    # half as many again as needed, as hashes below a bound; then the first of these
+    bounds = {v: min((1 << 63) - 1, -(1 << 63) + int(min(1.0, (1.5 * sample + 40) / n) * (1 << 64))) for v, n in sizes.items()}
+    table = F.create_map(*[F.lit(x) for pair in sorted(bounds.items()) for x in pair])
+    drawn = hashed.where(F.col("place") <= F.element_at(table, F.col("lang"))).groupBy("place", "text").agg(F.min("lang").alias("lang"))
+    first = Window.partitionBy("lang").orderBy("place", "text")
+    rows = drawn.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= sample).select("place", "text", "lang").toArrow().sort_by([("place", "ascending"), ("text", "ascending")])
     lang = rows.column("lang").to_numpy(zero_copy_only=False)
-    order = np.random.default_rng(seed).permutation(len(lang))
-    order = order[np.argsort(np.asarray([hash_of(t) for t in rows.column("text").to_pylist()], np.uint64)[order], kind="stable")]
-    kept = np.sort(np.concatenate([order[lang[order] == x][:sample] for x in sorted(set(lang))]))
     languages = sorted(set(lang.tolist()))
-    texts = rows.column("text").take(pa.array(kept)).combine_chunks()
-    x = np.concatenate([f for _, _, f in features(texts)])
+    x = np.concatenate([f for _, _, f in features(rows.column("text").combine_chunks())])
     code = codewords(len(languages))
-    y = code[[languages.index(v) for v in lang[kept]]]
-    weight = np.zeros(len(kept), np.float32)
+    y = code[[languages.index(v) for v in lang]]
+    weight = np.zeros(len(lang), np.float32)
     for v in languages:
-        weight[lang[kept] == v] = 1 / (lang[kept] == v).sum()
+        weight[lang == v] = 1 / (lang == v).sum()
     weight = (weight / weight.sum())[:, None]
     w, b, dw, db = np.zeros((FEATURES, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32), 0, 0
     for _ in range(steps):  # gradient descent with momentum on the logistic loss
@@ -126,32 +131,32 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, steps: int = 150, seed: int =
     return LanguageModel(languages, code, w, b)
 
 
-def hash_of(text: str) -> int:
-    return xxhash.xxh64_intdigest(text.encode())
-
-
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` (0 to 1) and ``ambiguous``.
 
     A null text, or one without a letter, is ``und`` with score 0 and not
-    ambiguous, and so is all when the model knows no language. Whole texts are
-    read. The text column alone is; columns of the three names are replaced.
+    ambiguous, and so is all when the model knows no language. Of codewords at
+    the same distance the first language by name is chosen, and the text is
+    ambiguous. Whole texts are read; only they go to Python. Repeated rows each
+    give the same; no rows give no rows; columns of the three names are replaced,
+    all others kept whatever their names.
     """
     small_batches(docs.sparkSession)
-    own = docs.drop(*[c for c in docs.columns if c in ("lang_pred", "score", "ambiguous")])
-    lettered = F.coalesce(F.col(text_col).cast("string").rlike(r"\p{L}"), F.lit(False))
-    at, out_names = own.columns.index(text_col), [*own.columns, "lang_pred", "score", "ambiguous"]
+    own = docs.drop(*[c for c in docs.columns if c.lower() in ("lang_pred", "score", "ambiguous")])
+    text = F.col(text_col).cast("string")
+    out = "struct<lang_pred:string,score:double,ambiguous:boolean>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(out)
+    def judge(texts: pa.Array, known: pa.Array) -> pa.Array:
         names = np.asarray([*model.languages, UNDETERMINED], object)
-        for batch in batches:
-            known = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False) & bool(model.languages)
-            which, score, narrow = np.full(batch.num_rows, len(model.languages)), np.zeros(batch.num_rows), np.zeros(batch.num_rows, bool)
-            for low, high, x in features(batch.column(at).cast(pa.large_string())) if known.any() else ():
-                top, belief, close = model.decide(x)
-                here = known[low:high]
-                which[low:high][here], score[low:high][here], narrow[low:high][here] = top[here], belief[here], close[here]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names[which], pa.string()), pa.array(score), pa.array(narrow)], names=out_names)
-
-    schema = T.StructType([*own.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
-    return own.withColumn("_lettered", lettered).mapInArrow(run, schema)
+        n, known = len(texts), known.to_numpy(zero_copy_only=False) & bool(model.languages)
+        which, score, narrow = np.full(n, len(model.languages)), np.zeros(n), np.zeros(n, bool)
+        for low, high, x in features(texts) if known.any() else ():
+            top, belief, close = model.decide(x)
+            here = known[low:high]
+            which[low:high][here], score[low:high][here], narrow[low:high][here] = top[here], belief[here], close[here]
+        return pa.StructArray.from_arrays([pa.array(names[which], pa.string()), pa.array(score), pa.array(narrow)], names=["lang_pred", "score", "ambiguous"])
+
+    name = unused(own, "judged")
+    found = own.select("*", judge(text, F.coalesce(text.rlike(r"\p{L}"), F.lit(False))).alias(name))
+    return found.select("*", f"{name}.*").drop(name)

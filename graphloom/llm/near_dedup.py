@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from . import ragged
 from .components import connected_components
 from .ragged import U64
-from .storage import materialize, small_batches
+from .storage import materialize, small_batches, unused
 
 #: Signature entries at most, and the chance to miss a pair at the threshold, for which bands are chosen.
 ENTRIES, MISS = 192, 1e-6
@@ -372,7 +372,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     found = classified(docs, id_col, text_col, width, percent, None, None)
     if not found.odd:
-        name = _fresh(docs, "kept")
+        name = unused(docs, "kept")
         chosen = found.marks.join(found.sets.select("set_key", "root"), "set_key", "left").where("root is null or root = doc_id").select(F.col("doc_id").alias(name))
         return docs.join(chosen, F.col(id_col).cast("long") == F.col(name), "left_semi")
     last = (1 << 63) - 1
@@ -389,9 +389,3 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = held.mapInArrow(run, T.StructType([held.schema["row"], T.StructField("place", T.LongType()), T.StructField("set_key", T.BinaryType())]))
     return keyed.join(chosen, ["place", "set_key"], "left_semi").groupBy("place", "set_key").agg(F.min("row").alias("row")).select("row.*").union(docs.where(wordless))
 
-
-def _fresh(docs: DataFrame, name: str) -> str:
-    """``name``, longer until no column of ``docs`` has it."""
-    while name.lower() in {c.lower() for c in docs.columns}:
-        name += "_"
-    return name

@@ -291,10 +291,53 @@ def test_language_held_out(spark, sf, odd, empty):
     assert langid.identify(empty, model).count() == 0
     nothing = langid.fit(odd.where("false"))
     assert {r.lang_pred for r in langid.identify(odd, nothing).collect()} == {"und"}
+    assert langid.fit(odd.where("doc_id in (1, 2, 7)").select("text", "lang")).languages == []  # labelled, but without a letter
+    clashing = odd.withColumns({c: F.lit("x") for c in ("_lettered", "judged", "Score", "known")})
+    kept = langid.identify(clashing, model)
+    assert kept.columns == [*odd.columns, "_lettered", "judged", "known", "lang_pred", "score", "ambiguous"] and kept.where("_lettered = 'x' and judged = 'x'").count() == len(TEXTS)
+    assert {(r.doc_id, r.lang_pred) for r in kept.collect()} == {(r.doc_id, r.lang_pred) for r in got.collect()}
     one = langid.fit(odd.select("text", "lang"))
     assert {r.lang_pred for r in langid.identify(odd, one).collect()} == {"en", "und"}
 
 
+def test_language_sample_is_bounded_by_different_texts(spark):
+    """A hot copy teaches once, a language of few texts is learned, and the sample has its bound."""
+    rows = [("the cat sat on the mat and the dog", "en")] * 3000 + [(f"the house number {i} of the street and the town", "en") for i in range(900)] + [(f"das haus nummer {i} der strasse und der stadt", "de") for i in range(3)]
+    drawn = langid.fit(spark.createDataFrame(rows, "text string, lang string"), sample=100)
+    assert drawn.languages == ["de", "en"]
+    got = langid.identify(spark.createDataFrame([("das haus der stadt",), ("the house of the town",)], "text string"), drawn)
+    assert [r.lang_pred for r in got.collect()] == ["de", "en"]
+
+
+def brute_language(model, text):
+    """Language and belief by loops over bytes, bits and codewords."""
+    data = bytes(c + 32 if 0x41 <= c <= 0x5A else 0x30 if 0x30 <= c <= 0x39 else c for c in text.encode())
+    counts = np.zeros(langid.FEATURES)
+    for width in (1, 2, 3):
+        for i in range(len(data) - width + 1):
+            code = 0
+            for c in data[i : i + width]:
+                code = (code * 257 + c + 1) % (1 << 32)
+            counts[(code * 2654435761 % (1 << 32)) >> 20] += 1
+    x = np.sqrt(counts) / np.linalg.norm(np.sqrt(counts))
+    losses = []
+    for word in model.code:
+        losses.append(sum(np.log1p(np.exp(-bit * (x @ model.weights[:, k] + model.bias[k]))) for k, bit in enumerate(word)))
+    belief = np.exp(min(losses) - np.asarray(losses))
+    return model.languages[int(np.argmin(losses))], float((belief / belief.sum()).max())
+
+
+def test_language_decoding_equals_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(docs)
+    long = "Der schnelle braune Fuchs 42 " * 3000
+    some = [(r.doc_id, r.text) for r in docs.where("length(text) between 1 and 400").orderBy("doc_id").limit(25).collect()] + [(-1, long), (-2, "Ünïcode ABC 123 日本")]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(spark.createDataFrame(some, "doc_id long, text string"), model).collect()}
+    for doc_id, text in some:
+        want = brute_language(model, text)
+        assert got[doc_id][0] == want[0] and got[doc_id][1] == pytest.approx(want[1], abs=1e-3)
+
+
 def test_quality_against_labels(spark, odd, empty):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
