@@ -13,7 +13,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised: not those without a letter or between two codewords."""
+    """Documents whose language is recognised: not those without a letter (null and empty texts) or between two codewords.
+
+    Repeated rows share a fate. Without labelled rows no language is known and all go; no rows give no rows.
+    """
     model = langid.fit(docs.select("text", "lang"))
     judged = langid.identify(docs.select(*COLUMNS), model)
     return judged.where((F.col("lang_pred") != langid.UNDETERMINED) & ~F.col("ambiguous")).select(*COLUMNS)
@@ -29,18 +32,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage: no 8-word window of an item, and less than two short items."""
+    """Documents without a benchmark passage: no 8-word window of an item, and less than two short items.
+
+    Texts without words stay, repeated rows share a fate; no rows give no rows.
+    """
     found = decontamination.decontaminate(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=COLUMNS)
     return found.where("wide_items = 0 and not contaminated").select("row.*")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets masked."""
+    """All documents, with secrets masked; null texts stay null, repeated rows repeat; no rows give no rows."""
     return secrets.redact(docs.select(*COLUMNS))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents and their places in sequences of 1024 tokens."""
+    """The pieces of the documents and their places in sequences of 1024 tokens; a null text is one end id, repeated rows are packed each."""
     return packing.pack(packing.pieces_of(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
 
