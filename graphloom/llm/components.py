@@ -22,7 +22,7 @@ def _small(edges: DataFrame) -> DataFrame:
     return met.union(least.select(F.col("lu").alias("u"), F.col("m").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, rows: int | None = None) -> DataFrame:
     """``(id, component)`` for every end of an edge; component = its smallest member.
 
     ``src`` and ``dst`` may be of any ordered type. Edges with a null end and
@@ -30,16 +30,17 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     edges count once; no edges give no rows. Each round is written to shared
     storage, so a lost executor costs at most one round, and nothing but two
     counts comes to the driver. A hub is only ever aggregated (with partial
-    minima) or joined (which adaptive execution can split).
+    minima) or joined (which adaptive execution can split). ``rows`` is about
+    how many edges there are, if known.
     """
     start = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a <> b")
     spark = edges.sparkSession
-    now, path = materialize(start.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    now, path = materialize(start.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", rows)
     state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     for _ in range(max_rounds):
         if not state[0]:
             break
-        new, new_path = materialize(_small(_large(now)), "edges")
+        new, new_path = materialize(_small(_large(now)), "edges", 2 * state[0])
         after = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         drop(spark, path)
         now, path = new, new_path

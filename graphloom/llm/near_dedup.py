@@ -243,29 +243,30 @@ def classes_within(sets: DataFrame, keyed: DataFrame, percent: int) -> DataFrame
     that share a bucket with another class meet: all but those of the main class
     with each other, and with those of the main class.
     """
-    large, _ = materialize(blocks_of(sets, ["cluster"]), "blocks")
+    n = sets.count()
+    large, _ = materialize(blocks_of(sets, ["cluster"]), "blocks", n // BLOCK_DOCS)
     if large.isEmpty():
         return met_in_blocks(sets, None, percent, 7).select("vertex", "class")
-    state, _ = materialize(met_in_blocks(sets, large, percent, 7), "classes")
+    state, _ = materialize(met_in_blocks(sets, large, percent, 7), "classes", 50 * n)
     small = state.join(large, "cluster", "left_anti").select("vertex", "class")
     state = state.join(large, "cluster", "left_semi")
     for salt in range(8, 40):
-        heads, _ = materialize(state.where("vertex = class").select("vertex").join(sets, "vertex"), "heads")
-        crowded, _ = materialize(blocks_of(heads, ["cluster"]), "blocks")
+        heads, _ = materialize(state.where("vertex = class").select("vertex").join(sets, "vertex"), "heads", n // 10)
+        crowded, _ = materialize(blocks_of(heads, ["cluster"]), "blocks", n // BLOCK_DOCS)
         merged, _ = materialize(met_in_blocks(heads, crowded, percent, salt), "merged")
         before, after = heads.count(), merged.select("class").distinct().count()
         if after < before:
             new = merged.where("vertex <> class").select(F.col("vertex").alias("class"), F.col("class").alias("root"))
-            state, _ = materialize(state.join(new, "class", "left").select("cluster", "vertex", F.coalesce("root", "class").alias("class")), "classes")
+            state, _ = materialize(state.join(new, "class", "left").select("cluster", "vertex", F.coalesce("root", "class").alias("class")), "classes", n)
         if crowded.isEmpty() or after > 0.8 * before:
             break
     known = keyed.join(state, "vertex")
     mixed = known.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key")
-    active, _ = materialize(known.join(mixed, "key", "left_semi").select("cluster", "vertex", "class").distinct(), "active")
+    active, _ = materialize(known.join(mixed, "key", "left_semi").select("cluster", "vertex", "class").distinct(), "active", n)
     if active.isEmpty():
         return small.union(state.select("vertex", "class"))
     edges, _ = materialize(links_between(active.join(sets.select("vertex", "shingles"), "vertex"), percent), "links")
-    roots = connected_components(edges).withColumnsRenamed({"id": "class", "component": "root"})
+    roots = connected_components(edges, rows=n).withColumnsRenamed({"id": "class", "component": "root"})
     return small.union(state.join(roots, "class", "left").select("vertex", F.coalesce("root", "class").alias("class")))
 
 
@@ -318,11 +319,12 @@ def classified(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
         own = marks.join(again, F.col("doc_id").eqNullSafe(F.col("again")), "left").withColumn("own", F.when(F.col("many").isNull(), F.col("doc_id")))
     # a set is numbered by the least id that is one row's alone; without one, by a hash
     sets = own.where("set_key is not null").groupBy("set_key").agg(F.min("own").alias("rep"), F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
-    sets, _ = materialize(sets.withColumn("vertex", F.coalesce("rep", F.xxhash64("set_key"))), "sets")
+    sets, _ = materialize(sets.withColumn("vertex", F.coalesce("rep", F.xxhash64("set_key"))), "sets", 4 * marks.count())
+    n_sets = sets.count()
     keyed = sets.select("vertex", F.explode("bands").alias("key"))
     heads = keyed.groupBy("key").agg(F.min("vertex").alias("head"), F.max("vertex").alias("tail")).where("head < tail").select("key", "head")
     stars = keyed.join(heads, "key").where("vertex <> head").select(F.col("vertex").alias("src"), F.col("head").alias("dst"))
-    clusters, _ = materialize(connected_components(stars).withColumnsRenamed({"id": "vertex", "component": "cluster"}), "clusters")
+    clusters, _ = materialize(connected_components(stars, rows=n_sets).withColumnsRenamed({"id": "vertex", "component": "cluster"}), "clusters", n_sets)
     marks, plain = marks.drop("bands"), sets.select("set_key", "vertex", "least")
     if clusters.isEmpty():
         return Classified(marks, plain.withColumn("root", F.col("vertex")), odd)
@@ -333,8 +335,8 @@ def classified(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
     if odd:
         keys = with_keys(base, width).join(members.where("rep is null").select("set_key", "cluster", "vertex"), "set_key")
         texts = texts.union(keys.groupBy("cluster", "vertex").agg(F.min("text").alias("text")))
-    held, _ = materialize(shingled(texts, width), "shingles")
-    classes, _ = materialize(classes_within(held, keyed, percent), "classes")
+    held, _ = materialize(shingled(texts, width), "shingles", 20 * clusters.count())
+    classes, _ = materialize(classes_within(held, keyed, percent), "classes", n_sets)
     return Classified(marks, plain.join(classes, "vertex", "left").select("set_key", "vertex", "least", F.coalesce("class", "vertex").alias("root")), odd)
 
 

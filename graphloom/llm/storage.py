@@ -6,6 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a file of a thin table, about.
+ROWS_A_FILE = 250_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors and the driver share (``spark.checkpoint.dir``).
@@ -39,11 +42,16 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/graphloom/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Write ``df`` as Parquet into shared storage and read it back; returns the table and its path."""
+def materialize(df: DataFrame, label: str, rows: int | None = None) -> tuple[DataFrame, str]:
+    """Write ``df`` as Parquet into shared storage and read it back; returns the table and its path.
+
+    ``rows``, where about so many are known to come, gathers thin tables into
+    few files (and tasks), instead of one a shuffle partition.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    few = df if rows is None else df.coalesce(max(8, -(-rows // ROWS_A_FILE)))
+    few.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
