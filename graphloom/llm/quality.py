@@ -1,11 +1,13 @@
 """Quality classifier from weak labels.
 
-Overlapping heuristic labellers vote good, bad or nothing; expectation-
-maximisation estimates each one's accuracy from the counts of vote patterns
-over all documents; the posterior labels then train a linear scorer on hashed
-words, which scores every document.
+Overlapping heuristic labellers vote good, bad or nothing, on two attributes:
+quality and abuse. For each, expectation-maximisation estimates every
+labeller's accuracy from the counts of vote patterns over all documents; the
+posterior labels then train a linear scorer on hashed words, which scores every
+document. Labellers run once: their votes are stored beside the texts.
 """
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,13 +18,17 @@ from pyspark.sql import functions as F
 
 from . import ragged
 from .ragged import U64
-from .storage import small_batches
+from .storage import materialize, small_batches
 
 FEATURES = 1 << 14
 #: Rows that train the scorer, at most.
 SAMPLE = 4000
-#: Insults that mark a text as abusive.
-ABUSE = ["idiot", "idiots", "moron", "morons", "stupid", "worthless", "clown", "clowns", "loser", "losers", "dumb", "pathetic", "trash", "scum", "imbecile", "jerk"]
+#: Rows with a vote for abuse that train its scorer besides, at most.
+ABUSE_SAMPLE = 1000
+#: Words for a person, words of contempt and phrases of hostility that mark a text as abusive.
+NAMES = "idiot idiots moron morons clown clowns loser losers scum imbecile imbeciles jerk jerks fool fools bastard bastards scumbag scumbags".split()
+CONTEMPT = "stupid worthless dumb pathetic trash disgusting useless vile filthy brainless garbage".split()
+HOSTILITY = ["shut up", "hate you", "kill yourself", "go to hell", "get lost", "nobody likes you", "drop dead"]
 
 
 def labellers(text: Column) -> dict[str, Column]:
@@ -36,7 +42,6 @@ def labellers(text: Column) -> dict[str, Column]:
     tokens = F.size(parts)
     varied = F.size(F.array_distinct(parts)) / tokens
     bangs = share("[!?]+")
-    abuse = F.size(F.regexp_extract_all(text, F.lit(r"(?i)\b(" + "|".join(ABUSE) + r")\b"), F.lit(1)))
     return {
         "symbols": rule(symbols > 0.03, symbols < 0.005),
         "capitals": rule(upper > 0.3, (upper > 0.002) & (upper < 0.08)),
@@ -48,10 +53,15 @@ def labellers(text: Column) -> dict[str, Column]:
         "repeated_words": rule((tokens >= 20) & (varied < 0.15), (tokens >= 20) & (tokens < 500) & (varied > 0.4)),
         "bars": rule(share("[|]") > 0.015, F.lit(False)),
         "sentences": rule(share(r"[.,;:]") < 0.002, share(r"[.,;:]").between(0.008, 0.06)),
-        "abuse": rule(abuse >= 1, F.lit(False)),
     }
 
 
+def abuse_labellers(text: Column) -> dict[str, Column]:
+    """Votes of each heuristic on abuse: -1 if found, else 0."""
+    found = lambda words: F.when(text.rlike(r"(?i)\b(?:" + "|".join(words) + r")\b"), -1).otherwise(0)
+    return {"names": found(NAMES), "contempt": found(CONTEMPT), "hostility": found(HOSTILITY)}
+
+
 def label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
     """``(posterior of good by pattern, vote tables, prior of good)`` by expectation-maximisation.
 
@@ -115,42 +125,67 @@ def train(texts: pa.Array, good: np.ndarray, steps: int = 60, rate: float = 0.5,
     return w
 
 
-def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, least: float = 0.5) -> DataFrame:
-    """``(doc_id, quality, weak_quality, abusive, keep)`` of every row.
+def posteriors(counts: dict[str, int]) -> dict[str, float]:
+    """Of each vote pattern (a string of +, - and 0) the posterior of good."""
+    seen = sorted(counts)
+    good, _, _ = label_model(np.asarray([[{"+": 1, "-": -1, "0": 0}[c] for c in p] for p in seen]), np.asarray([counts[p] for p in seen], float))
+    return dict(zip(seen, good.tolist()))
+
+
+def voted(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """``(doc_id, text, votes)`` in shared storage, and how many of the votes are on quality (the first)."""
+    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    on_quality, on_abuse = labellers(F.col("text")), abuse_labellers(F.col("text"))
+    code = F.concat(*[F.when(v == 1, "+").when(v == -1, "-").otherwise("0") for v in [*on_quality.values(), *on_abuse.values()]])
+    return materialize(base.withColumn("votes", code), "votes")[0], len(on_quality)
+
+
+def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, abuse_sample: int = ABUSE_SAMPLE, least: float = 0.5) -> DataFrame:
+    """``(doc_id, quality, weak_quality, toxicity, abusive, keep)`` of every row.
 
     ``quality`` (0 to 1) is the scorer's, ``weak_quality`` the label model's
-    posterior for the row's votes, ``abusive`` the vote of that labeller;
-    keep: the mean of both reaches ``least`` and the text isn't abusive. All
-    rows give vote counts (a pattern of 11 votes: at most 3**11 counts come to
-    the driver, and their posteriors are broadcast); the scorer is fitted on up
-    to ``sample`` rows chosen by hash of the text. A null text counts as empty;
-    repeated rows each give the same row; no rows give no rows.
+    posterior for the row's votes; ``toxicity`` is the mean of scorer and label
+    model of abuse, ``abusive`` from one half on; keep: the mean of ``quality``
+    and ``weak_quality`` reaches ``least`` and the text isn't abusive.
+
+    All rows give vote counts (of 3**10 patterns on quality and 2**3 on abuse
+    at most, which come to the driver; their posteriors go to the executors).
+    The scorers are fitted on the first ``sample`` rows by hash of id and text,
+    ties by these, that of abuse also on the first ``abuse_sample`` with a vote
+    for it: so a run repeats its result, and copies count as often as they are.
+    A null text counts as empty; repeated rows each give the same row; no rows
+    give no rows; other columns are ignored.
     """
     small_batches(docs.sparkSession)
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    votes = labellers(F.col("text"))
-    names = list(votes)
-    code = F.concat(*[F.when(v == 1, "+").when(v == -1, "-").otherwise("0") for v in votes.values()])
-    voted = base.withColumn("votes", code)
-    seen = sorted((r[0], r[1]) for r in voted.groupBy("votes").count().collect())
-    if not seen:
-        return base.select("doc_id", F.lit(0.0).alias("quality"), F.lit(0.0).alias("weak_quality"), F.lit(False).alias("abusive"), F.lit(False).alias("keep"))
-    patterns = np.asarray([[{"+": 1, "-": -1, "0": 0}[c] for c in p] for p, _ in seen])
-    good, _, _ = label_model(patterns, np.asarray([n for _, n in seen], float))
-    posterior = {p: float(g) for (p, _), g in zip(seen, good)}
-    n = sum(c for _, c in seen)
-    drawn = voted.where(F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 20)) < F.lit(int(min(1.0, 1.2 * sample / n) * (1 << 20)))).select("text", "votes").limit(2 * sample).toArrow()
-    weights = train(drawn.column("text").combine_chunks(), np.asarray([posterior[v] for v in drawn.column("votes").to_pylist()])) if drawn.num_rows else np.zeros(FEATURES + 1)
-
-    @F.pandas_udf("struct<quality:double,weak:double>")
+    rows, split = voted(docs, id_col, text_col)
+    counts = {r[0]: r[1] for r in rows.groupBy("votes").count().collect()}
+    on_quality, on_abuse = Counter(), Counter()
+    for votes, n in counts.items():
+        on_quality[votes[:split]] += n
+        on_abuse[votes[split:]] += n
+    good, fair = (posteriors(c) if c else {} for c in (on_quality, on_abuse))
+    place = F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit(17))
+
+    def drawn(some: DataFrame, n: int, most: int) -> pa.Table:
+        """The first ``most`` of ``n`` rows by hash: a bound on the hash leaves half as many again."""
+        bound = min((1 << 63) - 1, -(1 << 63) + int(min(1.0, (1.5 * most + 100) / max(1, n)) * (1 << 64)))
+        return some.withColumn("place", place).where(F.col("place") <= F.lit(bound)).orderBy("place", "doc_id", "text").limit(most).select("text", "votes").toArrow()
+
+    plain = drawn(rows, sum(counts.values()), sample)
+    marked = drawn(rows.where(F.substring("votes", split + 1, 9).contains("-")), sum(n for v, n in counts.items() if "-" in v[split:]), abuse_sample)
+    both = pa.concat_tables([plain, marked])
+    fitted = lambda table, target: train(table.column("text").combine_chunks(), np.asarray([target(v) for v in table.column("votes").to_pylist()])) if table.num_rows else np.zeros(FEATURES + 1)
+    weights = np.stack([fitted(plain, lambda v: good[v[:split]]), fitted(both, lambda v: 1 - fair[v[split:]])])
+
+    @F.pandas_udf("struct<quality:double,weak:double,toxic:double,weak_toxic:double>")
     def judge(texts: pd.Series, code: pd.Series) -> pd.DataFrame:
-        quality = np.zeros(len(texts))
-        for low, high, slots, rows, counts in hashed_words(pa.array(texts, pa.large_string(), from_pandas=True)) if len(texts) else ():
-            margin = np.bincount(rows, weights[slots], high - low) / np.maximum(counts, 1) + weights[-1]
-            quality[low:high] = 1 / (1 + np.exp(-margin))
-        return pd.DataFrame({"quality": quality, "weak": code.map(posterior).to_numpy(float)})
-
-    out = voted.select("doc_id", "votes", judge("text", "votes").alias("j"))
-    abusive = F.substring("votes", names.index("abuse") + 1, 1) == "-"
-    keep = ((F.col("j.quality") + F.col("j.weak")) / 2 >= least) & ~abusive
-    return out.select("doc_id", F.col("j.quality").alias("quality"), F.col("j.weak").alias("weak_quality"), abusive.alias("abusive"), keep.alias("keep"))
+        scores = np.zeros((2, len(texts)))
+        for low, high, slots, at, sizes in hashed_words(pa.array(texts, pa.large_string(), from_pandas=True)) if len(texts) else ():
+            for k in range(2):
+                margin = np.bincount(at, weights[k][slots], high - low) / np.maximum(sizes, 1) + weights[k][-1]
+                scores[k, low:high] = 1 / (1 + np.exp(-margin))
+        return pd.DataFrame({"quality": scores[0], "weak": code.str[:split].map(good).to_numpy(float), "toxic": scores[1], "weak_toxic": 1 - code.str[split:].map(fair).to_numpy(float)})
+
+    out = rows.select("doc_id", judge("text", "votes").alias("j")).select("doc_id", "j.*").withColumn("toxicity", (F.col("toxic") + F.col("weak_toxic")) / 2)
+    keep = ((F.col("quality") + F.col("weak")) / 2 >= least) & (F.col("toxicity") < 0.5)
+    return out.select("doc_id", "quality", F.col("weak").alias("weak_quality"), "toxicity", (F.col("toxicity") >= 0.5).alias("abusive"), keep.alias("keep"))

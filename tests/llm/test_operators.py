@@ -347,5 +347,60 @@ def test_quality_against_labels(spark, odd, empty):
     clean = (r.truth == 1) & (r.toxic == 0)
     assert auc > 0.9 and r.keep[clean].mean() > 0.95 and r.keep[r.truth == 0].mean() < 0.3
     got = quality.score_quality(odd)
-    assert got.count() == len(TEXTS) and got.where("quality is null or keep is null").count() == 0
+    assert got.count() == len(TEXTS) and got.where("quality is null or keep is null or toxicity is null").count() == 0
     assert quality.score_quality(empty).count() == 0
+    one = odd.limit(1).select("doc_id", "text")
+    assert quality.score_quality(one).count() == 1
+
+
+def brute_votes(t):
+    """The votes by plain Python."""
+    n, words, lines = max(len(t), 1), re.split("[ \n]+", t), t.split("\n")
+    share = lambda p: 1 - len(re.sub(p, "", t)) / n
+    rule = lambda bad, good: "-" if bad else "+" if good else "0"
+    found = lambda some: "-" if re.search(r"(?i)\b(?:" + "|".join(some) + r")\b", t, re.A) else "0"
+    k, varied, fresh = len(words), len(set(words)) / len(words), len(set(lines)) / len(lines)
+    return "".join([
+        rule(share(r"[#$%&*|<>{}\[\]\\^~=]+") > 0.03, share(r"[#$%&*|<>{}\[\]\\^~=]+") < 0.005), rule(share("[A-Z]+") > 0.3, 0.002 < share("[A-Z]+") < 0.08), rule(share("[0-9]+") > 0.15, share("[0-9]+") < 0.02),
+        rule(share("[!?]+") > 0.02, share("[!?]+") < 0.002), rule(k < 4, k > 60), rule(n / k > 12 or n / k < 2.5, 3.5 <= n / k <= 8), rule(len(lines) >= 4 and fresh < 0.7, len(lines) >= 3 and fresh > 0.95),
+        rule(k >= 20 and varied < 0.15, 20 <= k < 500 and varied > 0.4), rule(share("[|]") > 0.015, False), rule(share("[.,;:]") < 0.002, 0.008 <= share("[.,;:]") <= 0.06), found(quality.NAMES), found(quality.CONTEMPT), found(quality.HOSTILITY),
+    ])
+
+
+def brute_em(patterns, rounds=100):
+    """Posterior of good a pattern, by loops; ``patterns`` counts them."""
+    total, good = sum(patterns.values()), {p: 0.95 if "-" not in p else 0.2 ** p.count("-") for p in patterns}
+    size = len(next(iter(patterns)))
+    for _ in range(rounds):
+        prior = min(max(sum(n / total * good[p] for p, n in patterns.items()), 0.02), 0.98)
+        table = {}
+        for label in (0, 1):
+            for j in range(size):
+                mass = {v: 1e-4 + sum(n / total * (good[p] if label else 1 - good[p]) for p, n in patterns.items() if p[j] == v) for v in "-0+"}
+                for v in mass:
+                    table[label, j, v] = mass[v] / sum(mass.values())
+        for j in range(size):
+            table[0, j, "-"] = max(table[0, j, "-"], table[1, j, "-"])
+        for p in patterns:
+            fit = [np.log(prior if label else 1 - prior) + sum(np.log(table[label, j, v]) for j, v in enumerate(p)) for label in (0, 1)]
+            good[p] = 1 / (1 + np.exp(np.clip(fit[0] - fit[1], -50, 50)))
+    return good
+
+
+def test_quality_votes_and_posteriors_equal_brute_force(spark, sf, odd):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(odd.select(F.col("doc_id") + 10**6, "text")).union(spark.createDataFrame([(-1, "You IDIOT, shut up! " * 2000), (-2, "A|B|C|D"), (-3, "x" * 300)], "doc_id long, text string"))
+    rows, split = quality.voted(docs, "doc_id", "text")
+    held = rows.collect()
+    assert len(held) == docs.count()
+    for r in held:
+        assert r.votes == brute_votes(r.text), r.text[:80]
+    for part in (slice(0, split), slice(split, None)):
+        counts = {}
+        for r in held:
+            counts[r.votes[part]] = counts.get(r.votes[part], 0) + 1
+        got, want = quality.posteriors(counts), brute_em(counts)
+        assert all(got[p] == pytest.approx(want[p], abs=1e-6) for p in counts)
+    scored = {r.doc_id: r for r in quality.score_quality(docs).collect()}
+    assert scored[-1].abusive and not scored[-1].keep
+    again = {r.doc_id: r for r in quality.score_quality(docs.repartition(7)).collect()}
+    assert all(again[k].quality == pytest.approx(scored[k].quality, abs=1e-9) and again[k].keep == scored[k].keep for k in scored)
