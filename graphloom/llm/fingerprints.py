@@ -4,8 +4,10 @@ The lexicon holds the terms whose inverse document frequency lies in a chosen
 band. Each of several random subsets of the lexicon gives one 16-bit hash of
 the sorted distinct terms that a document shares with it; subsets come in
 halving densities, so that documents of any length have some in which they
-hold only a few terms. Two documents are alike by the share of equal hashes
-among the subsets that hold terms of either.
+hold only a few terms. The likeness of two documents is the share of their
+lexicon terms that are common, estimated from which subsets are empty, equal
+and different: a subset that meets l terms of both on average is equal with
+chance exp(-l (1 - share)) - exp(-l), and empty with exp(-l).
 """
 
 from __future__ import annotations
@@ -116,12 +118,27 @@ def imatch(values: np.ndarray, counts: np.ndarray, terms: np.ndarray, draws: int
     return out
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of the subsets that hold terms of either text, the share with equal hashes, by row; 1 for equal fingerprints."""
-    used = (a != 0) | (b != 0)
-    same = ((a == b) & used).sum(1)
-    total = used.sum(1)
-    return np.where(total == 0, 1.0, same / np.maximum(total, 1))
+def _chances(densities: int) -> tuple[np.ndarray, np.ndarray]:
+    """Log chances of empty, equal and different subsets (3 * densities x hypotheses), and each hypothesis' share."""
+    terms, share = 2 ** np.arange(0, densities + 3, 0.5), np.arange(0, 51) / 50
+    met = terms[:, None, None] / 2.0 ** np.arange(densities)
+    apart = np.exp(-met * (1 - share[None, :, None]))
+    empty = np.broadcast_to(-met, apart.shape)
+    logs = [empty, np.log(np.maximum(apart - np.exp(-met), 1e-12)), np.log(np.maximum(1 - apart, 1e-12))]
+    return np.concatenate(logs, 2).reshape(-1, 3 * densities).T.astype(np.float32), np.tile(share, len(terms))
+
+
+def likeness(a: np.ndarray, b: np.ndarray, densities: int = DENSITIES) -> np.ndarray:
+    """The most likely share of common terms, by row (of equally likely ones the least); 1 for equal fingerprints."""
+    a, b = (x.reshape(len(x), -1, densities) for x in (a, b))
+    used, same = (a != 0) | (b != 0), a == b
+    seen = np.concatenate([(~used).sum(1), (same & used).sum(1), (~same).sum(1)], 1).astype(np.float32)
+    logs, share = _chances(densities)
+    out = np.empty(len(a))
+    for low in range(0, len(a), 4096):
+        fits = (seen[low : low + 4096] @ logs).reshape(-1, len(share) // 51, 51).max(1)
+        out[low : low + 4096] = fits.argmax(1) / 50
+    return np.where(same.all((1, 2)), 1.0, np.minimum(out, 0.98))
 
 
 def hexed(prints: np.ndarray) -> list[str]:
@@ -212,10 +229,10 @@ def edited_likeness(docs: DataFrame, terms: np.ndarray | None = None, draws: int
                 plain, edited = prints(texts), prints(edits)
                 mine, after = plain[own], plain[np.asarray(own) + 1]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([some[i][0] for i in own], pa.int64()), pa.array([len(texts[i]) for i in own], pa.int64()), pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edits], pa.string()), pa.array(hexed(mine), pa.string()), pa.array(hexed(edited), pa.string()), pa.array(likeness(mine, edited)), pa.array(likeness(mine, after))],
+                    [pa.array([some[i][0] for i in own], pa.int64()), pa.array([len(texts[i]) for i in own], pa.int64()), pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edits], pa.string()), pa.array(hexed(mine), pa.string()), pa.array(hexed(edited), pa.string()), pa.array(likeness(mine, edited, densities)), pa.array(likeness(mine, after, densities))],
                     names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
                 )
 
-    ranges = max(len(order), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    streamed = base.mapInArrow(deal, "doc_id long, text string, span int, tail int, key long").repartition(ranges, "span").sortWithinPartitions("span", "tail", F.desc("key"), F.desc("text")).select("doc_id", "text", "span", "tail")
+    ranges = max(1, len(order))  # dealt by range with room to spare, each span has a task of its own
+    streamed = base.mapInArrow(deal, "doc_id long, text string, span int, tail int, key long").repartitionByRange(3 * ranges, "span").sortWithinPartitions("span", "tail", F.desc("key"), F.desc("text")).select("doc_id", "text", "span", "tail")
     return streamed.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

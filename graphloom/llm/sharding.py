@@ -3,27 +3,28 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rows of a range, about; ranges at most (beyond, they hold more rows: a range is streamed); sampled ids a range.
+ROWS, RANGES, SAMPLED = 8192, 200_000, 32
 
-def id_bounds(docs: DataFrame, rows: int = 8192) -> np.ndarray:
-    """Upper ends (exclusive) of all id ranges but the last, ascending.
 
-    As many ranges as hold about ``rows`` rows each, 4096 at most: a range is
-    streamed, so it needs no memory of its size. Only ids are read.
+def ranges_of(rows: int) -> int:
+    """How many ranges so many rows are dealt to."""
+    return min(RANGES, max(1, rows // ROWS))
+
+
+def id_bounds(docs: DataFrame) -> np.ndarray:
+    """Upper ends (exclusive) of all id ranges but the last, ascending, by a sample of ids (SAMPLED a range, by hash).
+
+    Only ids are read, and only the sample comes to the driver.
     """
-    total = docs.select("doc_id").where("doc_id is not null").count()
-    ranges = int(min(4096, max(1, total // rows)))
+    ids = docs.select("doc_id").where("doc_id is not null")
+    total = ids.count()
+    ranges = ranges_of(total)
     if ranges == 1:
         return np.zeros(0, np.int64)
-    cuts = [i / ranges for i in range(1, ranges)]
-    found = docs.agg(F.percentile_approx("doc_id", cuts, 10 * ranges + 1000)).first()[0]
-    return np.unique(np.asarray(found, np.int64))
-
-
-def range_number(key: Column, bounds: np.ndarray) -> Column:
-    """The number of the id range of ``key``, from 0; null is in the first."""
-    if not len(bounds):
-        return F.lit(0)
-    return F.coalesce(F.size(F.filter(F.lit(bounds.tolist()).cast("array<bigint>"), lambda b: b <= key)), F.lit(0))
+    bound = -(1 << 63) + int(min(1.0, SAMPLED * ranges / total) * ((1 << 64) - 1))
+    found = np.sort(np.asarray(ids.where(F.xxhash64("doc_id") <= F.lit(min(bound, (1 << 63) - 1))).distinct().toArrow().column(0).to_numpy(), np.int64))
+    return np.unique(found[np.arange(1, ranges) * len(found) // ranges]) if len(found) else found

@@ -17,11 +17,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .sharding import id_bounds, range_number
+from .sharding import ranges_of
 from .storage import small_batches
 
 END_ID = 2
@@ -144,13 +145,12 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, rounds: int |
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     small_batches(docs.sparkSession)
-    bounds, spark = id_bounds(base), base.sparkSession
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
         first_rule = len(encode.widths)
         held: list[tuple] = []
-        shard, block, size, earlier = None, 0, 0, 0
+        shard, block, size, earlier = TaskContext.get().partitionId(), 0, 0, 0  # the ranges are numbered in id order
 
         def sealed():
             ids = np.concatenate([x for _, x, _ in held])
@@ -167,18 +167,13 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, rounds: int |
             return pa.RecordBatch.from_arrays([pa.array(row[k], kinds[k]) for k in kinds], names=list(kinds))
 
         for batch in batches:
-            names, shards, low = batch.column(0).to_pylist(), batch.column(2).to_pylist(), 0
+            names, low = batch.column(0).to_pylist(), 0
             lengths = pc.binary_length(batch.column(1)).to_pylist()
             while low < len(names):
                 high, sized = low, 0
-                while high < len(names) and shards[high] == shards[low] and (high == low or sized < 1_000_000):
+                while high < len(names) and (high == low or sized < 1_000_000):
                     sized += lengths[high]
                     high += 1
-                if shards[low] != shard and held:
-                    yield sealed()
-                    held, size = [], 0
-                if shards[low] != shard:
-                    shard, block, earlier = shards[low], 0, 0
                 ids, counts = encode.encode(batch.column(1).slice(low, high - low).to_pylist())
                 ids = with_end(ids, counts)
                 held.append((names[low:high], ids, counts + 1))
@@ -191,8 +186,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, rounds: int |
             yield sealed()
         pa.default_memory_pool().release_unused()
 
-    ranges = max(len(bounds) + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    placed = base.withColumn("shard", range_number(F.col("doc_id"), bounds)).repartition(ranges, "shard").sortWithinPartitions("shard", "doc_id", "text")
+    placed = base.repartitionByRange(ranges_of(base.count()), "doc_id").sortWithinPartitions("doc_id", "text")
     placed.mapInArrow(pack, SCHEMA).write.mode("overwrite").option("compression", "none").parquet(path)
 
 
@@ -200,7 +194,7 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
     """``(doc_id, start, n_tokens, ids_crc32)`` and, if asked for, ``ids``, decoded from the files.
 
     ``start`` counts the ids of all documents before. Only the number of ids of
-    each shard (4096 at most) comes to the driver.
+    each shard (an id range) comes to the driver.
     """
     blocks = spark.read.schema(SCHEMA).parquet(path)
     sums = blocks.select("shard", F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from graphloom.llm import components, decontamination, fingerprints, langid, licenses, near_dedup, packing, quality, queries, secrets, tokens, urls
+from graphloom.llm import components, decontamination, fingerprints, langid, licenses, near_dedup, packing, quality, queries, ragged, secrets, tokens, urls
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TOKENIZER = Tokenizer.from_file(PATH)
@@ -108,7 +109,8 @@ def test_fingerprints_and_edits(spark, odd, empty, sf):
     by_text = {}
     for (d, t), g in zip(rows, got):
         assert by_text.setdefault(t, g[3]) == g[3] and 0 <= g[4] <= 1 and 0 <= g[5] <= 1
-    assert np.mean([g[4] > g[5] for g in got if g[1] > 200]) > 0.9
+    long = [g for g in got if g[1] > 200]
+    assert np.mean([g[4] > g[5] for g in long]) > 0.93 and np.mean([g[4] for g in long]) > 0.35 and np.mean([g[5] for g in long]) < 0.15
     terms = fingerprints.lexicon(docs)
     plain = {(r.doc_id, r.fingerprint) for r in fingerprints.fingerprint(docs, terms=terms).collect()}
     assert plain == {(g[0], g[3]) for g in got}
@@ -116,6 +118,54 @@ def test_fingerprints_and_edits(spark, odd, empty, sf):
     assert fingerprints.edited_likeness(empty).count() == 0 and fingerprints.fingerprint(empty).count() == 0
 
 
+M64 = (1 << 64) - 1
+
+
+def mixed(x):
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> shift) * factor & M64
+    return x ^ x >> 31
+
+
+def test_fingerprints_equal_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    words = {d: set(re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))) for d, t in texts.items()}
+    df, n = Counter(w for some in words.values() for w in some), len(texts)
+    band = {w for w, k in df.items() if max(2, int(np.ceil(0.0005 * n))) <= k <= max(2, int(0.3 * n))}
+
+    def hash_of(word):
+        raw = np.frombuffer(word.encode(), np.uint8)
+        return int(ragged.word_hashes(raw, np.asarray([0]), np.asarray([len(raw)]))[0])
+
+    def printed(some):
+        some = [hash_of(w) for w in (some & band or some)]
+        out = []
+        for draw in range(10):
+            seeded = [mixed(x + 0xA24BAED4963EE407 * (draw + 1) & M64) for x in some]
+            for density in range(11):
+                inside = [x for x in seeded if x & ((1 << density) - 1) == 0]
+                out.append(max(1, mixed(sum(map(mixed, inside)) & M64) >> 48) if inside else 0)
+        return "".join(f"{x:04x}" for x in out)
+
+    got = {r.doc_id: r.fingerprint for r in fingerprints.fingerprint(docs).collect()}
+    assert got == {d: printed(w) for d, w in words.items()}
+
+
+def test_likeness_estimates_the_share_of_common_terms():
+    draw = np.random.default_rng(4)
+    for union in (6, 40, 300, 2000):
+        for share in (0.0, 0.2, 0.5, 0.8):
+            pool = draw.integers(0, 1 << 62, (60, union), dtype=np.uint64)
+            common = round(union * share)
+            half = common + (union - common) // 2
+            a, b = np.sort(pool[:, :half], 1), np.sort(np.concatenate([pool[:, :common], pool[:, half:]], 1), 1)
+            prints = [fingerprints.imatch(x.ravel(), np.full(60, x.shape[1]), np.zeros(0, np.uint64), 10, 11) for x in (a, b)]
+            found = fingerprints.likeness(*prints)
+            assert abs(found.mean() - share) < 0.12, (union, share, found.mean())
+            assert (fingerprints.likeness(prints[0], prints[0]) == 1).all()
+
+
 def test_document_frequencies(spark):
     docs = spark.createDataFrame([("a b a",), ("A c",), (None,), ("",)], "text string")
     assert sorted(r.df for r in fingerprints.document_frequencies(docs).collect()) == [1, 1, 2]
