@@ -9,6 +9,7 @@ tokens go to the library whole.
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 
@@ -18,6 +19,9 @@ from tokenizers import Tokenizer
 
 from .ragged import U64, mix, powers
 
+# a worker has one core: the library's threads would only wait for each other
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
 LATIN_END = 0x250
 LETTER, NUMBER, OTHER, SPACE = 1, 2, 3, 4
 _CLASS = np.array([{"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(c))[0], OTHER) for c in range(LATIN_END)], np.uint8)
@@ -35,61 +39,87 @@ def beyond(text: str) -> bool:
         return _BEYOND.search(text) is not None
 
 
+class Rows:
+    """Row numbers by 64-bit key, by open addressing: whole arrays are looked up and put in at once."""
+
+    def __init__(self, most: int):
+        self.bits = max(10, (2 * most - 1).bit_length())
+        self.keys, self.rows = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * U64(0x9E3779B97F4A7C15) >> U64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Rows of the keys (none is 0), -1 where there is none."""
+        out, open_, at = np.full(len(keys), -1, np.int32), np.arange(len(keys)), self.places(keys)
+        while len(open_):
+            held = self.keys[at]
+            hit = held == keys[open_]
+            out[open_[hit]] = self.rows[at[hit]]
+            more = ~hit & (held != 0)
+            open_, at = open_[more], (at[more] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def put(self, keys: np.ndarray, rows: np.ndarray) -> None:
+        """New and distinct keys with their rows."""
+        at = self.places(keys)
+        while len(keys):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = keys[free]
+            mine = self.keys[at] == keys
+            self.rows[at[mine]] = rows[mine]
+            keys, rows, at = keys[~mine], rows[~mine], (at[~mine] + 1) & ((1 << self.bits) - 1)
+
+
 class PieceEncoder:
     """Keeps the ids of up to ``most`` distinct pieces; when full, the half that was met most often stays."""
 
-    def __init__(self, path: str, most: int = 450_000):
+    def __init__(self, path: str, most: int = 600_000):
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         spelled = self.tokenizer.get_vocab()
         self.widths = np.zeros(max(spelled.values()) + 1, np.int64)
         self.widths[list(spelled.values())] = [len(t) for t in spelled]  # one character a byte
-        self.fresh()
-
-    def fresh(self) -> None:
-        self.known: dict[int, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint16 if len(self.widths) <= 1 << 16 else np.uint32), 0
-        self.begins, self.sizes, self.met = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+        self.n, self.rows = 0, Rows(most)
+        self.keys, self.begins, self.sizes, self.met = np.zeros(1 << 14, np.uint64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
 
-    def thin(self) -> None:
-        n = len(self.known)
+    def thin(self, wanted: int) -> None:
+        n = self.n
         stay = np.sort(np.argsort(-self.met[:n], kind="stable")[: n // 2])
-        number = np.full(n, -1, np.int64)
-        number[stay] = np.arange(len(stay))
-        sizes = self.sizes[stay]
+        sizes, keys = self.sizes[stay], self.keys[stay]
         self.flat = self.flat[np.repeat(self.begins[stay] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
-        self.used, self.sizes, self.begins, self.met = len(self.flat), sizes, np.cumsum(sizes) - sizes, self.met[stay] // 2
-        number = number.tolist()
-        self.known = {k: number[row] for k, row in self.known.items() if number[row] >= 0}
+        self.n, self.used, self.keys, self.sizes, self.begins, self.met = len(stay), len(self.flat), keys, sizes, np.cumsum(sizes) - sizes, self.met[stay] // 2
+        self.rows = Rows(max(self.most, self.n + wanted))  # a single text may hold more pieces than are kept
+        self.rows.put(keys, np.arange(self.n, dtype=np.int32))
 
-    def add(self, keys: list[int], texts: list[str]) -> None:
+    def add(self, keys: np.ndarray, texts: list[str]) -> None:
         # pieces of a blank and letters are split the same way when they stand one after the other: so encoded, they cost half
-        plain = [i for i, t in enumerate(texts) if t[0] == " " and t[1:].isalpha()]
-        others = sorted(set(range(len(texts))) - set(plain))
+        whole = np.fromiter((t[0] == " " and t[1:].isalpha() for t in texts), bool, len(texts))
+        plain, others = np.flatnonzero(whole).tolist(), np.flatnonzero(~whole).tolist()
         runs = [plain[i : i + 200] for i in range(0, len(plain), 200)]
         for some in (runs[i : i + 100] for i in range(0, len(runs), 100)):
             found = self.tokenizer.encode_batch_fast(["".join([texts[i] for i in run]) for run in some], add_special_tokens=False)
             ids = np.concatenate([np.asarray(x.ids, np.uint32) for x in found])
             order = [i for run in some for i in run]
             upto = np.cumsum([len(texts[i].encode()) for i in order])
-            self.keep([keys[i] for i in order], ids, np.diff(np.searchsorted(np.cumsum(self.widths[ids]), upto, "left") + 1, prepend=0))
+            self.keep(keys[order], ids, np.diff(np.searchsorted(np.cumsum(self.widths[ids]), upto, "left") + 1, prepend=0))
         for low in range(0, len(others), 20_000):
             part = others[low : low + 20_000]
             ids = [x.ids for x in self.tokenizer.encode_batch_fast([texts[i] for i in part], add_special_tokens=False)]
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.keep([keys[i] for i in part], np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum())), sizes)
+            self.keep(keys[part], np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum())), sizes)
 
-    def keep(self, keys: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
-        row = len(self.known)
+    def keep(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        row, upto = self.n, self.n + len(keys)
         if self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat) // 2, len(ids)), self.flat.dtype)])
-        if row + len(keys) > len(self.begins):
-            more = np.zeros(max(len(self.begins) // 2, len(keys)), np.int64)
-            self.begins, self.sizes, self.met = np.concatenate([self.begins, more]), np.concatenate([self.sizes, more]), np.concatenate([self.met, more.astype(np.int32)])
+        if upto > len(self.keys):
+            more = max(len(self.keys) // 2, len(keys))
+            self.keys, self.begins, self.sizes, self.met = (np.concatenate([x, np.zeros(more, x.dtype)]) for x in (self.keys, self.begins, self.sizes, self.met))
         self.flat[self.used : self.used + len(ids)] = ids
-        self.begins[row : row + len(keys)] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[row : row + len(keys)] = sizes
-        self.known.update(zip(keys, range(row, row + len(keys))))
-        self.used += len(ids)
+        self.keys[row:upto], self.begins[row:upto], self.sizes[row:upto] = keys, self.used + np.cumsum(sizes) - sizes, sizes
+        self.rows.put(keys, np.arange(row, upto, dtype=np.int32))
+        self.n, self.used = upto, self.used + len(ids)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each has."""
@@ -125,7 +155,7 @@ class PieceEncoder:
         sums = np.zeros(n + 1, U64)
         np.cumsum(_VALUES[codes] * up[:n], out=sums[1:])
         at = sums[begins]
-        return begins, mix((np.append(at[1:], sums[n:])[: len(at)] - at) * down[begins]), np.searchsorted(begins, edges[1:])
+        return begins, mix((np.append(at[1:], sums[n:])[: len(at)] - at) * down[begins]) | U64(1), np.searchsorted(begins, edges[1:])
 
     def _pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         parts, low, chars, before = [], 0, 0, 0
@@ -142,18 +172,16 @@ class PieceEncoder:
         joined = "".join(texts)
         begins, keys, upto = (np.concatenate([p[i] for p in parts]) for i in range(3))
         which, distinct = pd.factorize(keys)
-        if len(self.known) + len(distinct) > self.most:
-            self.thin()
-        listed, known = distinct.tolist(), self.known
-        found = list(map(known.get, listed))
-        missing = [i for i, row in enumerate(found) if row is None]
-        if missing:
+        if self.n + len(distinct) > self.most:
+            self.thin(len(distinct))
+        found = self.rows.get(distinct)
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
             at = np.full(len(distinct), -1, np.int64)
             at[which[::-1]] = np.arange(len(which) - 1, -1, -1)
-            self.add([listed[i] for i in missing], [joined[begins[at[i]] : begins[at[i] + 1] if at[i] + 1 < len(begins) else chars] for i in missing])
-            for i in missing:
-                found[i] = known[listed[i]]
-        found = np.asarray(found, np.int64)
+            ends, at = np.append(begins, chars)[at[missing] + 1].tolist(), begins[at[missing]].tolist()
+            self.add(distinct[missing], [joined[x:y] for x, y in zip(at, ends)])
+            found[missing] = self.rows.get(distinct[missing])
         self.met[found] += 1
         rows = found[which]
         sizes = self.sizes[rows]
@@ -165,7 +193,7 @@ class PieceEncoder:
 _encoders: dict[str, PieceEncoder] = {}
 
 
-def encoder(path: str, most: int = 450_000) -> PieceEncoder:
+def encoder(path: str, most: int = 600_000) -> PieceEncoder:
     """One encoder a worker process, of the size that was asked for last."""
     if path not in _encoders:
         _encoders[path] = PieceEncoder(path, most)

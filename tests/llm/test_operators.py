@@ -1,6 +1,7 @@
 """The ten operators against brute force on small tables, with nulls, empty and long texts, ties, repeats and odd columns."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -209,6 +210,18 @@ def test_token_files(spark, odd, empty, tmp_path):
     assert tokens.read_token_files(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_token_files_are_smaller_than_plain_ids(spark, tmp_path):
+    docs, path = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), str(tmp_path / "t")
+    tokens.write_token_files(docs, path, PATH)
+    ids = tokens.read_token_files(spark, path, with_ids=False).agg(F.sum("n_tokens")).first()[0]
+    size = sum(os.path.getsize(f"{path}/{f}") for f in os.listdir(path) if f.endswith(".parquet"))
+    assert size < 1.6 * ids  # unsigned 16-bit ids take 2 bytes
+    some = [r.doc_id for r in docs.select("doc_id").orderBy(F.xxhash64("doc_id")).limit(3).collect()]
+    for d in some:
+        text = docs.where(F.col("doc_id") == d).first().text
+        assert tokens.read_document(spark, path, d) == [ids_of(text).tolist()]
+
+
 def test_urls_spread_through_classes(spark):
     rules = [("bad.org", "/", "block"), ("bad.org", "/ok", "allow"), ("good.net", "/", "allow")]
     pages = [

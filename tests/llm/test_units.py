@@ -67,6 +67,14 @@ def test_repair_ends_when_no_pair_is_frequent(monkeypatch):
     assert all((a == b).all() for a, b in zip(tokens.repair(ids, ends, 50_257), (rules, widths, body)))
 
 
+@pytest.mark.parametrize("top", [100, 1 << 16, (1 << 16) + 1, 70_000, 1 << 19])
+def test_packed_symbols(top):
+    body = np.random.default_rng(1).integers(0, top, 1003).astype(np.uint32)
+    raw = tokens.packed(body, high := tokens.planes(top, 0))
+    assert (tokens.unpacked(raw, len(body), high) == body).all() and len(raw) == 2 * 1003 + high * 126
+    assert len(tokens.unpacked(tokens.packed(body[:0], high), 0, high)) == 0
+
+
 @pytest.mark.parametrize("lengths", [[], [1024] * 3, [600] * 50 + [300] * 60 + [124] * 40, list(range(1, 1025)), [1] * 5000, [513] * 9])
 def test_plan_places_every_piece(lengths):
     counts = np.bincount(lengths, minlength=1025) if lengths else np.zeros(1025, int)
