@@ -247,7 +247,7 @@ def classes_within(sets: DataFrame, keyed: DataFrame, percent: int) -> DataFrame
     large, _ = materialize(blocks_of(sets, ["cluster"]), "blocks", n // BLOCK_DOCS)
     if large.isEmpty():
         return met_in_blocks(sets, None, percent, 7).select("vertex", "class")
-    state, _ = materialize(met_in_blocks(sets, large, percent, 7), "classes", 50 * n)
+    state, _ = materialize(met_in_blocks(sets, large, percent, 7), "classes", 200 * n)
     small = state.join(large, "cluster", "left_anti").select("vertex", "class")
     state = state.join(large, "cluster", "left_semi")
     for salt in range(8, 40):
@@ -319,7 +319,7 @@ def classified(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
         own = marks.join(again, F.col("doc_id").eqNullSafe(F.col("again")), "left").withColumn("own", F.when(F.col("many").isNull(), F.col("doc_id")))
     # a set is numbered by the least id that is one row's alone; without one, by a hash
     sets = own.where("set_key is not null").groupBy("set_key").agg(F.min("own").alias("rep"), F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
-    sets, _ = materialize(sets.withColumn("vertex", F.coalesce("rep", F.xxhash64("set_key"))), "sets", 4 * marks.count())
+    sets, _ = materialize(sets.withColumn("vertex", F.coalesce("rep", F.xxhash64("set_key"))), "sets", 16 * marks.count())
     n_sets = sets.count()
     keyed = sets.select("vertex", F.explode("bands").alias("key"))
     heads = keyed.groupBy("key").agg(F.min("vertex").alias("head"), F.max("vertex").alias("tail")).where("head < tail").select("key", "head")
@@ -335,7 +335,7 @@ def classified(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
     if odd:
         keys = with_keys(base, width).join(members.where("rep is null").select("set_key", "cluster", "vertex"), "set_key")
         texts = texts.union(keys.groupBy("cluster", "vertex").agg(F.min("text").alias("text")))
-    held, _ = materialize(shingled(texts, width), "shingles", 20 * clusters.count())
+    held, _ = materialize(shingled(texts, width), "shingles", 60 * clusters.count())
     classes, _ = materialize(classes_within(held, keyed, percent), "classes", n_sets)
     return Classified(marks, plain.join(classes, "vertex", "left").select("set_key", "vertex", "least", F.coalesce("class", "vertex").alias("root")), odd)
 
