@@ -51,7 +51,8 @@ def trace_flows(edges: DataFrame, entries: DataFrame, depth: int = 6, branching:
     w = Window.partitionBy("src").orderBy(F.desc("confidence"), order, "dst")
     best = edges.where("src <> dst").groupBy("src", "dst").agg(F.max("confidence").alias("confidence"), *([F.min("ord").alias("ord")] if "ord" in edges.columns else []))
     ranked = best.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most + branching)
-    targets = ranked.groupBy("src").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "dst"))), lambda x: x["dst"]).alias("targets")).cache()
+    targets = ranked.groupBy("src").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "dst"))), lambda x: x["dst"]).alias("targets"))
+    targets = materialize(targets, "flow-targets")
     flows = entries.select(F.col("id").alias("entry")).distinct().select("entry", F.array("entry").alias("steps"), F.array("entry").alias("frontier"))
     for _ in range(depth):
         asked = flows.select("entry", F.posexplode("frontier").alias("p", "src")).join(targets, "src").groupBy("entry").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "targets"))), lambda x: x["targets"]).alias("lists"))
@@ -83,6 +84,8 @@ def dedup_flows(flows: DataFrame, overlap: float = 0.5, max_rounds: int = 1000)
         state = materialize(state.join(keep.unionByName(drop), "entry", "left").select("entry", F.coalesce("kept", "new").alias("kept")), "flow-state")
         if state.where("kept is null").isEmpty():
             break
+    else:
+        raise RuntimeError(f"flows did not settle in {max_rounds} rounds")
     return sized.join(state.where("kept").select("entry"), "entry", "left_semi").where("n > 1").select("entry", "steps")
 
 

@@ -106,6 +106,8 @@ def strong_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
             back = materialize(back.unionByName(more), "scc")
         found.append(back.select("id", F.col("colour").alias("component")))
         work = materialize(inside.join(back.select(F.col("id").alias("src")), "src", "left_anti").join(back.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"), "scc")
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     out = everything.select("id", F.col("id").alias("component"))
     for f in found:
         out = out.join(f.withColumnRenamed("component", "c"), "id", "left").select("id", F.coalesce("c", "component").alias("component"))

@@ -33,26 +33,26 @@ def values(rows: list[tuple]) -> str:
 
 
 SYMBOLS = [
-    ("function:src/auth.py:validate", "function", "validate", "src/auth.py", 1, 10, "", 0),
-    ("function:src/auth.py:hash_password", "function", "hash_password", "src/auth.py", 12, 20, "", 1),
-    ("function:src/app.py:login", "function", "login", "src/app.py", 1, 15, "", 2),
-    ("function:src/utils.py:helper", "function", "helper", "src/utils.py", 1, 5, "", 3),
-    ("class:src/models.py:User", "class", "User", "src/models.py", 1, 30, "", 4),
-    ("method:src/models.py:User.save", "method", "save", "src/models.py", 3, 9, "User", 5),
-    ("method:src/models.py:User.load", "method", "load", "src/models.py", 11, 19, "User", 6),
-    ("function:tests/test_auth.py:test_validate", "function", "test_validate", "tests/test_auth.py", 1, 6, "", 7),
-    ("function:lib/deep/util.py:helper", "function", "helper", "lib/deep/util.py", 1, 5, "", 8),
+    ("function:cargo/crane.py:hoist", "function", "hoist", "cargo/crane.py", 1, 10, "", 0),
+    ("function:cargo/crane.py:weigh", "function", "weigh", "cargo/crane.py", 12, 20, "", 1),
+    ("function:cargo/shift.py:begin_shift", "function", "begin_shift", "cargo/shift.py", 1, 15, "", 2),
+    ("function:cargo/tags.py:tag", "function", "tag", "cargo/tags.py", 1, 5, "", 3),
+    ("class:cargo/crate.py:Crate", "class", "Crate", "cargo/crate.py", 1, 30, "", 4),
+    ("method:cargo/crate.py:Crate.seal", "method", "seal", "cargo/crate.py", 3, 9, "Crate", 5),
+    ("method:cargo/crate.py:Crate.unpack", "method", "unpack", "cargo/crate.py", 11, 19, "Crate", 6),
+    ("function:tests/test_crane.py:test_hoist", "function", "test_hoist", "tests/test_crane.py", 1, 6, "", 7),
+    ("function:yard/deep/tags.py:tag", "function", "tag", "yard/deep/tags.py", 1, 5, "", 8),
 ]
 _SYMBOL_COLUMNS = "id, label, name, file_path, start_line, end_line, class_name, ord"
 _SYMBOL_SCHEMA = "id string, label string, name string, file_path string, start_line long, end_line long, class_name string, ord long"
 CALLS = [
-    ("c1", "hash_password", "src/auth.py", "", ""), ("c2", "validate", "src/app.py", "", ""), ("c3", "helper", "src/app.py", "", ""), ("c4", "load", "src/models.py", "self", "User"), ("c5", "print", "src/app.py", "", ""), ("c6", "nowhere", "src/app.py", "", ""),
-    ("c7", "save", "src/app.py", "user", ""), ("c8", "validate", "tests/test_auth.py", "", ""),
+    ("c1", "weigh", "cargo/crane.py", "", ""), ("c2", "hoist", "cargo/shift.py", "", ""), ("c3", "tag", "cargo/shift.py", "", ""), ("c4", "unpack", "cargo/crate.py", "self", "Crate"), ("c5", "print", "cargo/shift.py", "", ""), ("c6", "nowhere", "cargo/shift.py", "", ""),
+    ("c7", "seal", "cargo/shift.py", "crate", ""), ("c8", "hoist", "tests/test_crane.py", "", ""),
 ]
-IMPORTED = [("src/app.py", "validate", "src/auth.py"), ("tests/test_auth.py", "*", "src/auth.py")]
-CALL_EDGES = [("function:src/app.py:login", "function:src/auth.py:validate"), ("function:src/auth.py:validate", "function:src/auth.py:hash_password"), ("function:tests/test_auth.py:test_validate", "function:src/app.py:login"), ("function:src/app.py:login", "method:src/models.py:User.save")]
-DIFF = "diff --git a/src/auth.py b/src/auth.py\n--- a/src/auth.py\n+++ b/src/auth.py\n@@ -5,2 +5,3 @@ def validate\n+x\n@@ -14 +15 @@\n+y\ndiff --git a/src/models.py b/src/models.py\n@@ -10,0 +10,0 @@\n"
-HUNKS = [("src/auth.py", 5, 7), ("src/auth.py", 15, 15), ("src/models.py", 10, 10)]
+IMPORTED = [("cargo/shift.py", "hoist", "cargo/crane.py"), ("tests/test_crane.py", "*", "cargo/crane.py")]
+CALL_EDGES = [("function:cargo/shift.py:begin_shift", "function:cargo/crane.py:hoist"), ("function:cargo/crane.py:hoist", "function:cargo/crane.py:weigh"), ("function:tests/test_crane.py:test_hoist", "function:cargo/shift.py:begin_shift"), ("function:cargo/shift.py:begin_shift", "method:cargo/crate.py:Crate.seal")]
+DIFF = "diff --git a/cargo/crane.py b/cargo/crane.py\n--- a/cargo/crane.py\n+++ b/cargo/crane.py\n@@ -5,2 +5,3 @@ def hoist\n+x\n@@ -14 +15 @@\n+y\ndiff --git a/cargo/crate.py b/cargo/crate.py\n@@ -10,0 +10,0 @@\n"
+HUNKS = [("cargo/crane.py", 5, 7), ("cargo/crane.py", 15, 15), ("cargo/crate.py", 10, 10)]
 _FIXTURE = f"s({_SYMBOL_COLUMNS}) AS ({values(SYMBOLS)}), h(file_path, a, b) AS ({values(HUNKS)}), ce(src, dst) AS ({values(CALL_EDGES)}), ch AS (SELECT DISTINCT s.* FROM s JOIN h ON s.file_path = h.file_path AND s.start_line <= h.b AND s.end_line >= h.a WHERE s.start_line > 0)"
 
 
@@ -85,13 +85,13 @@ def resolve_cascade(spark, sf_dir):
 
 
 IMPORTS = [
-    ("i1", "src/pkg/app.py", ".models", ["User"], True, "python"), ("i2", "src/pkg/app.py", "..util", ["helper"], True, "python"), ("i3", "src/pkg/app.py", "pkg.sub", ["x"], False, "python"), ("i4", "lib/handler.ts", "./process", ["process"], True, "typescript"), ("i5", "lib/a/b.ts", "../process", ["process"], True, "typescript"),
-    ("i6", "lib/handler.ts", "./tools", ["t"], True, "typescript"), ("i7", "src/pkg/app.py", "os", ["os"], False, "python"), ("i8", "src/pkg/app.py", ".", ["models"], True, "python"), ("i9", "src/pkg/app.py", ".models", ["Account"], True, "python"),
+    ("i1", "fleet/crew/deck.py", ".ranks", ["Sailor"], True, "python"), ("i2", "fleet/crew/deck.py", "..ropes", ["tag"], True, "python"), ("i3", "fleet/crew/deck.py", "crew.galley", ["x"], False, "python"), ("i4", "quay/gauge.ts", "./tide", ["level"], True, "typescript"), ("i5", "quay/a/b.ts", "../tide", ["level"], True, "typescript"),
+    ("i6", "quay/gauge.ts", "./winch", ["t"], True, "typescript"), ("i7", "fleet/crew/deck.py", "os", ["os"], False, "python"), ("i8", "fleet/crew/deck.py", ".", ["ranks"], True, "python"), ("i9", "fleet/crew/deck.py", ".ranks", ["Mate"], True, "python"),
 ]
-FILES = [("src/pkg/__init__.py", "python"), ("src/pkg/app.py", "python"), ("src/pkg/models.py", "python"), ("src/util.py", "python"), ("src/pkg/sub/__init__.py", "python"), ("lib/handler.ts", "typescript"), ("lib/process.ts", "typescript"), ("lib/tools/index.ts", "typescript"), ("lib/a/b.ts", "typescript")]
+FILES = [("fleet/crew/__init__.py", "python"), ("fleet/crew/deck.py", "python"), ("fleet/crew/ranks.py", "python"), ("fleet/ropes.py", "python"), ("fleet/crew/galley/__init__.py", "python"), ("quay/gauge.ts", "typescript"), ("quay/tide.ts", "typescript"), ("quay/winch/index.ts", "typescript"), ("quay/a/b.ts", "typescript")]
 
 
-@query(f"""WITH e(src, dst, symbols) AS ({values([("src/pkg/app.py", "src/pkg/models.py", "Account,User"), ("src/pkg/app.py", "src/util.py", "helper"), ("src/pkg/app.py", "src/pkg/sub/__init__.py", "x"), ("lib/handler.ts", "lib/process.ts", "process"), ("lib/a/b.ts", "lib/process.ts", "process"), ("lib/handler.ts", "lib/tools/index.ts", "t"), ("src/pkg/app.py", "src/pkg/__init__.py", "models")])}) SELECT src, dst, symbols FROM e""")
+@query(f"""WITH e(src, dst, symbols) AS ({values([("fleet/crew/deck.py", "fleet/crew/ranks.py", "Mate,Sailor"), ("fleet/crew/deck.py", "fleet/ropes.py", "tag"), ("fleet/crew/deck.py", "fleet/crew/galley/__init__.py", "x"), ("quay/gauge.ts", "quay/tide.ts", "level"), ("quay/a/b.ts", "quay/tide.ts", "level"), ("quay/gauge.ts", "quay/winch/index.ts", "t"), ("fleet/crew/deck.py", "fleet/crew/__init__.py", "ranks")])}) SELECT src, dst, symbols FROM e""")
 def resolve_imports(spark, sf_dir):
     """Relative, absolute and script imports as file edges."""
     imports = spark.createDataFrame([r[:5] for r in IMPORTS], "import_id string, file_path string, module string, names array<string>, is_relative boolean")
@@ -99,8 +99,8 @@ def resolve_imports(spark, sf_dir):
 
 
 _NODES = [
-    ("n1", "function", "main", "src/main.py", "", True, False, [], [], False), ("n2", "function", "validate", "src/auth.py", "", False, False, [], [], False), ("n3", "function", "unused_helper", "src/auth.py", "", False, False, [], [], False), ("n4", "method", "__init__", "src/models.py", "User", False, False, [], [], False),
-    ("n5", "function", "test_validate", "src/tests/test_auth.py", "", False, False, [], [], False), ("n6", "function", "orphan_function", "src/utils.py", "", False, False, [], [], False), ("n7", "class", "Closer", "src/p.py", "", False, False, [], ["Protocol"], True), ("n8", "method", "close", "src/p.py", "Closer", False, False, [], [], False),
+    ("n1", "function", "main", "src/main.py", "", True, False, [], [], False), ("n2", "function", "hoist", "cargo/crane.py", "", False, False, [], [], False), ("n3", "function", "spare_hook", "cargo/crane.py", "", False, False, [], [], False), ("n4", "method", "__init__", "cargo/crate.py", "Crate", False, False, [], [], False),
+    ("n5", "function", "test_hoist", "src/tests/test_crane.py", "", False, False, [], [], False), ("n6", "function", "lost_tag", "cargo/tags.py", "", False, False, [], [], False), ("n7", "class", "Closer", "src/p.py", "", False, False, [], ["Protocol"], True), ("n8", "method", "close", "src/p.py", "Closer", False, False, [], [], False),
     ("n9", "class", "Pool", "src/q.py", "", False, False, [], [], False), ("n10", "method", "close", "src/q.py", "Pool", False, False, [], [], False), ("n11", "method", "drain", "src/q.py", "Pool", False, False, [], [], False), ("n12", "function", "job", "src/w.py", "", False, False, ["app.task"], [], False),
     ("n13", "function", "cached", "src/w.py", "", False, False, ["functools.cache"], [], False), ("n14", "class", "Base", "src/b.py", "", False, False, [], [], False), ("n15", "method", "run", "src/b.py", "Base", False, False, [], [], False), ("n16", "class", "Child", "src/b.py", "", False, False, [], ["Base"], False),
     ("n17", "method", "run", "src/b.py", "Child", False, False, [], [], False), ("n18", "function", "public", "src/__init__.py", "", False, False, [], [], False),
@@ -160,18 +160,18 @@ def test_impact(spark, sf_dir):
     return analysis.test_impact(_symbols(spark), spark.createDataFrame(CALL_EDGES, "src string, dst string"), _hunks(spark))
 
 
-_COUPLED = [("src/auth.py", "src/session.py", 0.8), ("src/auth.py", "src/models.py", 0.9), ("src/a.py", "src/models.py", 0.4)]
-_MEMBERS = [("function:src/auth.py:validate", 0), ("function:src/auth.py:hash_password", 0), ("class:src/models.py:User", 1)]
+_COUPLED = [("cargo/crane.py", "cargo/scale.py", 0.8), ("cargo/crane.py", "cargo/crate.py", 0.9), ("src/a.py", "cargo/crate.py", 0.4)]
+_MEMBERS = [("function:cargo/crane.py:hoist", 0), ("function:cargo/crane.py:weigh", 0), ("class:cargo/crate.py:Crate", 1)]
 
 
 @query(f"""WITH {_FIXTURE}, cp(a, b, strength) AS ({values(_COUPLED)}), mb(id, community) AS ({values(_MEMBERS)}), f AS (SELECT DISTINCT file_path FROM h),
 ms AS (SELECT DISTINCT other FROM (SELECT a AS id, b AS other FROM cp WHERE strength >= 0.5 UNION SELECT b, a FROM cp WHERE strength >= 0.5) WHERE id IN (SELECT * FROM f) AND other NOT IN (SELECT * FROM f)),
 o AS (SELECT ch.id AS src, ce.src AS id FROM ch JOIN ce ON ce.dst = ch.id WHERE ce.src <> ch.id), dp AS (SELECT src, id FROM o UNION SELECT o.src, ce.src FROM o JOIN ce ON ce.dst = o.id WHERE ce.src <> o.src),
-r AS (SELECT (SELECT count(*) FROM ch WHERE name = 'validate') AS entries, (SELECT count(*) FROM ch) AS symbols, (SELECT count(*) FROM ms) AS missing, (SELECT count(*) FROM dp) AS dependents, (SELECT count(DISTINCT community) FROM mb WHERE id IN (SELECT id FROM ch)) AS communities)
+r AS (SELECT (SELECT count(*) FROM ch WHERE name = 'hoist') AS entries, (SELECT count(*) FROM ch) AS symbols, (SELECT count(*) FROM ms) AS missing, (SELECT count(*) FROM dp) AS dependents, (SELECT count(DISTINCT community) FROM mb WHERE id IN (SELECT id FROM ch)) AS communities)
 SELECT *, CAST(least(10, entries + missing + dependents // 10 + CASE WHEN communities > 1 THEN 2 ELSE 0 END) AS BIGINT) AS score, CASE WHEN entries + missing + dependents // 10 + CASE WHEN communities > 1 THEN 2 ELSE 0 END <= 3 THEN 'LOW' WHEN entries + missing + dependents // 10 + CASE WHEN communities > 1 THEN 2 ELSE 0 END <= 6 THEN 'MEDIUM' ELSE 'HIGH' END AS level FROM r""")
 def review_risk(spark, sf_dir):
     """A10: risk of a change."""
-    symbols = _symbols(spark).withColumn("is_entry_point", F.col("name") == "validate")
+    symbols = _symbols(spark).withColumn("is_entry_point", F.col("name") == "hoist")
     return analysis.review_risk(symbols, spark.createDataFrame(CALL_EDGES, "src string, dst string"), spark.createDataFrame(_COUPLED, "a string, b string, strength double"), spark.createDataFrame(_MEMBERS, "id string, community long"), _hunks(spark))
 
 
@@ -200,31 +200,44 @@ def folder_tree(spark, sf_dir):
     return analysis.folder_tree(spark.createDataFrame([(p,) for p, _ in FILES], "path string"))[1]
 
 
+#: A small repository: a harbour in Python, with a page of gauges in TypeScript.
 SOURCES = [
-    ("src/models.py", "class User:\n    def __init__(self, name: str):\n        self.name = name\n\n    def to_dict(self) -> dict:\n        return {'name': self.name}\n", "python"),
-    ("src/auth.py", "from .models import User\nfrom .check import check\n\n\ndef validate(user: User) -> bool:\n    return check(user)\n", "python"),
-    ("src/check.py", "from .verify import verify\n\n\ndef check(obj) -> bool:\n    return verify(obj)\n", "python"),
-    ("src/verify.py", "def verify(obj) -> bool:\n    return obj is not None\n", "python"),
-    ("src/unused.py", "def orphan_func():\n    pass\n", "python"),
-    ("src/types.py", "UserID = str\n", "python"),
-    ("lib/handler.ts", "import { process } from './process';\n\nexport function handler(x: string): string {\n  return process(x);\n}\n", "typescript"),
-    ("lib/process.ts", "export function process(x: string): string {\n  return x;\n}\n", "typescript"),
+    (
+        "port/berth.py",
+        "class Berth:\n    depth: int = 9\n\n    def takes(self, draught: int) -> bool:\n        return spare(self.depth, draught) > 0\n\n    def widen(self, metres: int) -> None:\n        self.depth = self.depth + metres\n\n\n"
+        "def spare(depth: int, draught: int) -> int:\n    return depth - draught\n",
+        "python",
+    ),
+    ("port/roster.py", "from .berth import Berth, spare\n\n\ndef moor(berth: Berth, draught: int):\n    if spare(berth.depth, draught) > 1:\n        return book(berth)\n    return None\n\n\ndef book(berth: Berth):\n    return [berth]\n", "python"),
+    ("port/bulletin.py", "from port.roster import moor\n\n\ndef announce(berth, draught):\n    print(moor(berth, draught))\n", "python"),
+    ("port/lantern.py", "def douse():\n    return False\n", "python"),
+    ("quay/gauge.ts", "import { level } from './tide';\n\nexport function gauge(port: string): number {\n  return level(port) * 2;\n}\n", "typescript"),
+    ("quay/tide.ts", "export function level(port: string): number {\n  return port.length;\n}\n", "typescript"),
 ]
+#: The lines of the sample, their definitions, and the definition each line stands in, by patterns over the text.
+_LINES = f"""src(path, content, lang) AS ({values(SOURCES)}), ln AS (SELECT path, unnest(string_split(content, chr(10))) AS t, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS n FROM src),
+df AS (SELECT path, n, regexp_extract(t, '^ *(?:export )?(?:class|def|function) ([A-Za-z_]+)', 1) AS name, t LIKE 'class %' AS is_class, t LIKE '    def %' AS is_method FROM ln WHERE regexp_matches(t, '^ *(export )?(class|def|function) ')),
+sy AS (SELECT path, n, name, CASE WHEN is_class THEN 'class' WHEN is_method THEN 'method' ELSE 'function' END AS label,
+  CASE WHEN is_method THEN (SELECT arg_max(c.name, c.n) FROM df c WHERE c.path = df.path AND c.is_class AND c.n < df.n) || '.' || name ELSE name END AS full_name FROM df)"""
 
 
 def sample_sources(spark) -> DataFrame:
     return spark.createDataFrame([(*r, i) for i, r in enumerate(sorted(SOURCES))], "path string, content string, language string, ord long")
 
 
-@query(f"""WITH s(file_path, label, name) AS ({values([("src/models.py", "class", "User"), ("src/models.py", "method", "__init__"), ("src/models.py", "method", "to_dict"), ("src/auth.py", "function", "validate"), ("src/check.py", "function", "check"), ("src/verify.py", "function", "verify"), ("src/unused.py", "function", "orphan_func"), ("lib/handler.ts", "function", "handler"), ("lib/process.ts", "function", "process")])}) SELECT file_path, label, name FROM s""")
+@query(f"""WITH {_LINES} SELECT path AS file_path, label, name FROM sy UNION ALL SELECT path, 'class_attribute', regexp_extract(t, '^    ([a-z_]+): [a-z]+ = ', 1) FROM ln WHERE regexp_matches(t, '^    [a-z_]+: [a-z]+ = ')""")
 def python_symbols(spark, sf_dir):
-    """Symbols of a small repository."""
+    """Symbols of a small repository; in SQL, lines that begin a definition."""
     return indexing.symbol_rows(indexing.parse(sample_sources(spark))).select("file_path", "label", "name")
 
 
-@query(f"""WITH c(src, dst, confidence) AS ({values([("function:src/auth.py:validate", "function:src/check.py:check", 1.0), ("function:src/check.py:check", "function:src/verify.py:verify", 1.0), ("function:lib/handler.ts:handler", "function:lib/process.ts:process", 1.0)])}) SELECT src, dst, CAST(confidence AS DOUBLE) AS confidence FROM c WHERE dst NOT LIKE '%:process'""")
+@query(f"""WITH {_LINES}, cl AS (SELECT path, n, unnest(regexp_extract_all(t, '([a-z]+)\\(', 1)) AS callee FROM ln WHERE (path, n) NOT IN (SELECT path, n FROM df)),
+fr AS (SELECT cl.path, cl.callee, arg_max(sy.label || ':' || sy.path || ':' || sy.full_name, sy.n) AS src FROM cl JOIN sy ON sy.path = cl.path AND sy.n < cl.n AND sy.label <> 'class' GROUP BY cl.path, cl.n, cl.callee),
+im AS (SELECT path, t FROM ln WHERE regexp_matches(t, '(^from|^import) '))
+SELECT DISTINCT src, sy.label || ':' || sy.path || ':' || sy.full_name AS dst, CASE WHEN sy.path = fr.path OR EXISTS (SELECT 1 FROM im WHERE im.path = fr.path AND regexp_matches(im.t, '\\b' || fr.callee || '\\b')) THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS confidence
+FROM fr JOIN sy ON sy.name = fr.callee AND sy.label = 'function'""")
 def index_calls(spark, sf_dir):
-    """The whole index build of a small repository: its call edges (a call of the listed name process makes none)."""
+    """The whole index build of a small repository: its call edges (a call of print makes none); in SQL, names before a bracket, joined to the definitions."""
     return indexing.build(sample_sources(spark)).edges.where("rel_type = 'calls'").select("src", "dst", "confidence")
 
 
@@ -283,12 +296,15 @@ def health_score(spark, sf_dir):
     return analysis.health(*code_like(spark, sf_dir))
 
 
-_PATHS = ["src/a.py", "node_modules/x.js", "web/App.tsx", "pkg.egg-info/y.py", "build/z.py", "docs/keep.py", "docs/drop.py", "lib/t.min.js", "lib/t.mjs", "README.md", "a/tests/t.py", "conftest.py", "test_x/b.py", "attests/c.py"]
+_PATHS = ["src/a.py", "node_modules/x.js", "web/App.tsx", "pkg.egg-info/y.py", "build/z.py", "docs/keep.py", "docs/drop.py", "lib/t.min.js", "lib/t.mjs", "README.md", "a/tests/t.py", "conftest.py", "test_x/b.py", "attests/c.py", "vendor/keep.py", "target/keep.ts", "env/keep.py", ".env/drop.py", "x/.eggs/drop.py", "htmlcov/drop.js", "a/lib.so", "a/b.js.map", "c.bundle.js", "uv.lock", "egg-info/drop.py", "a/UPPER.PY", "a/mod.pyo", "dist.py", "distx/keep.py"]
+#: Names and endings of ignored parts of a path, as the rules state them.
+_IGNORED_NAMES = "node_modules __pycache__ .git .venv venv .env dist build .idea .vscode .mypy_cache .pytest_cache .ruff_cache .tox egg-info .eggs coverage htmlcov .DS_Store .coverage package-lock.json yarn.lock uv.lock poetry.lock".split()
+_IGNORED_ENDS = ".egg-info .pyc .pyo .so .dylib .min.js .bundle.js .map".split()
 
 
-@query(f"""WITH p(path) AS ({values([(x,) for x in _PATHS])}), e AS (SELECT path, lower(regexp_extract(path, '(\\.[^./]+)$', 1)) AS ext, string_split(path, '/') AS s FROM p)
+@query(f"""WITH p(path) AS ({values([(x,) for x in _PATHS])}), e AS (SELECT path, regexp_extract(path, '(\\.[^./]+)$', 1) AS ext, string_split(path, '/') AS s FROM p)
 SELECT path, CASE ext WHEN '.py' THEN 'python' WHEN '.ts' THEN 'typescript' WHEN '.tsx' THEN 'tsx' WHEN '.js' THEN 'javascript' WHEN '.jsx' THEN 'javascript' WHEN '.mjs' THEN 'javascript' WHEN '.cjs' THEN 'javascript' END AS language,
-(regexp_matches(path, '(^|/)(node_modules|build)(/|$)') OR regexp_matches(path, '\\.egg-info(/|$)') OR ends_with(path, '.min.js') OR (starts_with(path, 'docs/') AND path <> 'docs/keep.py')) AS ignored,
+(list_has_any(s, {_IGNORED_NAMES}) OR len(list_filter(s, lambda x: len(list_filter({_IGNORED_ENDS}, lambda e: ends_with(x, e))) > 0)) > 0 OR (starts_with(path, 'docs/') AND path <> 'docs/keep.py')) AS ignored,
 (list_has_any(s, ['tests', 'test']) OR regexp_matches(path, '(^|/)test_') OR ends_with(path, 'conftest.py')) AS is_test FROM e""")
 def file_rules(spark, sf_dir):
     """Languages, ignore rules with an ignore file, and test files."""
@@ -345,7 +361,7 @@ def durations(spark, sf_dir):
 @query(f"""WITH {_FIXTURE} SELECT s.id, s.name, s.file_path, 'direct' AS reach FROM s WHERE false""")
 def test_impact_comments(spark, sf_dir):
     """Hunks of comments and docstrings alone reach no test."""
-    text = '"""Doc."""\n\n\ndef validate():\n    # why\n    """Doc\n    more."""\n    return 1\n'
-    sources = spark.createDataFrame([("src/auth.py", text, "python")], "path string, content string, language string")
-    hunks = spark.createDataFrame([("src/auth.py", 1, 2), ("src/auth.py", 5, 7)], "file_path string, start long, end long")
+    text = '"""Doc."""\n\n\ndef hoist():\n    # why\n    """Doc\n    more."""\n    return 1\n'
+    sources = spark.createDataFrame([("cargo/crane.py", text, "python")], "path string, content string, language string")
+    hunks = spark.createDataFrame([("cargo/crane.py", 1, 2), ("cargo/crane.py", 5, 7)], "file_path string, start long, end long")
     return analysis.test_impact(_symbols(spark), spark.createDataFrame(CALL_EDGES, "src string, dst string"), analysis.executable_hunks(hunks, sources))

@@ -190,26 +190,44 @@ def communities_propagated(spark, sf_dir):
     return communities.communities(_weighted(spark, sf_dir), "propagation")
 
 
-@query()
+# flows by a queue: each step takes the next node of a flow and adds its targets
+_FLOWS = f"""{_EDGES}, tg AS (SELECT src, list(dst ORDER BY confidence DESC, dst) AS targets FROM e GROUP BY src),
+w(entry, steps, depths, pos) AS (SELECT s_suppkey, [s_suppkey], [0], 1 FROM supplier UNION ALL
+  SELECT entry, list_concat(steps, fresh), list_concat(depths, list_transform(fresh, lambda x: depths[pos] + 1)), pos + 1
+  FROM (SELECT w.*, list_slice(list_filter(coalesce(tg.targets, []), lambda x: NOT list_contains(w.steps, x)), 1, greatest(0, least(3, 25 - len(w.steps)))) AS fresh FROM w LEFT JOIN tg ON tg.src = w.steps[w.pos] WHERE w.pos <= len(w.steps) AND w.depths[w.pos] < 6)),
+fl AS (SELECT entry, arg_max(steps, pos) AS steps FROM w GROUP BY entry)"""
+
+
+def _flows(spark, sf_dir):
+    return flows.trace_flows(_supplier_graph(spark, sf_dir), tables.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")))
+
+
+@query(f"""WITH RECURSIVE {_FLOWS} SELECT entry, array_to_string(steps, ' ') AS steps FROM fl""")
 def flow_trace(spark, sf_dir):
     """The bounded flow from each supplier."""
-    entries = tables.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
-    return flows.trace_flows(_supplier_graph(spark, sf_dir), entries)
+    return _flows(spark, sf_dir).select("entry", F.array_join(F.col("steps").cast("array<string>"), " ").alias("steps"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_FLOWS}, so AS (SELECT steps, row_number() OVER (ORDER BY len(steps) DESC, entry) AS k FROM fl),
+d(k, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[][]) UNION ALL SELECT so.k, CASE WHEN len(list_filter(d.kept, lambda f: len(list_intersect(f, so.steps)) > 0.5 * least(len(f), len(so.steps)))) = 0 THEN list_append(d.kept, so.steps) ELSE d.kept END FROM d JOIN so ON so.k = d.k + 1),
+u AS (SELECT unnest(arg_max(kept, k)) AS steps FROM d) SELECT steps[1] AS entry, array_to_string(steps, ' ') AS steps FROM u WHERE len(steps) > 1""")
 def flow_dedup(spark, sf_dir):
     """The flows of all suppliers that greedy selection keeps."""
-    entries = tables.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
-    return flows.dedup_flows(flows.trace_flows(_supplier_graph(spark, sf_dir), entries))
+    return flows.dedup_flows(_flows(spark, sf_dir)).select("entry", F.array_join(F.col("steps").cast("array<string>"), " ").alias("steps"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_FLOWS}, x AS (SELECT entry, unnest(steps) AS id, unnest(range(1, len(steps) + 1)) AS n FROM fl)
+SELECT entry, count(*) AS step_count, array_to_string((list(s_name ORDER BY n))[1:4], ' → ') AS label, CASE WHEN count(DISTINCT s_nationkey) = 1 THEN 'intra_community' ELSE 'cross_community' END AS kind FROM x JOIN supplier ON s_suppkey = id GROUP BY entry""")
 def flow_kind(spark, sf_dir):
-    """Kinds and labels of the flows of all suppliers, nations as communities."""
+    """Kinds and labels of the flows of all suppliers, nations as communities."""
     suppliers = tables.table(spark, sf_dir, "supplier")
-    found = flows.trace_flows(_supplier_graph(spark, sf_dir), suppliers.select(F.col("s_suppkey").alias("id")))
-    return flows.flow_kinds(found, suppliers.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), suppliers.select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("community")))
+    return flows.flow_kinds(_flows(spark, sf_dir), suppliers.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), suppliers.select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("community")))
+
+
+@query(f"""WITH RECURSIVE {_FLOWS} SELECT unnest(steps) AS src, 'process:' || entry AS dst, unnest(range(0, len(steps))) AS step_number FROM fl""")
+def flow_steps(spark, sf_dir):
+    """The edges from each step to its flow, numbered from 0."""
+    return flows.process_rows(_flows(spark, sf_dir))
 
 
 @query("""SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total, count(*) AS n FROM events GROUP BY 1""")
@@ -249,8 +267,11 @@ def stream_sessions(spark, sf_dir):
     return changes.quiet_sessions(events, "user_id", "ts", "1 hour").select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
-@query("""WITH x AS (SELECT event_id, user_id, ts, count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW) AS n FROM events) SELECT event_id, n <= 3 AS allowed FROM x""")
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+s(event_id, user_id, k, kept, allowed) AS (SELECT event_id, user_id, k, [t], true FROM e WHERE k = 1 UNION ALL
+SELECT event_id, user_id, k, CASE WHEN len(recent) < 3 THEN list_append(recent, t) ELSE recent END, len(recent) < 3 FROM (SELECT e.*, list_filter(s.kept, lambda x: e.t - x < 86400000000) AS recent FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1))
+SELECT event_id, allowed FROM s""")
 def rate_limit(spark, sf_dir):
-    """At most three events a user and sliding day."""
+    """At most three allowed events a user and sliding day; refused ones don't count."""
     events = tables.table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("session"), "ts")
-    return changes.rate_limited(events, 3, 86400).select("event_id", "allowed")
+    return changes.rate_limited(events, 3, 86400, tie="event_id").select("event_id", "allowed")

@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 
 #: Fixed values.
 LANGUAGES = {".py": "python", ".ts": "typescript", ".tsx": "tsx", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript"}
-IGNORED = ["node_modules", "__pycache__", ".git", ".venv", "venv", "env", "dist", "build", ".idea", ".vscode", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox", "coverage", ".next", "target", "vendor", "site-packages"]
-IGNORED_GLOBS = ["*.egg-info", "*.min.js", "*.pyc"]
+IGNORED = [
+    "node_modules", "__pycache__", ".git", ".venv", "venv", ".env", "dist", "build", ".idea", ".vscode", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox", "egg-info", ".eggs", "coverage", "htmlcov",
+    ".DS_Store", ".coverage", "package-lock.json", "yarn.lock", "uv.lock", "poetry.lock",
+]
+IGNORED_GLOBS = ["*.egg-info", "*.pyc", "*.pyo", "*.so", "*.dylib", "*.min.js", "*.bundle.js", "*.map"]
 MAX_BYTES = 5 << 20
 
 
@@ -49,8 +52,8 @@ def ignored(path: Column, gitignore: str = "") -> Column:
 
 
 def language(path: Column) -> Column:
-    """By extension; null if unknown."""
-    ext = F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
+    """By extension, as it is written; null if unknown."""
+    ext = F.regexp_extract(path, r"(\.[^./]+)$", 1)
     return F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])[ext]
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SMALL_CHANGE, FLUSH_SIZE, FLUSH_AGE, QUIET = 3, 200, 5.0, 1.0
 
@@ -81,7 +84,30 @@ def apply_batches(events: DataFrame, handle: Callable[[DataFrame, bool], None],
     return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def rate_limited(requests: DataFrame, limit: int = 200, seconds: int = 60) -> DataFrame:
-    """``requests`` (session, ts) with ``allowed``: at most ``limit`` earlier ones within the window of the session."""
-    w = Window.partitionBy("session").orderBy(F.col("ts").cast("timestamp").cast("long")).rangeBetween(-(seconds - 1), 0)
-    return requests.withColumn("allowed", F.count("*").over(w) <= limit)
+def rate_limited(requests: DataFrame, limit: int = 200, seconds: int = 60, tie: str | None = None) -> DataFrame:
+    """``requests`` (session, ts) with ``allowed``: fewer than ``limit`` allowed ones of the session in the ``seconds`` before.
+
+    Refused requests don't count, so the answer to one depends on those to all
+    before it: sessions are streamed in order of time (then of ``tie``), and
+    only the times of the last allowed ones are held, however many there are.
+    """
+    own = requests.select("*", F.unix_micros(F.col("ts").cast("timestamp")).alias("_at"), F.col("session").alias("_of"))
+    order = ["_of", "_at", *([tie] if tie else [])]
+    window = seconds * 1_000_000
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, recent = None, deque()
+        for batch in batches:
+            allowed = []
+            for of, at in zip(batch.column(batch.num_columns - 1).to_pylist(), batch.column(batch.num_columns - 2).to_pylist()):
+                if of != session:
+                    session, recent = of, deque()
+                while recent and at - recent[0] >= window:
+                    recent.popleft()
+                allowed.append(len(recent) < limit)
+                if allowed[-1]:
+                    recent.append(at)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(allowed, pa.bool_())], names=[*batch.schema.names[:-2], "allowed"])
+
+    schema = T.StructType([*requests.schema.fields, T.StructField("allowed", T.BooleanType())])
+    return own.repartition("_of").sortWithinPartitions(*order).mapInArrow(run, schema)

@@ -54,20 +54,20 @@ def test_git_log_lines(spark):
 def test_index_and_store(spark, tmp_path):
     graph = indexing.build(code_queries.sample_sources(spark))
     nodes = {r.id: r for r in graph.nodes.collect()}
-    assert sum(r.label == "file" for r in nodes.values()) == 8
-    assert nodes["function:src/unused.py:orphan_func"].is_dead and not nodes["function:src/verify.py:verify"].is_dead
+    assert sum(r.label == "file" for r in nodes.values()) == 6
+    assert nodes["function:port/lantern.py:douse"].is_dead and not nodes["function:port/berth.py:spare"].is_dead
     kinds = {r.rel_type for r in graph.edges.select("rel_type").distinct().collect()}
     assert {"contains", "defines", "imports", "calls", "uses_type"} <= kinds
     store = GraphStore(spark, str(tmp_path / "graph"))
     store.write(graph.nodes, graph.edges)
     store.check_version()
-    assert store.nodes().count() == len(nodes) and store.node("function:src/verify.py:verify").count() == 1
-    inbound = store.inbound_from_elsewhere("src/verify.py").count()
-    store.delete_files(["src/verify.py"])
-    assert store.node("function:src/verify.py:verify").count() == 0 and inbound > 0
+    assert store.nodes().count() == len(nodes) and store.node("function:port/berth.py:spare").count() == 1
+    inbound = store.inbound_from_elsewhere("port/berth.py").count()
+    store.delete_files(["port/berth.py"])
+    assert store.node("function:port/berth.py:spare").count() == 0 and inbound > 0
     store.delete_edges("calls")
     assert store.edges().where("rel_type = 'calls'").count() == 0
-    store.upsert(graph.nodes.where("file_path = 'src/verify.py'"), graph.edges.where("rel_type = 'calls'"))
+    store.upsert(graph.nodes.where("file_path = 'port/berth.py'"), graph.edges.where("rel_type = 'calls'"))
     assert store.nodes().count() == len(nodes)
 
 
@@ -76,16 +76,16 @@ def test_reindex(spark, tmp_path):
     graph = indexing.build(sources)
     store = GraphStore(spark, str(tmp_path / "graph"))
     store.write(graph.nodes, graph.edges)
-    text = "def verify(obj) -> bool:\n    return extra(obj)\n\n\ndef extra(obj):\n    return obj\n"
-    changed = spark.createDataFrame([("src/verify.py", text, "python", 7)], "path string, content string, language string, ord long")
-    indexing.reindex(store, changed, ["src/unused.py"], small=True)
+    text = "class Berth:\n    depth = 9\n\n\ndef spare(depth: int, draught: int) -> int:\n    return extra(depth)\n\n\ndef extra(depth):\n    return depth\n"
+    changed = spark.createDataFrame([("port/berth.py", text, "python", 7)], "path string, content string, language string, ord long")
+    indexing.reindex(store, changed, ["port/lantern.py"], small=True)
     calls = {(r.src, r.dst) for r in store.edges().where("rel_type = 'calls'").collect()}
-    assert ("function:src/check.py:check", "function:src/verify.py:verify") in calls  # restored
-    assert ("function:src/verify.py:verify", "function:src/verify.py:extra") in calls
-    assert store.nodes().where("file_path = 'src/unused.py'").count() == 0
-    assert not store.node("function:src/verify.py:extra").first().is_dead
+    assert ("function:port/roster.py:moor", "function:port/berth.py:spare") in calls  # restored
+    assert ("function:port/berth.py:spare", "function:port/berth.py:extra") in calls
+    assert store.nodes().where("file_path = 'port/lantern.py'").count() == 0
+    assert not store.node("function:port/berth.py:extra").first().is_dead
     indexing.reindex(store, changed, [])
-    whole = indexing.build(sources.where("path not in ('src/verify.py', 'src/unused.py')").unionByName(changed))
+    whole = indexing.build(sources.where("path not in ('port/berth.py', 'port/lantern.py')").unionByName(changed))
     plain = lambda df: {(r.rel_type, r.src, r.dst) for r in df.where("rel_type in ('calls', 'imports', 'contains', 'uses_type', 'defines')").collect()}
     assert plain(store.edges()) == plain(whole.edges)
 

@@ -39,11 +39,20 @@ def test_watch_applies_a_stream(spark, tmp_path):
     store = GraphStore(spark, str(tmp_path / "graph"))
     store.write(graph.nodes, graph.edges)
     schema = "path string, change string, arrival_ts double"
-    spark.createDataFrame([("src/unused.py", "modified", 1.0), ("src/unused.py", "deleted", 2.0)], schema).write.parquet(str(tmp_path / "in"))
+    spark.createDataFrame([("port/lantern.py", "modified", 1.0), ("port/lantern.py", "deleted", 2.0)], schema).write.parquet(str(tmp_path / "in"))
     query = watch(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), store, lambda paths: sources.where(F.col("path").isin(paths)), str(tmp_path / "ck"))
     query.awaitTermination(300)
-    assert store.nodes().where("file_path = 'src/unused.py'").count() == 0 and store.nodes().where("file_path = 'src/check.py'").count() > 0
-    commits = spark.createDataFrame([(f"c{i}", f) for i in range(4) for f in ("src/auth.py", "src/check.py")], "commit_id string, file_path string")
+    assert store.nodes().where("file_path = 'port/lantern.py'").count() == 0 and store.nodes().where("file_path = 'port/roster.py'").count() > 0
+    commits = spark.createDataFrame([(f"c{i}", f) for i in range(4) for f in ("port/bulletin.py", "port/roster.py")], "commit_id string, file_path string")
     files = sources.select("path")
     assert commit_changed(store, "h1", commits, files) and not commit_changed(store, "h1", commits, files)
     assert store.edges().where("rel_type = 'coupled_with'").count() == 1
+
+
+def test_rate_limit_counts_allowed_requests_only(spark):
+    rows = [("a", t) for t in (0, 1, 30, 59, 61, 62, 90)] + [("b", 5), (None, 0), (None, 1), (None, 2)]
+    df = spark.createDataFrame(rows, "session string, at long").withColumn("ts", F.timestamp_seconds("at"))
+    got = {(r.session, r["at"]): r.allowed for r in changes.rate_limited(df, 2, 60).collect()}
+    assert [got["a", t] for t in (0, 1, 30, 59, 61, 62, 90)] == [True, True, False, False, True, True, False]
+    assert got["b", 5] and [got[None, t] for t in (0, 1, 2)] == [True, True, False]
+    assert changes.rate_limited(df.where("false")).count() == 0
