@@ -13,8 +13,9 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ["assign", "access", "hex", "markov"]
-#: What the Markov models judge: long runs with a letter and a digit.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}"
+#: What the Markov models judge: runs of 16 characters and more. They and no other rule decide.
+LEAST_RUN = 16
+CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"
 #: Parts of ordinary identifiers.
 PARTS = (
@@ -80,10 +81,11 @@ def _spans(text: Column, pattern: str, kind: str, keep) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: list[tuple[str, bool]] | None = None, least_mean: float = 0.75) -> DataFrame:
     """``docs`` with ``base`` and ``markov``: arrays of (start, end, rank, found), by start, in code points, end exclusive.
 
-    base: the patterns' spans. markov: candidates that no base span overlaps,
-    whose mean log-likelihood ratio a character, of the model of random strings
-    over that of ordinary identifiers, is at least ``least_mean``. Null counts
-    as empty; no text is cut; repeated rows each give the same; columns named
+    base: the patterns' spans. markov: of runs of letters, digits and ``+/_=-``,
+    the parts outside base spans that have LEAST_RUN characters or more and whose
+    mean log-likelihood ratio a character, of the model of random strings over
+    that of ordinary identifiers, is at least ``least_mean``. Null counts as
+    empty, no rows give no rows; no text is cut; repeated rows each give the same; columns named
     base and markov are replaced.
     """
     n = len(ALPHABET)
@@ -97,8 +99,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
     ratio = lambda m: F.aggregate(F.sequence(F.lit(2), F.length(m)), F.lit(0.0), lambda acc, i: acc + F.element_at(table, (place(m, i - 1) - 1) * n + place(m, i))) / (F.length(m) - 1)
     base = F.array_sort(F.concat(_spans(text, ASSIGN, "assign", value), _spans(text, ACCESS, "access", everything), _spans(text, HEX, "hex", everything)))
     marked = own.withColumn("base", base)
-    free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return marked.withColumn("markov", F.filter(_spans(text, CANDIDATE, "markov", lambda m: ratio(m) >= least_mean), free))
+
+    def outside(s: Column) -> Column:
+        """The parts of a candidate between base spans."""
+        part = lambda low, high: F.struct(low.alias("start"), high.alias("end"), s["rank"].alias("rank"), F.substring(s["found"], low - s["start"] + 1, high - low).alias("found"))
+        more = lambda acc, upto: F.when(upto > acc["at"], F.concat(acc["parts"], F.array(part(acc["at"], upto)))).otherwise(acc["parts"])
+        met = F.filter("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+        nothing = F.struct(s["start"].alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,rank:int,found:string>>)").alias("parts"))
+        return F.aggregate(met, nothing, lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), more(acc, b["start"]).alias("parts")), lambda acc: more(acc, s["end"]))
+
+    parts = F.flatten(F.transform(_spans(text, CANDIDATE, "markov", everything), outside))
+    return marked.withColumn("markov", F.filter(parts, lambda p: F.when(F.length(p["found"]) >= LEAST_RUN, ratio(p["found"]) >= least_mean).otherwise(False)))
 
 
 def spelled(spans: Column) -> Column:
