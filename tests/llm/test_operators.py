@@ -252,14 +252,38 @@ def base_spans(text):
     return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(out))
 
 
+MARKOV = secrets.log_ratios(secrets.labelled_samples())
+
+
+def brute_markov(text, base):
+    """Spans by plain Python: runs, without the base spans, judged pair by pair."""
+    taken = [tuple(map(int, x.split(":")[1:])) for x in base.split(",") if x]
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text):
+        if len(m[0]) < 16:
+            continue
+        free = [i for i in range(m.start(), m.end()) if not any(a <= i < b for a, b in taken)]
+        while free:
+            n = next((k for k in range(1, len(free)) if free[k] != free[k - 1] + 1), len(free))
+            part, free = text[free[0] : free[n - 1] + 1], free[n:]
+            start = m.start() if n == len(m[0]) else text.index(part, m.start())
+            at = [secrets.ALPHABET.index(c) for c in part]
+            if len(part) >= 16 and sum(round(MARKOV[a * len(secrets.ALPHABET) + b], 4) for a, b in zip(at, at[1:])) / (len(part) - 1) >= 0.75:
+                out.append(f"markov:{start}:{start + len(part)}")
+    return ",".join(out)
+
+
 def test_secrets(spark, odd, empty):
     random_one = "kJ8sD0qLx2Vb7NzP4tRw9YcM"
-    more = ["token: token = abcdefgh", "secret='x' api_key=\"sk.live-1\" Passwd  :  hunter2!", "PASSWORD=abcdef AKIA123 AKIA" + "A" * 40, "é" * 30 + SECRET + "z" + SECRET, "my_long_function_name_2 " + random_one + " end", "token=token=abcdefg apikey:", "ſecret=abcdefg"]
+    more = ["token: token = abcdefgh", "secret='x' api_key=\"sk.live-1\" Passwd  :  hunter2!", "PASSWORD=abcdef AKIA123 AKIA" + "A" * 40, "é" * 30 + SECRET + "z" + SECRET, "my_long_function_name_2 " + random_one + " end", "token=token=abcdefg apikey:", "ſecret=abcdefg", "AKIA" + "Q7" * 8 + "/" + random_one + "x0Kd83", "x RqZtVbXwKjHgFdSaPoMn y", "configuration_manager_factory 2024/01/02/annual-report-summary", "jq8Xv2Lk9Zr4Tn7w"]
     df = odd.select("doc_id", "text").union(spark.createDataFrame(list(enumerate(more, 100)), "doc_id long, text string"))
     for r in secrets.scan(df).select("doc_id", "text", secrets.spelled(F.col("base")).alias("b"), secrets.spelled(F.col("markov")).alias("m")).collect():
         assert r.b == base_spans(r.text or ""), r.text
         if r.doc_id == 104:
             assert r.m == f"markov:24:{24 + len(random_one)}"
+        found = {107: "markov:20:51", 108: "markov:2:22", 109: "", 110: "markov:0:16"}
+        assert r.m == found.get(r.doc_id, r.m), (r.doc_id, r.m)
+        assert brute_markov(r.text or "", r.b) == r.m
     masked = {r.doc_id: r for r in secrets.redact(odd).collect()}
     assert masked[6].text == "ümlaut [SECRET]' \n [SECRET] [SECRET]" and masked[6].n_chars == len(masked[6].text)
     assert masked[0].text == TEXTS[0][1] and masked[1].text is None and secrets.redact(odd).columns == odd.columns
