@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from .storage import drop, materialize
 
 
-def _large(edges: DataFrame) -> DataFrame:
-    """Hang each vertex's larger neighbours on the smallest vertex it knows."""
+def _large(edges: DataFrame, rows: int) -> tuple[DataFrame, str]:
+    """Hang each vertex's larger neighbours on the smallest vertex it knows.
+
+    The smallest ones are a table of their own (whose path is returned), so that
+    both sides of the join are plain exchanges, and a hub is split.
+    """
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("lu"), F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, F.col("u") == F.col("lu")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least, path = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("lu"), F.least("u", "m").alias("m")), "least", rows)
+    return both.where("v > u").join(least, F.col("u") == F.col("lu")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), path
 
 
 def _small(edges: DataFrame) -> DataFrame:
@@ -40,9 +44,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     for _ in range(max_rounds):
         if not state[0]:
             break
-        new, new_path = materialize(_small(_large(now)), "edges", 2 * state[0])
+        hung, least_path = _large(now, 2 * state[0])
+        new, new_path = materialize(_small(hung), "edges", 2 * state[0])
         after = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         drop(spark, path)
+        drop(spark, least_path)
         now, path = new, new_path
         if after == state:
             break

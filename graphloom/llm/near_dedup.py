@@ -335,7 +335,7 @@ def classified(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
     if odd:
         keys = with_keys(base, width).join(members.where("rep is null").select("set_key", "cluster", "vertex"), "set_key")
         texts = texts.union(keys.groupBy("cluster", "vertex").agg(F.min("text").alias("text")))
-    held, _ = materialize(shingled(texts, width), "shingles", 60 * clusters.count())
+    held, _ = materialize(shingled(texts, width), "shingles", 60 * n_sets)
     classes, _ = materialize(classes_within(held, keyed, percent), "classes", n_sets)
     return Classified(marks, plain.join(classes, "vertex", "left").select("set_key", "vertex", "least", F.coalesce("class", "vertex").alias("root")), odd)
 
