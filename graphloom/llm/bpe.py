@@ -4,11 +4,13 @@ The library splits a text into pieces before it merges bytes, and never
 merges across pieces. So the pieces of many texts are found with numpy, each
 distinct one is encoded once by the library, and the ids are put together.
 Texts with code points above U+024F, apostrophes or the mark of special
-tokens go to the library whole.
+tokens go to the library whole, and so do all where the vocabulary's file names
+another splitting rule than the one known here.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -39,6 +41,15 @@ def beyond(text: str) -> bool:
         return _BEYOND.search(text) is not None
 
 
+def splits_as_known(path: str) -> bool:
+    """Whether a tokenizer's file has the splitting rule that is written out here: byte-level BPE, nothing normalised, special tokens in ``<|``."""
+    with open(path, encoding="utf-8") as f:
+        held = json.load(f)
+    rule, model = held.get("pre_tokenizer") or {}, held.get("model") or {}
+    plain = rule.get("type") == "ByteLevel" and not rule.get("add_prefix_space") and rule.get("use_regex", True) and held.get("normalizer") is None
+    return bool(plain and model.get("type") == "BPE" and not model.get("dropout") and not model.get("ignore_merges") and all(t["content"].startswith("<|") for t in held.get("added_tokens") or []))
+
+
 class Rows:
     """Row numbers by 64-bit key, by open addressing: whole arrays are looked up and put in at once."""
 
@@ -75,7 +86,7 @@ class PieceEncoder:
     """Keeps the ids of up to ``most`` distinct pieces; when full, the half that was met most often stays."""
 
     def __init__(self, path: str, most: int = 600_000):
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.most, self.known_rule = Tokenizer.from_file(path), most, splits_as_known(path)
         spelled = self.tokenizer.get_vocab()
         self.widths = np.zeros(max(spelled.values()) + 1, np.int64)
         self.widths[list(spelled.values())] = [len(t) for t in spelled]  # one character a byte
@@ -123,7 +134,7 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each has."""
-        whole = [i for i, t in enumerate(texts) if "'" in t or "<|" in t or not t.isascii() and beyond(t)]
+        whole = [i for i, t in enumerate(texts) if not self.known_rule or "'" in t or "<|" in t or not t.isascii() and beyond(t)]
         direct = dict(zip(whole, (x.ids for x in self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)))) if whole else {}
         ids, counts = self._pieces([("" if i in direct else t) for i, t in enumerate(texts)] if direct else texts)
         if not direct:

@@ -27,6 +27,15 @@ def test_pieces_equal_the_library(some):
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [PLAIN.encode(t, add_special_tokens=False).ids for t in some]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_another_splitting_rule_goes_to_the_library(name):
+    path = public_tokenizers.path(name)
+    some = ["Hello  world, 42 times!\n\tÜber  été", "", "it's <|endoftext|> 日本", "a" * 50 + " b"]
+    ids, counts = PieceEncoder(path, 200).encode(some)
+    plain = Tokenizer.from_file(path)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [plain.encode(t, add_special_tokens=False).ids for t in some]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.text(st.sampled_from("aB é\n,\t9"), max_size=20), max_size=6))
 def test_words_of_rows(some):
