@@ -195,7 +195,7 @@ _FLOWS = f"""{_EDGES}, tg AS (SELECT src, list(dst ORDER BY confidence DESC, dst
 w(entry, steps, depths, pos) AS (SELECT s_suppkey, [s_suppkey], [0], 1 FROM supplier UNION ALL
   SELECT entry, list_concat(steps, fresh), list_concat(depths, list_transform(fresh, lambda x: depths[pos] + 1)), pos + 1
   FROM (SELECT w.*, list_slice(list_filter(coalesce(tg.targets, []), lambda x: NOT list_contains(w.steps, x)), 1, greatest(0, least(3, 25 - len(w.steps)))) AS fresh FROM w LEFT JOIN tg ON tg.src = w.steps[w.pos] WHERE w.pos <= len(w.steps) AND w.depths[w.pos] < 6)),
-fl AS (SELECT entry, arg_max(steps, pos) AS steps FROM w GROUP BY entry)"""
+fl AS MATERIALIZED (SELECT entry, arg_max(steps, pos) AS steps FROM w GROUP BY entry)"""
 
 
 def _flows(spark, sf_dir):
@@ -208,7 +208,7 @@ def flow_trace(spark, sf_dir):
     return _flows(spark, sf_dir).select("entry", F.array_join(F.col("steps").cast("array<string>"), " ").alias("steps"))
 
 
-@query(f"""WITH RECURSIVE {_FLOWS}, so AS (SELECT steps, row_number() OVER (ORDER BY len(steps) DESC, entry) AS k FROM fl),
+@query(f"""WITH RECURSIVE {_FLOWS}, so AS MATERIALIZED (SELECT steps, row_number() OVER (ORDER BY len(steps) DESC, entry) AS k FROM fl),
 d(k, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[][]) UNION ALL SELECT so.k, CASE WHEN len(list_filter(d.kept, lambda f: len(list_intersect(f, so.steps)) > 0.5 * least(len(f), len(so.steps)))) = 0 THEN list_append(d.kept, so.steps) ELSE d.kept END FROM d JOIN so ON so.k = d.k + 1),
 u AS (SELECT unnest(arg_max(kept, k)) AS steps FROM d) SELECT steps[1] AS entry, array_to_string(steps, ' ') AS steps FROM u WHERE len(steps) > 1""")
 def flow_dedup(spark, sf_dir):
