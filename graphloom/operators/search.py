@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,34 +24,62 @@ def inverted_index(docs: DataFrame, id_col: str, text: Column, partition: Column
     return postings, split.groupBy("part").agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
 
 
-def bm25(docs: DataFrame, id_col: str, text: Column, query: str | Sequence[str], limit: int, partition: Column | None = None) -> DataFrame:
-    """``(id, score)``: the ``limit`` best of each partition; document frequencies and lengths hold within it.
+def query_words(query: str | Sequence[str]) -> list[str]:
+    return re.findall(r"[^\W_]+", query.lower()) if isinstance(query, str) else [w.lower() for w in query]
 
-    The index is restricted to the query's terms before anything is shuffled.
-    """
-    import re
 
-    words = re.findall(r"[^\W_]+", query.lower()) if isinstance(query, str) else [w.lower() for w in query]
-    part = F.lit("") if partition is None else partition
-    split = docs.select(part.alias("part"), F.col(id_col).alias("id"), tokens(text).alias("t")).withColumn("length", F.size("t"))
-    stats = split.groupBy("part").agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
-    hits = split.select("part", "id", "length", F.explode(F.filter("t", lambda w: w.isin(words))).alias("term")).groupBy("part", "id", "length", "term").agg(F.count("*").alias("tf"))
+def ranked(hits: DataFrame, stats: DataFrame, limit: int | None, partitioned: bool) -> DataFrame:
+    """``(id, score)`` by BM25 from all postings of the query's terms: the ``limit`` best, of each partition if ``partitioned``; all for None."""
     df = hits.groupBy("part", "term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
     scored = hits.join(df, ["part", "term"]).join(stats, "part").groupBy("part", "id").agg(F.sum(weight).alias("score"))
-    if partition is None:
+    if limit is None:
+        return scored.select("id", "score")
+    if not partitioned:
         return scored.select("id", "score").orderBy(F.desc(F.round("score", 9)), "id").limit(limit)
     w = Window.partitionBy("part").orderBy(F.desc(F.round("score", 9)), "id")
     return scored.withColumn("r", F.row_number().over(w)).where(F.col("r") <= limit).select("id", "score")
 
 
-def search_nodes(nodes: DataFrame, query: str, limit: int) -> DataFrame:
-    """Full-text search of name, content and signature, an index a label; tests count half, functions and classes outside tests 1.2 times."""
-    kept = nodes.where(~F.col("label").isin("folder", "community", "process"))
-    # a name stands for itself four times, so that it outranks a mention in a longer text
-    text = F.concat_ws(" ", *(["name"] * 4), "content", "signature")
-    found = bm25(kept, "id", text, query, limit, F.col("label")).join(kept.select("id", "name", "file_path", "label", snippet().alias("snippet")), "id")
+def bm25(docs: DataFrame, id_col: str, text: Column, query: str | Sequence[str], limit: int | None, partition: Column | None = None) -> DataFrame:
+    """``(id, score)``: the ``limit`` best of each partition; document frequencies and lengths hold within it.
+
+    Reads the texts; the index is restricted to the query's terms before anything
+    is shuffled. ``bm25_stored`` answers from postings instead.
+    """
+    words = query_words(query)
+    part = F.lit("") if partition is None else partition
+    split = docs.select(part.alias("part"), F.col(id_col).alias("id"), tokens(text).alias("t")).withColumn("length", F.size("t"))
+    stats = split.groupBy("part").agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
+    hits = split.select("part", "id", "length", F.explode(F.filter("t", lambda w: w.isin(words))).alias("term")).groupBy("part", "id", "length", "term").agg(F.count("*").alias("tf"))
+    return ranked(hits, stats, limit, partition is not None)
+
+
+def bm25_stored(postings: DataFrame, stats: DataFrame, query: str | Sequence[str], limit: int | None, partitioned: bool = True) -> DataFrame:
+    """``bm25`` from ``inverted_index``; the terms are pushed into the scan of postings."""
+    return ranked(postings.where(F.col("term").isin(query_words(query))), stats, limit, partitioned)
+
+
+def searchable(nodes: DataFrame) -> tuple[DataFrame, Column]:
+    """The nodes that full-text search covers, and their text: a name stands for itself four times, so that it outranks a mention in a longer text."""
+    return nodes.where(~F.col("label").isin("folder", "community", "process")), F.concat_ws(" ", *(["name"] * 4), "content", "signature")
+
+
+def node_index(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``postings`` and ``stats`` of all searchable nodes, a part a label."""
+    kept, text = searchable(nodes)
+    return inverted_index(kept, "id", text, F.col("label"))
+
+
+def search_nodes(nodes: DataFrame, query: str, limit: int, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Full-text search of name, content and signature, an index a label; tests count half, functions and classes outside tests 1.2 times.
+
+    ``index`` is the stored ``node_index`` of the same nodes.
+    """
+    kept, text = searchable(nodes)
+    scored = bm25(kept, "id", text, query, limit, F.col("label")) if index is None else bm25_stored(*index, query, limit)
+    found = scored.join(kept.select("id", "name", "file_path", "label", snippet().alias("snippet")), "id")
     in_tests, testish = F.col("file_path").contains("/tests/"), F.col("file_path").contains("/test_")
     factor = F.when(in_tests | testish, 0.5).otherwise(1.0) * F.when(F.col("label").isin("function", "class") & ~in_tests, 1.2).otherwise(1.0)
     return found.withColumn("score", F.col("score") * factor).orderBy(F.desc("score"), "id").limit(limit)

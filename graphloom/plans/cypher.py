@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.schema import EDGES, NODES
+from graphloom.operators import search
 
 #: Words that are refused outside comments, and the longest query.
 WRITE_WORDS = re.compile(r"\b(DELETE|DROP|CREATE|SET|REMOVE|MERGE|DETACH|INSTALL|LOAD|COPY)\b", re.I)
@@ -134,13 +135,34 @@ class Parser:
                 value = self.expr()
                 self.need("AS")
                 out.append(Clause("unwind", value=value, var=self.name()))
+            elif self.take("CALL"):
+                out.append(self.procedure())
             elif self.take("WITH"):
                 out.append(self.projection("with"))
             elif self.take("RETURN"):
                 out.append(self.projection("return"))
                 return out
             else:
-                raise CypherError("expected MATCH, WITH, UNWIND or RETURN")
+                raise CypherError("expected MATCH, CALL, WITH, UNWIND or RETURN")
+
+    def procedure(self) -> Clause:
+        """CALL QUERY_FTS_INDEX(table, index, text) [YIELD node, score]."""
+        if self.name().upper() != "QUERY_FTS_INDEX":
+            raise CypherError("the only procedure is QUERY_FTS_INDEX")
+        self.need("(")
+        args = [self.expr()]
+        while self.take(","):
+            args.append(self.expr())
+        self.need(")")
+        if len(args) != 3 or any(a[0] not in ("lit", "par") for a in args):
+            raise CypherError("QUERY_FTS_INDEX takes a table, its index and a text")
+        if self.take("YIELD"):
+            names = [self.name()]
+            while self.take(","):
+                names.append(self.name())
+            if set(names) - {"node", "score"}:
+                raise CypherError("QUERY_FTS_INDEX yields node and score")
+        return Clause("call", value=args)
 
     def match(self, kind: str) -> Clause:
         c = Clause(kind, [self.path()])
@@ -335,8 +357,8 @@ def snake(label: str) -> str:
 class Translator:
     """Columns of a bound variable v are named ``v.field`` in the working table; values of WITH keep their own name."""
 
-    def __init__(self, nodes: DataFrame, edges: DataFrame, params: dict[str, Any]):
-        self.nodes, self.edges, self.params = nodes, edges, params
+    def __init__(self, nodes: DataFrame, edges: DataFrame, params: dict[str, Any], index: tuple[DataFrame, DataFrame] | None = None):
+        self.nodes, self.edges, self.params, self.index = nodes, edges, params, index
         self.kinds: dict[str, str] = {}
         self.table: DataFrame | None = None
         self.columns: set[str] = set()
@@ -431,6 +453,23 @@ class Translator:
             df = df.where(F.col(k) == self.column(v))
         return df.select(*[F.col(f).alias(f"{p.var}.{f}") for f in NODES.fieldNames()])
 
+    def search(self, args: list) -> None:
+        """Bind ``node`` and ``score`` to all full-text hits of one label; ORDER BY and LIMIT then take the best."""
+        if self.table is not None:
+            raise CypherError("CALL must come first")
+        table, index, text = (str(a[1] if a[0] == "lit" else self.params[a[1]]) for a in args)
+        if index != f"{table.lower()}_fts":
+            raise CypherError(f"no index {index} of {table}")
+        kept, words = search.searchable(self.nodes.where(F.col("label") == snake(table)))
+        if self.index is None:
+            hits = search.bm25(kept, "id", words, text, None, F.col("label"))
+        else:
+            postings, stats = self.index
+            hits = search.bm25_stored(postings.where(F.col("part") == snake(table)), stats, text, None)
+        node = kept.select(*[F.col(f).alias(f"node.{f}") for f in NODES.fieldNames()])
+        self.table = node.join(hits.select(F.col("id").alias("_hit"), "score"), F.col("`node.id`") == F.col("_hit")).drop("_hit")
+        self.kinds |= {"node": "node", "score": "value"}
+
     def edges_of(self, r: RelPattern) -> DataFrame:
         df = self.edges
         types = [t for t in r.types if t.lower() != "coderelation"]
@@ -625,6 +664,8 @@ class Translator:
         for c in clauses:
             if c.kind in ("match", "optional"):
                 self.match(c)
+            elif c.kind == "call":
+                self.search(c.value)
             elif c.kind == "unwind":
                 base = self.table if self.table is not None else self.nodes.sparkSession.range(1).select(F.lit(1).alias("_one"))
                 self.table, self.kinds[c.var] = base.withColumn(c.var, F.explode(self.column(c.value))), "value"
@@ -652,11 +693,11 @@ def _cosine(a: Column, b: Column) -> Column:
     return cosine(a, b)
 
 
-def cypher(text: str, nodes: DataFrame, edges: DataFrame, params: dict[str, Any] | None = None, most: int = MAX_LENGTH) -> DataFrame:
-    """The rows of a read-only query; columns are named by alias, else by the text of the expression."""
+def cypher(text: str, nodes: DataFrame, edges: DataFrame, params: dict[str, Any] | None = None, most: int = MAX_LENGTH, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """The rows of a read-only query; columns are named by alias, else by the text of the expression. ``index`` serves CALL QUERY_FTS_INDEX."""
     out = None
     for how, clauses in Parser(guard(text, most)).query():
-        part = Translator(nodes, edges, params or {}).run(clauses)
+        part = Translator(nodes, edges, params or {}, index).run(clauses)
         out = part if out is None else out.union(part)
         if how == "distinct":
             out = out.distinct()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.schema import as_edges, as_nodes, node_id
 from graphloom.operators import analysis, communities, coupling, dead_code, flows, intervals, resolve
 from graphloom.sources import python_extract, script_extract
-from graphloom.sources.storage import GraphStore, materialize
+from graphloom.sources.storage import GraphStore, materialize, replaced
 
 _SYMBOL = "array<struct<name:string,kind:string,start_line:bigint,end_line:bigint,content:string,signature:string,class_name:string,decorators:array<string>,bases:array<string>>>"
 _CALL = "array<struct<name:string,line:bigint,receiver:string,receiver_type:string,arguments:array<string>,is_reference:boolean,metadata:string,dispatch_kind:string>>"
@@ -171,27 +171,29 @@ def reindex(store: GraphStore, changed: DataFrame, removed: list[str], small: bo
     Edges into these files from others are kept where both ends live on; the
     changed files are parsed and resolved against all stored symbols. A small
     change recomputes unreachable symbols only, else communities and flows too.
-    The paths of one flush are few by rule, so they come to the driver.
+    The paths of one flush are few by rule, so they come to the driver. The store
+    is written once, at the end: a failure on the way leaves it as it was.
     """
+    store = store.begin()
     paths = sorted({r.path for r in changed.select("path").collect()} | set(removed))
     nodes = store.nodes()
     there = nodes.where(F.col("file_path").isin(paths)).select("id")
     inbound = materialize(store.edges().join(there.withColumnRenamed("id", "dst"), "dst", "left_semi").join(there.withColumnRenamed("id", "src"), "src", "left_anti"), "inbound")
-    store.delete_files(paths)
+    rest, links = store.without_files(paths)
     parsed = materialize(parse(changed), "parsed")
     symbols = materialize(symbol_rows(parsed), "symbols")
-    stored = materialize(store.nodes().where(~F.col("label").isin("file", "folder", "community", "process")), "stored")
+    stored = materialize(rest.where(~F.col("label").isin("file", "folder", "community", "process")), "stored")
     lists = F.from_json("properties", "decorators array<string>, bases array<string>")
     known = symbols.unionByName(stored.withColumn("x", lists).withColumns({"decorators": F.col("x.decorators"), "bases": F.col("x.bases")}).select(*symbols.columns))
-    files = store.nodes().where("label = 'file'").select(F.col("file_path").alias("path"), "language").union(changed.select("path", "language"))
+    files = rest.where("label = 'file'").select(F.col("file_path").alias("path"), "language").union(changed.select("path", "language"))
     fresh = emit(changed, parsed, symbols, known, materialize(files, "files"))
-    alive = materialize(fresh.nodes.select("id").union(store.nodes().select("id")).distinct(), "alive")
+    now = materialize(replaced(rest, fresh.nodes, "id"), "nodes")
+    alive = now.select("id")
     restored = inbound.join(alive.withColumnRenamed("id", "dst"), "dst", "left_semi").join(alive.withColumnRenamed("id", "src"), "src", "left_semi")
-    store.upsert(fresh.nodes, fresh.edges.unionByName(restored.select(*fresh.edges.columns)).dropDuplicates(["rel_id"]))
-    now = Graph(store.nodes(), store.edges())
-    done = unreachable(now) if small else refresh(now)
-    store.write(done.nodes, done.edges)
-    store.write_meta({"incremental": "small" if small else "full"})
+    added = fresh.edges.unionByName(restored.select(*fresh.edges.columns)).dropDuplicates(["rel_id"])
+    joined = Graph(now, materialize(replaced(links, added, "rel_id"), "edges"))
+    done = unreachable(joined) if small else refresh(joined)
+    store.write(done.nodes, done.edges, {"incremental": "small" if small else "full"})
 
 
 def unreachable(graph: Graph) -> Graph:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import analysis, coupling, intervals, search, traversal
 from graphloom.operators.dead_code import is_test_file
+from graphloom.sources.storage import GraphStore
 
 from .cypher import cypher
 
@@ -19,19 +20,25 @@ MEMBER_LABELS = ["enum_member", "class_attribute", "module_constant"]
 
 
 class GraphTools:
-    """``nodes`` and ``edges`` in the graph's schema; ``vectors`` (id, vec) are optional."""
+    """``nodes`` and ``edges`` in the graph's schema; ``vectors`` (id, vec) and a stored text ``index`` of the nodes are optional."""
 
-    def __init__(self, nodes: DataFrame, edges: DataFrame, vectors: DataFrame | None = None):
-        self.nodes, self.edges, self.vectors = nodes, edges, vectors
+    def __init__(self, nodes: DataFrame, edges: DataFrame, vectors: DataFrame | None = None, index: tuple[DataFrame, DataFrame] | None = None):
+        self.nodes, self.edges, self.vectors, self.index = nodes, edges, vectors, index
         self.calls = edges.where("rel_type = 'calls'")
         self.spark = nodes.sparkSession
 
+    @classmethod
+    def of(cls, store: GraphStore) -> GraphTools:
+        """Over a stored graph, with its vectors and its text index if they are there."""
+        vectors = store.embeddings() if store.meta().get("embedding_model") else None
+        return cls(store.nodes(), store.edges(), vectors, store.text_index())
+
     # --- finding symbols
 
     def resolve(self, symbol: str, limit: int = 1) -> DataFrame:
         """``(id, score)``: exact names first, full text if there are none."""
         exact = search.exact_name(self.nodes, symbol, limit)
-        return exact if not exact.isEmpty() else search.search_nodes(self.nodes, symbol, limit).select("id", "score")
+        return exact if not exact.isEmpty() else search.search_nodes(self.nodes, symbol, limit, self.index).select("id", "score")
 
     def _one(self, symbol: str) -> DataFrame:
         return self.resolve(symbol, 1).select("id")
@@ -39,7 +46,7 @@ class GraphTools:
     def query(self, text: str, limit: int = 20, vector: Sequence[float] | None = None) -> DataFrame:
         """``(id, score, name, file_path, label, process)`` by full text (or close names) and vectors, fused."""
         k = min(3 * limit, 300)
-        fts = search.search_nodes(self.nodes, text, k)
+        fts = search.search_nodes(self.nodes, text, k, self.index)
         close = search.fuzzy(self.nodes, "id", "name", text, k)
         near = search.vector_topk(self.vectors, "id", "vec", vector, k) if vector is not None and self.vectors is not None else fts.select("id", "score").limit(0)
         hits = search.hybrid(fts, close, near, limit)
@@ -111,7 +118,7 @@ class GraphTools:
         return intervals.overlapping(self.nodes.where(F.col("label") != "file"), hunks).select("id", "name", "label", "file_path", "start_line", "end_line")
 
     def cypher(self, text: str, params: dict[str, Any] | None = None) -> DataFrame:
-        return cypher(text, self.nodes, self.edges, params)
+        return cypher(text, self.nodes, self.edges, params, index=self.index)
 
     def _pairs(self) -> DataFrame:
         place = self.nodes.where("label = 'file'").select("id", "file_path")

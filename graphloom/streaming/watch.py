@@ -33,17 +33,16 @@ def watch(events: DataFrame, store: GraphStore, read: Callable[[list[str]], Data
 
 def refresh_all(store: GraphStore) -> None:
     """The periodic refresh: communities, flows and unreachable symbols over the whole graph."""
+    store = store.begin()
     done = indexing.refresh(indexing.Graph(store.nodes(), store.edges()))
     store.write(done.nodes, done.edges)
 
 
 def commit_changed(store: GraphStore, head: str, commits: DataFrame, files: DataFrame) -> bool:
     """Recompute coupling when the head commit moved since the last time; tells whether it did."""
+    store = store.begin()
     if store.meta().get("head") == head:
         return False
     edges = store.edges().where(F.col("rel_type") != "coupled_with")
-    from graphloom.sources.storage import materialize
-
-    store.write(materialize(store.nodes(), "nodes"), materialize(edges.unionByName(indexing.coupling_edges(commits, files).select(*edges.columns)), "edges"))
-    store.write_meta({"head": head})
+    store.write(store.nodes(), edges.unionByName(indexing.coupling_edges(commits, files).select(*edges.columns)), {"head": head})
     return True

@@ -1,5 +1,7 @@
 """Extractors, file rules, the store and the index build."""
 
+import pytest
+
 from graphloom.plans import code_queries, indexing
 from graphloom.sources import files, python_extract, script_extract
 from graphloom.sources.storage import GraphStore
@@ -113,3 +115,63 @@ def test_store_flags_and_vectors(spark, tmp_path):
     other = spark.createDataFrame([("a/x.py", 3.0), ("a/y.py", 5.0), ("b.py", 4.0)], "path string, mtime double")
     newest, counted = analysis.drift_inputs(other, 2)
     assert [r.path for r in newest.collect()] == ["b.py", "a/y.py"] and {(r.folder, r.files) for r in counted.collect()} == {("a", 2), ("", 1)}
+
+
+def test_store_versions_and_meta(spark, tmp_path):
+    from graphloom.functions.schema import as_edges, as_nodes
+    from graphloom.sources.storage import KEPT_VERSIONS, ConcurrentWrite
+
+    node = lambda *ids: as_nodes(spark.createDataFrame([(f"function:a:{i}", "function", i) for i in ids], "id string, label string, name string"))
+    none = as_edges(spark.createDataFrame([], "rel_type string, src string, dst string"))
+    path = str(tmp_path / "g")
+    store = GraphStore(spark, path)
+    assert store.meta() == {} and store.nodes().count() == 0 and store.text_index() is None
+    store.write(node("f"), none)
+    first, second = GraphStore(spark, path), GraphStore(spark, path)
+    mine, yours = first.nodes(), second.nodes()
+    first.write(mine.unionByName(node("g")), none)
+    with pytest.raises(ConcurrentWrite):
+        second.write(yours.unionByName(node("h")), none)
+    second.write(second.nodes().unionByName(node("h")), none)  # begun anew
+    assert sorted(r.name for r in store.nodes().collect()) == ["f", "g", "h"]
+    assert mine.count() == 1  # an older version is still there
+    store.write_meta({"stats": {"files": 3, "symbols": "many", "odd": True}, "head": "a"})
+    store.write_meta({"stats": {"symbols": 4}, "sentinel_files": [{"path": "x", "mtime": "1.5"}, {"path": "y"}, 7]})
+    found = store.meta()
+    assert found["stats"] == {"files": 3, "symbols": 4} and found["head"] == "a" and found["sentinel_files"] == [{"path": "x", "mtime": 1.5}]
+    last = sorted((tmp_path / "g" / "meta" / "repo=local").glob("*.json"))[-1]
+    (last.parent / f"{int(last.stem) + 1:012d}.json").write_text('{"tables": {"no')  # a writer that died
+    assert store.meta() == found
+    store.write_meta({"head": "b"})
+    assert store.meta() == found | {"head": "b"}
+    for i in range(KEPT_VERSIONS + 1):
+        store.delete_edges("calls")
+    assert len(list((tmp_path / "g" / "edges" / "repo=local").glob("0*"))) == KEPT_VERSIONS
+
+
+def test_stored_text_index_answers_as_the_texts_do(spark, tmp_path):
+    from graphloom.operators import search
+    from graphloom.plans.cypher import CypherError
+    from graphloom.plans.tools import GraphTools
+
+    rows = [("function:a.py:spare", "function", "spare", "a.py", "def spare(depth): return depth"), ("function:tests/test_a.py:t", "function", "t", "tests/test_a.py", "spare(1) spare(2)"), ("function:a.py:moor", "function", "moor", "a.py", ""), ("class:a.py:Berth", "class", "Berth", "a.py", "class Berth: depth = spare"), ("folder:spare", "folder", "spare", "", "")]
+    nodes = indexing.as_nodes(spark.createDataFrame(rows, "id string, label string, name string, file_path string, content string"))
+    edges = indexing.as_edges(spark.createDataFrame([], "rel_type string, src string, dst string"))
+    store = GraphStore(spark, str(tmp_path / "graph"))
+    store.write(nodes, edges)
+    assert store.text_index() is None
+    store.build_text_index()
+    for text in ("spare berth", "nothing_of_the_kind"):
+        scores = lambda df: sorted((r.id, round(r.score, 9)) for r in df.collect())
+        assert scores(search.search_nodes(store.nodes(), text, 20, store.text_index())) == scores(search.search_nodes(nodes, text, 20))
+    plan = store.text_index()[0].where("term in ('spare')")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(term), EqualTo(term,spare)]" in plan or "In(term" in plan
+    call = "CALL QUERY_FTS_INDEX('Function', 'function_fts', $q) YIELD node, score RETURN node.name AS name, score ORDER BY score DESC, name LIMIT 3"
+    with_index = [tuple(r) for r in GraphTools.of(store).cypher(call, {"q": "spare"}).collect()]
+    assert with_index and with_index == [tuple(r) for r in GraphTools(nodes, edges).cypher(call, {"q": "spare"}).collect()]
+    assert with_index[0][0] == "spare"
+    for wrong in ("CALL OTHER('a', 'b', 'c') RETURN node.id", "CALL QUERY_FTS_INDEX('Function', 'class_fts', 'x') RETURN node.id", "CALL QUERY_FTS_INDEX('Function') RETURN node.id"):
+        with pytest.raises(CypherError):
+            GraphTools.of(store).cypher(wrong)
+    store.write(nodes, edges)
+    assert store.text_index() is None  # nodes were written since
