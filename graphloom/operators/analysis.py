@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .dead_code import is_test_file
@@ -133,20 +133,46 @@ def folder_tree(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return folders, links
 
 
+#: The lines of a node's text after its head, in order: relationship, its end that the node is, the node's labels, the line's title.
+TEXT_LINES = [
+    ("calls", "src", ["function", "method"], "calls"),
+    ("calls", "dst", ["function", "method"], "called by"),
+    ("uses_type", "src", ["function", "method"], "uses types"),
+    ("extends", "src", ["class"], "extends"),
+    ("implements", "src", ["class"], "implements"),
+    ("defines", "src", ["file"], "defines"),
+    ("imports", "src", ["file"], "imports"),
+    ("contains", "src", ["folder"], "contains"),
+    ("member_of", "dst", ["community"], "members"),
+    ("step_in_process", "dst", ["process"], "steps"),
+]
+
+
 def node_texts(nodes: DataFrame, edges: DataFrame, most: int = 8192) -> DataFrame:
-    """``(id, text)`` to embed: kind and name, signature, class, file, and sorted names of neighbours by relationship."""
-    kinds = {"calls": ("calls", "called by"), "uses_type": ("uses types", "used by"), "extends": ("extends", "extended by"), "implements": ("implements", "implemented by")}
-    chosen = edges.where(F.col("rel_type").isin(*kinds)).select("src", "dst", "rel_type")
-    named = nodes.select(F.col("id").alias("oid"), F.col("name").alias("oname"))
-    way = lambda col, i: F.create_map(*[F.lit(x) for k, v in kinds.items() for x in (k, v[i])])[F.col(col)]
-    out = chosen.join(named, F.col("dst") == F.col("oid")).select(F.col("src").alias("id"), way("rel_type", 0).alias("w"), "oname")
-    into = chosen.join(named, F.col("src") == F.col("oid")).select(F.col("dst").alias("id"), way("rel_type", 1).alias("w"), "oname")
-    lists = out.union(into).groupBy("id", "w").agg(F.array_join(F.array_sort(F.collect_set("oname")), ", ").alias("l")).groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("w", "l"))), lambda x: F.concat(x["w"], F.lit(": "), x["l"])), "\n").alias("near"))
-    members = nodes.where("class_name <> '' and label in ('method', 'class_attribute', 'enum_member')").groupBy(F.col("class_name").alias("cn"), F.col("file_path").alias("cf")).agg(F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("members"))
-    rows = nodes.where(~F.col("label").isin("folder", "community", "process")).join(lists, "id", "left").join(members, (F.col("name") == F.col("cn")) & (F.col("file_path") == F.col("cf")) & F.col("label").isin("class", "enum", "interface"), "left")
-    blank = lambda prefix, c: F.when(F.col(c) != "", F.concat(F.lit(prefix), F.col(c)))
-    text = F.concat_ws("\n", F.concat_ws(" ", "label", "name"), blank("", "signature"), blank("class: ", "class_name"), blank("file: ", "file_path"), blank("members: ", "members"), "near")
-    return rows.select("id", F.substring(text, 1, most).alias("text"))
+    """``(id, text)`` to embed, of at most ``most`` characters: kind, name, class and file, then by label the signature, a class's methods, and the sorted names around it.
+
+    A line takes no more names than fit into a text, so a hot node's are never gathered whole.
+    """
+    keys = [(i, f"{rel} {end} {label}", title) for i, (rel, end, labels, title) in enumerate(TEXT_LINES, 1) for label in labels]
+    line = F.create_map(*[F.lit(x) for i, key, _ in keys for x in (key, i)])
+    title = F.create_map(*[F.lit(x) for x in (0, "methods")], *[F.lit(x) for i, (*_, t) in enumerate(TEXT_LINES, 1) for x in (i, t)])
+    label_of, name_of = nodes.select("id", "label"), nodes.select(F.col("id").alias("other"), "name")
+    near = None
+    for end, far in (("src", "dst"), ("dst", "src")):
+        wanted = [rel for rel, e, *_ in TEXT_LINES if e == end]
+        part = edges.where(F.col("rel_type").isin(wanted)).select(F.col(end).alias("id"), F.col(far).alias("other"), F.concat_ws(" ", "rel_type", F.lit(end)).alias("k"))
+        near = part if near is None else near.unionByName(part)
+    placed = near.join(label_of, "id").select("id", "other", line[F.concat_ws(" ", "k", "label")].alias("line")).where("line is not null").distinct()
+    named = placed.join(name_of, "other").select("id", "line", "name")
+    owner = nodes.where("label = 'class'").select("id", F.col("name").alias("class_name"), "file_path")
+    methods = nodes.where("label = 'method' and class_name <> ''").select("class_name", "file_path", "name").join(owner, ["class_name", "file_path"]).select("id", F.lit(0).alias("line"), "name")
+    ranked = named.unionByName(methods).withColumn("r", F.row_number().over(Window.partitionBy("id", "line").orderBy("name"))).where(F.col("r") <= most // 2 + 1)
+    lists = ranked.groupBy("id", "line").agg(F.array_sort(F.collect_list("name")).alias("names")).select("id", "line", F.concat(title[F.col("line")], F.lit(": "), F.array_join("names", ", ")).alias("text"))
+    bodies = lists.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("body"))
+    blank = lambda prefix, c, labels=None: F.when((F.col(c) != "") & (F.lit(True) if labels is None else F.col("label").isin(labels)), F.concat(F.lit(prefix), F.col(c)))
+    head = F.concat_ws(" ", "label", "name", blank("of class ", "class_name", ["method"]), blank("in ", "file_path"))
+    signature = blank("signature: ", "signature", ["function", "method", "interface", "type_alias", "enum"])
+    return nodes.join(bodies, "id", "left").select("id", F.substring(F.concat_ws("\n", head, signature, "body"), 1, most).alias("text"))
 
 
 def executable_hunks(hunks: DataFrame, sources: DataFrame) -> DataFrame:

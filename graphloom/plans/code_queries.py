@@ -343,8 +343,8 @@ def cypher_members(spark, sf_dir):
 
 
 @query(f"""WITH {_EDGES}, o AS (SELECT e.src AS k, 'calls' AS w, x.s_name AS nm FROM e JOIN supplier x ON x.s_suppkey = e.dst UNION SELECT e.dst, 'called by', x.s_name FROM e JOIN supplier x ON x.s_suppkey = e.src),
-l AS (SELECT k, w || ': ' || string_agg(nm, ', ' ORDER BY nm) AS t, w FROM o GROUP BY k, w), j AS (SELECT k, string_agg(t, chr(10) ORDER BY w) AS near FROM l GROUP BY k)
-SELECT 's' || s_suppkey AS id, 'function ' || s_name || chr(10) || 'file: n' || s_nationkey || coalesce(chr(10) || near, '') AS text FROM supplier LEFT JOIN j ON k = s_suppkey""")
+l AS (SELECT k, w || ': ' || string_agg(nm, ', ' ORDER BY nm) AS t, w FROM o GROUP BY k, w), j AS (SELECT k, string_agg(t, chr(10) ORDER BY w = 'called by') AS near FROM l GROUP BY k)
+SELECT 's' || s_suppkey AS id, 'function ' || s_name || ' in n' || s_nationkey || coalesce(chr(10) || near, '') AS text FROM supplier LEFT JOIN j ON k = s_suppkey""")
 def node_texts(spark, sf_dir):
     """Texts of nodes with the sorted names around them."""
     nodes, edges = code_like(spark, sf_dir)

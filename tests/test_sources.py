@@ -175,3 +175,29 @@ def test_stored_text_index_answers_as_the_texts_do(spark, tmp_path):
             GraphTools.of(store).cypher(wrong)
     store.write(nodes, edges)
     assert store.text_index() is None  # nodes were written since
+
+
+def test_node_texts_by_label(spark):
+    from graphloom.operators import analysis
+
+    rows = [("f", "function", "run", "a.py", "def run()", ""), ("m", "method", "go", "a.py", "def go(self)", "Cart"), ("n", "method", "ax", "a.py", "", "Cart"), ("o", "method", "zz", "b.py", "", "Cart"), ("c", "class", "Cart", "a.py", "ignored", ""), ("b", "class", "Base", "b.py", "", ""), ("file", "file", "a.py", "a.py", "", ""), ("dir", "folder", "src", "src", "", ""), ("t", "type_alias", "Id", "a.py", "Id = int", ""), ("k", "community", "core", "", "", ""), ("p", "process", "run flow", "", "", ""), ("x", "enum_member", "RED", "a.py", "RED = 1", "Hue")]
+    nodes = indexing.as_nodes(spark.createDataFrame(rows, "id string, label string, name string, file_path string, signature string, class_name string"))
+    links = [("calls", "f", "m"), ("calls", "f", "n"), ("calls", "m", "f"), ("uses_type", "m", "c"), ("extends", "c", "b"), ("defines", "file", "f"), ("defines", "file", "c"), ("contains", "dir", "file"), ("member_of", "f", "k"), ("member_of", "m", "k"), ("step_in_process", "f", "p"), ("calls", "f", "gone")]
+    edges = indexing.as_edges(spark.createDataFrame(links, "rel_type string, src string, dst string"))
+    got = {r.id: r.text for r in analysis.node_texts(nodes, edges).collect()}
+    assert got == {
+        "f": "function run in a.py\nsignature: def run()\ncalls: ax, go\ncalled by: go",
+        "m": "method go of class Cart in a.py\nsignature: def go(self)\ncalls: run\ncalled by: run\nuses types: Cart",
+        "n": "method ax of class Cart in a.py\ncalled by: run",
+        "o": "method zz of class Cart in b.py",
+        "c": "class Cart in a.py\nmethods: ax, go\nextends: Base",
+        "b": "class Base in b.py",
+        "file": "file a.py in a.py\ndefines: Cart, run",
+        "dir": "folder src in src\ncontains: a.py",
+        "t": "type_alias Id in a.py\nsignature: Id = int",
+        "k": "community core\nmembers: go, run",
+        "p": "process run flow\nsteps: run",
+        "x": "enum_member RED in a.py",
+    }
+    short = {r.id: r.text for r in analysis.node_texts(nodes, edges, 25).collect()}
+    assert short == {k: v[:25] for k, v in got.items()}
