@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.schema import as_edges, as_nodes, node_id
 from graphloom.operators import analysis, communities, coupling, dead_code, flows, intervals, resolve
+from graphloom.sources import files as source_files
 from graphloom.sources import python_extract, script_extract
-from graphloom.sources.storage import GraphStore, materialize, replaced
+from graphloom.sources.storage import GraphStore, materialize, replaced, shared_dir
 
 _SYMBOL = "array<struct<name:string,kind:string,start_line:bigint,end_line:bigint,content:string,signature:string,class_name:string,decorators:array<string>,bases:array<string>>>"
 _CALL = "array<struct<name:string,line:bigint,receiver:string,receiver_type:string,arguments:array<string>,is_reference:boolean,metadata:string,dispatch_kind:string>>"
@@ -201,3 +203,20 @@ def unreachable(graph: Graph) -> Graph:
     nodes = graph.nodes.withColumn("x", F.from_json("properties", "decorators array<string>, bases array<string>, is_protocol boolean"))
     judged = dead_code.dead_symbols(nodes.select("id", "label", "name", "file_path", "class_name", "is_entry_point", "is_exported", "x.decorators", "x.bases", F.coalesce("x.is_protocol", F.lit(False)).alias("is_protocol")), graph.edges)
     return Graph(materialize(as_nodes(nodes.drop("x", "is_dead").join(judged, "id", "left").withColumn("is_dead", F.coalesce("is_dead", F.lit(False)))), "nodes"), materialize(as_edges(graph.edges), "edges"))
+
+
+def diff_revisions(spark: SparkSession, root: str, revisions: str) -> DataFrame:
+    """``analysis.branch_diff`` of ``base..current``, or of a base and the working tree: each side checked out, built by the whole pipeline, and compared."""
+    base, current = source_files.ref_range(revisions)
+    made, graphs = [], []
+    try:
+        for ref in (base, current):
+            place = root
+            if ref is not None:
+                place = source_files.checked_out(root, ref, f"{shared_dir(spark).rstrip('/')}/checkout-{uuid.uuid4().hex}")
+                made.append(place)
+            graphs.append(build(source_files.read_sources(spark, place, tracked=source_files.git_tracked(spark, place))))
+    finally:
+        for place in made:
+            source_files.drop_checkout(root, place)
+    return analysis.branch_diff(*graphs)

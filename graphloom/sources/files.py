@@ -19,6 +19,8 @@ IGNORED = [
 ]
 IGNORED_GLOBS = ["*.egg-info", "*.pyc", "*.pyo", "*.so", "*.dylib", "*.min.js", "*.bundle.js", "*.map"]
 MAX_BYTES = 5 << 20
+SAFE_REF = r"[a-zA-Z0-9._/\-~^@{}]+"
+SAFE_PATH = r"[a-zA-Z0-9._/\-\s]+"
 
 
 def glob_regex(pattern: str) -> str:
@@ -90,6 +92,35 @@ def git_tracked(spark: SparkSession, root: str, timeout: int = 10) -> DataFrame
     return spark.createDataFrame([(x,) for x in out.splitlines()], "path string")
 
 
+def safe_ref(ref: str) -> str:
+    """``ref`` if it may name a revision: no other signs, and no leading hyphen, which git would take for an option."""
+    if not re.fullmatch(SAFE_REF, ref) or ref.startswith("-"):
+        raise ValueError(f"not a git ref: {ref!r}")
+    return ref
+
+
+def safe_path(path: str) -> str:
+    if not re.fullmatch(SAFE_PATH, path):
+        raise ValueError(f"not a plain path: {path!r}")
+    return path
+
+
+def ref_range(text: str) -> tuple[str, str | None]:
+    """``base..current``; of a single ref the working tree is the current side (None)."""
+    base, dots, current = text.partition("..")
+    return safe_ref(base), safe_ref(current) if dots else None
+
+
+def checked_out(root: str, ref: str, place: str, timeout: int = 60) -> str:
+    """A revision's files below ``place``, a new folder that all executors see; paths are relative to it, so ids of two revisions compare."""
+    subprocess.run(["git", "-C", root, "worktree", "add", "--detach", place, safe_ref(ref)], capture_output=True, timeout=timeout, check=True)
+    return place
+
+
+def drop_checkout(root: str, place: str, timeout: int = 60) -> None:
+    subprocess.run(["git", "-C", root, "worktree", "remove", "--force", place], capture_output=True, timeout=timeout, check=True)
+
+
 def git_log(spark: SparkSession, root: str, since: str = "6 months", timeout: int = 30) -> DataFrame:
     """``commits(commit_id, file_path)``; empty if git fails or is slow."""
     try:

@@ -201,3 +201,27 @@ def test_node_texts_by_label(spark):
     }
     short = {r.id: r.text for r in analysis.node_texts(nodes, edges, 25).collect()}
     assert short == {k: v[:25] for k, v in got.items()}
+
+
+def test_refs_and_checkouts(tmp_path):
+    import subprocess
+
+    assert files.ref_range("main..feature/x") == ("main", "feature/x") and files.ref_range("HEAD~2") == ("HEAD~2", None)
+    for wrong in ("", "..x", "x..", "-f", "a;b", "a b", "main..--output=x", "main\n"):
+        with pytest.raises(ValueError):
+            files.ref_range(wrong)
+    assert files.safe_path("src/a b.py") == "src/a b.py"
+    with pytest.raises(ValueError):
+        files.safe_path("src/$(x)")
+    root = tmp_path / "r"
+    root.mkdir()
+    git = lambda *a: subprocess.run(["git", "-C", str(root), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)
+    git("init", "-q")
+    for text in ("one = 1\n", "one = 2\n"):
+        (root / "a.py").write_text(text)
+        git("add", "a.py")
+        git("commit", "-qm", "x")
+    place = files.checked_out(str(root), "HEAD~1", str(tmp_path / "old"))
+    assert (tmp_path / "old" / "a.py").read_text() == "one = 1\n"
+    files.drop_checkout(str(root), place)
+    assert not (tmp_path / "old").exists()
