@@ -82,7 +82,7 @@ def communities(edges: DataFrame, method: str | None = None, least: int = 2, rou
     sizes = raw.groupBy("raw").agg(F.count("*").alias("size"), F.min("id").alias("first")).where(F.col("size") >= least)
     # one row a community; ranked by a window over these only
     named = sizes.withColumn("community", F.row_number().over(Window.orderBy(F.desc("size"), "first")).cast("long") - 1)
-    return raw.join(named.select("raw", "community"), "raw").select("id", "community")
+    return raw.join(named.select("raw", "community").hint("merge"), "raw").select("id", "community")
 
 
 def modular(both: DataFrame) -> DataFrame:
@@ -93,6 +93,10 @@ def modular(both: DataFrame) -> DataFrame:
     fit both ends each is made if it gains even after all better ones into the
     same community and out of the same: so the moves of a round never lower
     modularity, and the best one of all is always made.
+
+    Vertices carry their community's total, so that a round reads few tables.
+    Its joins are merge joins: broadcasts would pass the graph through the driver
+    anew in every round.
     """
     n, scale = both.agg(F.count("*"), F.sum("w")).first()
     ends = both.select(F.col("a").alias("id")).union(both.select("b")).distinct()
@@ -105,26 +109,29 @@ def modular(both: DataFrame) -> DataFrame:
     first = F.struct(-F.col("gain"), F.col("id"))
     before = lambda c: F.coalesce(F.sum("k").over(Window.partitionBy(c).orderBy(F.desc("gain"), "id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     while True:
-        nodes, moved = materialize(sym.groupBy("src").agg(F.sum("w").alias("k")).select(F.col("src").alias("id"), "k", F.col("src").alias("c")), "nodes"), False
+        own = sym.groupBy("src").agg(F.sum("w").alias("k"))
+        nodes, moved = materialize(own.select(F.col("src").alias("id"), "k", F.col("src").alias("c"), F.col("k").alias("tot")), "nodes"), False
         while True:
-            tot = nodes.groupBy("c").agg(F.sum("k").alias("tot"))
-            links = sym.where("src <> dst").join(nodes.select(F.col("id").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("id"), F.col("c").alias("to")).agg(F.sum("w").alias("l"))
-            rated = links.join(nodes, "id").join(tot.withColumnRenamed("c", "to"), "to").withColumn("worth", F.col("l") - F.col("k") * (F.col("tot") - F.when(F.col("to") == F.col("c"), F.col("k")).otherwise(0.0)) / total)
-            alone = nodes.join(tot, "c").select("id", (-F.col("k") * (F.col("tot") - F.col("k")) / total).alias("unlinked"))
-            best = rated.groupBy("id").agg(F.first("k").alias("k"), F.first("c").alias("c"), F.max(F.when(F.col("to") == F.col("c"), F.col("worth"))).alias("stay"), F.min(F.when(F.col("to") != F.col("c"), F.struct(-F.round("worth", 9), "to"))).alias("go"))
+            near = nodes.select(F.col("id").alias("dst"), F.col("c").alias("to"), F.col("tot").alias("to_tot"))
+            links = sym.where("src <> dst").join(near.hint("merge"), "dst").groupBy(F.col("src").alias("id"), "to").agg(F.sum("w").alias("l"), F.max("to_tot").alias("to_tot"))
+            rated = links.join(nodes.hint("merge"), "id").withColumn("worth", F.col("l") - F.col("k") * (F.col("to_tot") - F.when(F.col("to") == F.col("c"), F.col("k")).otherwise(0.0)) / total)
+            unlinked = -F.col("k") * (F.col("tot") - F.col("k")) / total
+            best = rated.groupBy("id").agg(F.first("k").alias("k"), F.first("c").alias("c"), F.first(unlinked).alias("unlinked"), F.max(F.when(F.col("to") == F.col("c"), F.col("worth"))).alias("stay"), F.min(F.when(F.col("to") != F.col("c"), F.struct(-F.round("worth", 9), "to"))).alias("go"))
             gain = F.round(-F.col("go").getField("col1") - F.coalesce("stay", "unlinked"), 9)
-            moves = materialize(best.join(alone, "id").select("id", "k", "c", F.col("go.to").alias("to"), gain.alias("gain")).where(F.col("gain") > LEAST_GAIN), "moves")
+            moves = materialize(best.select("id", "k", "c", F.col("go.to").alias("to"), gain.alias("gain")).where(F.col("gain") > LEAST_GAIN), "moves")
             if moves.isEmpty():
                 break
-            off, into = moves.groupBy("c").agg(F.min(first).alias("off")), moves.groupBy("to").agg(F.min(first).alias("into"))
-            gives = moves.join(off, "c").join(into.withColumnsRenamed({"to": "c", "into": "own_into"}), "c", "left").where("own_into is null or off < own_into").drop("off", "own_into")
-            fit = gives.join(into, "to").join(off.withColumnsRenamed({"c": "to", "off": "its_off"}), "to", "left").where("its_off is null or into < its_off")
-            made = fit.select("id", "to", F.col("gain") - F.col("k") * (before("to") + before("c")) / total > LEAST_GAIN, "gain").toDF("id", "to", "made", "gain").where("made").select("id", "to")
-            nodes, moved = materialize(nodes.join(made, "id", "left").select("id", "k", F.coalesce("to", "c").alias("c")), "nodes"), True
+            off, into = moves.select(F.col("c").alias("at"), first.alias("off"), F.lit(None).alias("into")), moves.select(F.col("to").alias("at"), F.lit(None).alias("off"), first.alias("into"))
+            ways = off.union(into).groupBy("at").agg(F.min("off").alias("off"), F.min("into").alias("into")).select("at", F.expr("off is not null and (into is null or off < into)").alias("gives"))
+            gives, takes = ways.where("gives").select(F.col("at").alias("c")), ways.where("not gives").select(F.col("at").alias("to"))
+            fit = moves.join(gives.hint("merge"), "c", "left_semi").join(takes.hint("merge"), "to", "left_semi")
+            made = fit.select("id", "to", F.col("gain") - F.col("k") * (before("to") + before("c")) / total > LEAST_GAIN).toDF("id", "to", "made").where("made").select("id", "to")
+            now = materialize(nodes.join(made.hint("merge"), "id", "left").select("id", "k", F.coalesce("to", "c").alias("c")), "nodes")
+            nodes, moved = materialize(now.join(now.groupBy("c").agg(F.sum("k").alias("tot")).hint("merge"), "c").select("id", "k", "c", "tot"), "nodes"), True
         if not moved:
             return member
-        member = materialize(member.join(nodes.select(F.col("id").alias("raw"), "c"), "raw").select("id", F.col("c").alias("raw")), "members")
-        at = lambda end: nodes.select(F.col("id").alias(end), F.col("c").alias(f"{end}_c"))  # noqa: B023, E731
+        member = materialize(member.join(nodes.select(F.col("id").alias("raw"), "c").hint("merge"), "raw").select("id", F.col("c").alias("raw")), "members")
+        at = lambda end: nodes.select(F.col("id").alias(end), F.col("c").alias(f"{end}_c")).hint("merge")  # noqa: B023, E731
         sym = materialize(sym.join(at("src"), "src").join(at("dst"), "dst").groupBy(F.col("src_c").alias("src"), F.col("dst_c").alias("dst")).agg(F.sum("w").alias("w")), "sym")
 
 
@@ -134,9 +141,9 @@ def propagate(both: DataFrame, rounds: int) -> DataFrame:
     sym = sym.union(sym.groupBy("src").agg(F.max("w").alias("w")).select("src", F.col("src").alias("dst"), "w"))
     labels = sym.select(F.col("src").alias("id")).distinct().withColumn("raw", F.col("id"))
     for _ in range(rounds):
-        votes = sym.join(labels.withColumnsRenamed({"id": "dst", "raw": "label"}), "dst").groupBy("src", "label").agg(F.sum("w").alias("w"))
+        votes = sym.join(labels.withColumnsRenamed({"id": "dst", "raw": "label"}).hint("merge"), "dst").groupBy("src", "label").agg(F.sum("w").alias("w"))
         new = materialize(votes.groupBy("src").agg(F.min_by("label", F.struct(-F.col("w"), "label")).alias("raw")).withColumnRenamed("src", "id"), "labels")
-        still = new.join(labels.withColumnRenamed("raw", "old"), "id").where("raw <> old").isEmpty()
+        still = new.join(labels.withColumnRenamed("raw", "old").hint("merge"), "id").where("raw <> old").isEmpty()
         labels = new
         if still:
             break

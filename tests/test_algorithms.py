@@ -141,6 +141,28 @@ def test_communities_are_modular_at_any_size(spark, monkeypatch):
     assert whole > modularity(one_task) - 0.05
 
 
+def broadcasts(module, monkeypatch):
+    """Whether each table that ``module`` writes is planned with a broadcast."""
+    seen = []
+    write = module.materialize
+
+    def watched(df, label):
+        seen.append("Broadcast" in df._jdf.queryExecution().executedPlan().toString())
+        return write(df, label)
+
+    monkeypatch.setattr(module, "materialize", watched)
+    return seen
+
+
+@pytest.mark.parametrize("method", [None, "propagation"])
+def test_rounds_of_communities_broadcast_nothing(spark, monkeypatch, method):
+    df = spark.createDataFrame([(a, b, 1.0) for a, b in graph(7, 12, 24)], "src long, dst long, weight double")
+    seen = broadcasts(communities, monkeypatch)
+    found = communities.communities(df, method)
+    assert len(seen) > 4 and not any(seen)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_coupling_of_the_fixture(spark):
     commits = [(f"c{i}", f) for i in range(4) for f in ("auth", "models")] + [("c4", "auth"), ("c5", "models"), ("c6", "views"), ("c6", "utils")]
     df = spark.createDataFrame(commits, "commit_id string, file_path string")
