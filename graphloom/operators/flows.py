@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,9 @@ SCRIPT_ENTRY_FILES = [
     "layout.ts",
 ]
 FLOW_SIZE = 25
+#: Selection of flows: how many of the open ones through a node a round compares, and open flows a task.
+FIRST = 8
+FLOWS_A_TASK = 5000
 
 
 def _ends(col, suffixes):
@@ -65,28 +70,52 @@ def trace_flows(edges: DataFrame, entries: DataFrame, depth: int = 6, branching:
 def dedup_flows(flows: DataFrame, overlap: float = 0.5, max_rounds: int = 1000) -> DataFrame:
     """The flows that greedy selection keeps: longest first (then ``entry``), one that shares more than ``overlap`` of the shorter with a kept one is dropped; then single steps go.
 
-    Rounds reach the sequential result: a flow without an undecided earlier
-    rival is kept, and those it conflicts with are dropped. Conflicts come from
-    the nodes that flows share, counted per pair.
+    Rounds reach the sequential result without a table of all pairs. Of two
+    flows in conflict the later is the shorter, and any ``need`` of its nodes
+    hold one of the earlier. So a flow that is among the ``FIRST`` earliest open
+    ones at ``need`` of its nodes meets all its open earlier rivals there, and is
+    kept if it has none; the earliest flow always is such a one. Open flows
+    that conflict with those newly kept meet them at their ``need`` least used
+    nodes, and are dropped. Both are checked on the whole flows.
     """
-    sized = materialize(flows.select("entry", "steps", F.size("steps").alias("n")), "flows")
-    members = sized.select("entry", "n", F.explode("steps").alias("node"))
-    a, b = members.alias("a"), members.alias("b")
-    earlier = (F.col("a.n") > F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.entry") < F.col("b.entry")))
-    shared = a.join(b, F.col("a.node") == F.col("b.node")).where(earlier).groupBy(F.col("a.entry").alias("first"), F.col("b.entry").alias("second"), F.least("a.n", "b.n").alias("least")).agg(F.count("*").alias("c"))
-    rivals = materialize(shared.where(F.col("c") / F.col("least") > overlap).select("first", "second"), "rivals")
-    state = sized.select("entry", F.lit(None).cast("boolean").alias("kept"))
+    sized = materialize(flows.select("entry", "steps", F.size("steps").alias("n")).where("n > 1"), "flows")
+    steps = sized.select("entry", "n", F.explode(F.array_distinct("steps")).alias("node")).where("node is not null")
+    used = steps.groupBy("node").agg(F.count("*").alias("used"))
+    nodes = steps.join(used.hint("merge"), "node").groupBy("entry", "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("used", "node"))), lambda x: x["node"]).alias("nodes"))
+    need = F.least(F.size(F.filter(F.sequence(F.lit(1), "n"), lambda c: c / F.col("n") > overlap)), F.size("nodes"))
+    state = materialize(nodes.withColumn("need", need), "flow-state")
+    conflict = F.size(F.array_intersect("nodes", "rival_nodes")) / F.col("n") > overlap
+    dropped: list[DataFrame] = []
     for _ in range(max_rounds):
-        open_ = state.where("kept is null").select("entry")
-        blocked = rivals.join(open_.withColumnRenamed("entry", "first"), "first", "left_semi").join(open_.withColumnRenamed("entry", "second"), "second", "left_semi").select(F.col("second").alias("entry")).distinct()
-        keep = open_.join(blocked, "entry", "left_anti").withColumn("new", F.lit(True))
-        drop = rivals.join(keep.select(F.col("entry").alias("first")), "first", "left_semi").select(F.col("second").alias("entry")).distinct().join(open_, "entry", "left_semi").withColumn("new", F.lit(False))
-        state = materialize(state.join(keep.unionByName(drop), "entry", "left").select("entry", F.coalesce("kept", "new").alias("kept")), "flow-state")
-        if state.where("kept is null").isEmpty():
+        left = state.count()
+        if not left:
             break
+        parts = 1 + left // FLOWS_A_TASK  # fixed, as each flow becomes many rows
+        open_ = state.repartition(parts, "entry")
+        turn = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), "entry"))
+        first = open_.select("entry", "n", F.explode("nodes").alias("node")).withColumn("r", turn).where(F.col("r") <= FIRST)
+        first = materialize(first.select("entry", "node", "r"), "flow-first")
+        at = first.groupBy("entry").agg(F.count("*").alias("at"))
+        leading = materialize(open_.join(at.hint("merge"), "entry").where("at >= need"), "flow-leading")
+        # at its other nodes a leading flow can't share more than these hold
+        late = first.repartition(parts, "node").select("entry", "node", "r")
+        early = first.repartition(parts, "node").select(F.col("entry").alias("rival"), "node", F.col("r").alias("rival_r"))
+        met = late.join(early.hint("merge"), "node").where("rival_r < r").groupBy("entry", "rival").agg(F.count("*").alias("c"))
+        met = met.join(leading.hint("merge"), "entry").where("c > at - need").select("entry", "n", "nodes", "rival")
+        blocked = met.join(state.select(F.col("entry").alias("rival"), F.col("nodes").alias("rival_nodes")).hint("merge"), "rival").where(conflict).select("entry")
+        keep = materialize(leading.join(blocked.hint("merge"), "entry", "left_anti").select("entry", "nodes"), "flow-kept")
+        rest = open_.join(keep.select("entry").hint("merge"), "entry", "left_anti")
+        probes = rest.select("entry", "n", "nodes", F.explode(F.slice("nodes", F.lit(1), F.col("need"))).alias("node"))
+        kept_at = keep.select(F.explode("nodes").alias("rival_node"), F.col("nodes").alias("rival_nodes"))
+        dropped.append(materialize(probes.join(kept_at.hint("merge"), (F.col("node") == F.col("rival_node")) & conflict, "left_semi").select("entry").distinct(), "flow-dropped"))
+        state = materialize(rest.join(dropped[-1].hint("merge"), "entry", "left_anti"), "flow-state")
+        if len(dropped) == 20:
+            dropped = [materialize(reduce(DataFrame.union, dropped), "flow-dropped")]
     else:
         raise RuntimeError(f"flows did not settle in {max_rounds} rounds")
-    return sized.join(state.where("kept").select("entry"), "entry", "left_semi").where("n > 1").select("entry", "steps")
+    if dropped:
+        sized = sized.join(reduce(DataFrame.union, dropped).hint("merge"), "entry", "left_anti")
+    return sized.select("entry", "steps")
 
 
 def flow_kinds(flows: DataFrame, nodes: DataFrame, communities: DataFrame) -> DataFrame:

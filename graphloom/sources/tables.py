@@ -16,7 +16,11 @@ def supplier_calls(spark: SparkSession, sf_dir: str, top: int = 2) -> DataFrame:
     Confidence is the count over the supplier's largest; kind names the most
     frequent return flag of the lines that lead to the next.
     """
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag").groupBy("l_orderkey", "l_linenumber", "l_suppkey").agg(F.min("l_returnflag").alias("flag"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", F.col("l_returnflag").alias("flag"))
+    # a line's least flag comes first; both windows need the one sort behind the one shuffle, where an aggregate would sort what each task scans
+    within = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", F.asc_nulls_last("flag"))
+    last = F.lag(F.struct("l_linenumber", "l_suppkey")).over(within)
+    lines = lines.withColumn("again", F.coalesce(last.eqNullSafe(F.struct("l_linenumber", "l_suppkey")), F.lit(False))).where("not again")
     follows = lines.select(F.col("l_suppkey").alias("src"), "flag", F.lead("l_suppkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey")).alias("dst"))
     counted = follows.where("dst is not null and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"), F.min("flag").alias("kind"))
     w = Window.partitionBy("src")

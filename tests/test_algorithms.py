@@ -87,6 +87,46 @@ def test_flow_dedup_is_greedy(spark):
     assert got == {i for i, s in kept if len(s) > 1}
 
 
+def greedily(sets, overlap):
+    kept = []
+    for i, s in sorted(sets, key=lambda x: (-len(x[1]), x[0])):
+        if all(len(set(s) & set(k)) / min(len(s), len(k)) <= overlap for _, k in kept):
+            kept.append((i, s))
+    return {i for i, s in kept if len(s) > 1}
+
+
+@pytest.mark.parametrize("overlap, first", [(0.5, 1), (0.3, 2)])
+def test_flow_dedup_in_rounds_that_see_few_flows(spark, monkeypatch, overlap, first):
+    draw = random.Random(11)
+    sets = [(i, draw.sample(range(9 if i % 2 else 40), draw.randint(1, 8))) for i in range(40)] + [(40, [1, 1, 2, 3])]
+    monkeypatch.setattr(flows, "FIRST", first, raising=False)
+    monkeypatch.setattr(flows, "FLOWS_A_TASK", 15, raising=False)
+    got = {r.entry for r in flows.dedup_flows(spark.createDataFrame(sets, "entry long, steps array<long>"), overlap).collect()}
+    assert got == greedily(sets, overlap)
+
+
+def test_flow_dedup_writes_no_table_of_pairs(spark, monkeypatch):
+    sets = [(i, [1, 2, 3, 4]) for i in range(120)] + [(200 + i, [1, 1000 + i, 2000 + i]) for i in range(120)]
+    write, sizes = flows.materialize, []
+
+    def counted(df, label):
+        sizes.append((out := write(df, label)).count())
+        return out
+
+    monkeypatch.setattr(flows, "materialize", counted)
+    got = {r.entry for r in flows.dedup_flows(spark.createDataFrame(sets, "entry long, steps array<long>")).collect()}
+    assert got == {0} | {200 + i for i in range(120)}
+    assert max(sizes) <= sum(len(s) for _, s in sets)
+
+
+def test_supplier_calls_take_a_line_once_by_its_least_flag(spark, tmp_path):
+    lines = [(1, 1, 5, "R"), (1, 1, 5, "A"), (1, 1, 5, None), (1, 2, 6, "N"), (1, 2, 6, "N"), (1, 3, 5, "B"), (None, 1, 7, "A"), (None, 2, 8, None), (2, None, None, "A"), (2, None, None, "A"), (2, 1, 6, "C"), (2, 2, 5, "C")]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_suppkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    calls = tables.supplier_calls(spark, str(tmp_path))
+    assert {(r.src, r.dst, r.n, r.kind) for r in calls.collect()} == {(5, 6, 1, "A"), (6, 5, 2, "C"), (7, 8, 1, "A")}
+    assert "partial_min(l_returnflag" not in calls._jdf.queryExecution().executedPlan().toString()  # no sort of what a task scans
+
+
 def test_flow_queries_take_all_suppliers_and_whole_flows(spark):
     sf = "/root/testdata/sf0.01"
     suppliers = {r.s_suppkey: r for r in spark.read.parquet(f"{sf}/supplier.parquet").collect()}
